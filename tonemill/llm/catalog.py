@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonemill.llm import exact_dedup, url_filters
+from tonemill.llm import exact_dedup, ngram_jaccard, packing, url_filters
 from tonemill.llm.common import table
 
 
@@ -18,6 +18,16 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and component."""
+    return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -62,7 +72,7 @@ FROM judged
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_url_filters)}
+    return {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_url_filters, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
