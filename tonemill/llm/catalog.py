@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonemill.llm import exact_dedup, ngram_jaccard, packing, url_filters
+from tonemill.llm import exact_dedup, ngram_jaccard, packing, substring_dedup, url_filters
 from tonemill.llm.common import table
 
 
@@ -28,6 +29,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, removed words and a digest of the kept ones."""
+    kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -72,7 +79,7 @@ FROM judged
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_url_filters, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_url_filters, op5_substring_dedup, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,7 +53,7 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return grams, np.searchsorted(rows, np.arange(len(count) + 1))
 
 
-def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, int]:
+def frequent_shingles(docs: DataFrame, size: int = SHINGLE, lower: bool = True) -> np.ndarray:
     """Hashes of shingles in a noticeable share of all documents, rarest first.
 
     Each partition counts all its documents' shingles and reports those of the share or more of its own documents, which
@@ -69,7 +69,7 @@ def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray,
             return pa.record_batch([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
         for batch in batches:
-            grams, _ = shingle_sets(words_of(batch.column(0), lower=True), size)
+            grams, _ = shingle_sets(words_of(batch.column(0), lower=lower), size)
             seen.append(grams)
             held, total = held + len(grams), total + batch.num_rows
             if held > 4_000_000:
@@ -82,7 +82,7 @@ def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray,
     found = cut(found)
     least = max(LEAST_COPIES, int(SHARE * docs.count() / 2))
     rows = found.where(F.col("n") >= least).orderBy("n", "shingle").toPandas()
-    return rows["shingle"].to_numpy(np.int64).view(np.uint64), len(rows)
+    return rows["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
 def prefix_length(n: np.ndarray, common: int = COMMON) -> np.ndarray:
@@ -241,7 +241,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    frequent, _ = frequent_shingles(docs, size)
+    frequent = frequent_shingles(docs, size)
     drawn = cut(sketches(docs, frequent, size))
     some = drawn.where("n > 0")
     classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
