@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import exact_dedup, ngram_jaccard, packing, substring_dedup, url_filters
+from tonemill.llm import exact_dedup, language, ngram_jaccard, packing, quality, substring_dedup, url_filters
 from tonemill.llm.common import table
 
 
@@ -35,6 +35,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -79,7 +91,7 @@ FROM judged
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_url_filters, op5_substring_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_url_filters, op5_substring_dedup, op8_language, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
