@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import exact_dedup, language, ngram_jaccard, packing, quality, substring_dedup, url_filters
+from tonemill.llm import decontamination, exact_dedup, language, license_scan, ngram_jaccard, packing, quality, substring_dedup, token_counts, url_filters
 from tonemill.llm.common import table
 
 
@@ -41,6 +41,21 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it leaks."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pre-tokens and tokens."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licences."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language."""
     docs = table(spark, sf_dir, "documents")
@@ -91,8 +106,8 @@ FROM judged
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_url_filters, op5_substring_dedup, op8_language, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_url_filters, op5_substring_dedup, op6_decontamination, op7_token_counts, op8_language, op9_license_scan, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_url_filters": OP4_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op9_license_scan": license_scan.oracle_sql()}
