@@ -238,8 +238,11 @@ def vector_tokens(text: Column, stops=()) -> Column:
 
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All runs of low to high tokens, joined by blanks."""
-    runs = []
-    for n in range(low, high + 1):
+    def runs_of(n: int) -> Column:
+        if n == 1:
+            return tokens
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(tokens if n == 1 else F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    runs = [runs_of(n) for n in range(low, high + 1)]
     return runs[0] if len(runs) == 1 else F.concat(*runs)

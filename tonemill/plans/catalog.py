@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tonemill.plans import corpus, models, relations, scores  # noqa: F401
+from tonemill.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
