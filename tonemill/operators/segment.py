@@ -246,3 +246,14 @@ def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
 
     runs = [runs_of(n) for n in range(low, high + 1)]
     return runs[0] if len(runs) == 1 else F.concat(*runs)
+
+
+def page_window(pages: DataFrame, key: str, start: str, end: str, page: str = "page", text: str = "page_text", first: int = 2, last: int = 11, span: int = 20) -> DataFrame:
+    """key, page, text: the pages of each document from the first of the early ones that matches start, to before the next that
+    matches end, or else `span` pages. Documents without a start are left out."""
+    w = Window.partitionBy(key)
+    begin = F.min(F.when(F.col(text).rlike(start) & F.col(page).between(first, last), F.col(page))).over(w)
+    found = pages.withColumn("_begin", begin).where("_begin is not null")
+    stop = F.min(F.when((F.col(page) > F.col("_begin")) & F.col(text).rlike(end), F.col(page))).over(w)
+    found = found.withColumn("_stop", F.coalesce(stop, F.col("_begin") + span))
+    return found.where((F.col(page) >= F.col("_begin")) & (F.col(page) < F.col("_stop"))).select(key, page, text)

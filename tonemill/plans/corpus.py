@@ -289,3 +289,23 @@ def vocabulary_richness(spark, sf_dir):
 @query(r"""SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda t: t NOT IN ('the', 'and', 'that')) AS tokens FROM documents WHERE text IS NOT NULL""")
 def model_token_lists(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", segment.model_tokens(F.col("text"), ("the", "and", "that")).alias("tokens"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, CAST(i + 1 AS INTEGER) AS page, page_text FROM (SELECT doc_id, unnest(range(len(c))) AS i, trim(unnest(c)) AS page_text FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents WHERE text IS NOT NULL)) WHERE page_text <> ''),
+b AS (SELECT *, min(page) FILTER (contains(page_text, 'with') AND page BETWEEN 2 AND 11) OVER (PARTITION BY doc_id) AS b FROM p),
+e AS (SELECT *, coalesce(min(page) FILTER (page > b AND contains(page_text, 'that')) OVER (PARTITION BY doc_id), b + 20) AS e FROM b WHERE b IS NOT NULL)
+SELECT doc_id, page, page_text FROM e WHERE page >= b AND page < e""")
+def page_windows(spark, sf_dir):
+    """Pages from the first that has one phrase to before the next that has another."""
+    pages = segment.page_chunks(_paged(spark, sf_dir)).drop("word_count")
+    return segment.page_window(pages, "doc_id", "with", "that")
+
+
+@query("SELECT doc_id, (contains(coalesce(CASE WHEN doc_id % 2 = 0 THEN 'application/pdf' END, ''), 'pdf') OR doc_id % 3 = 0 OR doc_id % 5 = 0) AS accepted FROM documents")
+def accepted_downloads(spark, sf_dir):
+    """The download rule over response metadata."""
+    from tonemill.sources.readers import accepted_download
+
+    i = F.col("doc_id")
+    kind, name, url = F.when(i % 2 == 0, "application/PDF"), F.when(i % 3 == 0, "attachment; filename=x.pdf"), F.when(i % 5 == 0, "http://h/x.pdf").otherwise("http://h/x")
+    return table(spark, sf_dir, "documents").select("doc_id", accepted_download(kind, name, url).alias("accepted"))
