@@ -241,8 +241,8 @@ def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     def runs_of(n: int) -> Column:
         if n == 1:
             return tokens
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(tokens, i + k) for k in range(n))))  # slice() would copy the whole list each time
 
     runs = [runs_of(n) for n in range(low, high + 1)]
     return runs[0] if len(runs) == 1 else F.concat(*runs)
