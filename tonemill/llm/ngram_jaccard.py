@@ -1,17 +1,19 @@
 """Exact similarity join of documents on word shingles, by grouped prefix filtering.
 
 A document is its set of distinct 5-word shingles (64-bit hashes). Two documents link when their Jaccard similarity is
-at least 3/4. Shingles are ordered by rarity: those in a noticeable share of documents come last, by count, all others
-by hash. A linked pair shares at least k of the first n - ceil(3n/4) + k shingles of either in that order, for any k up
-to the overlap that the pair needs. So:
+at least 3/4. Shingles are ordered by rarity: those of more than HEAVY documents come last, by count, all others by hash. A
+pair of n and m shingles that links has at least o = ceil(3 (n + m) / 7) in common; so, for any k up to o, the first
+n - o + k shingles of the one and the first m - o + k of the other have at least k in common. So:
 
 1. Documents of equal sets are one class, represented by its smallest id.
 2. Classes of equal prefix and size are one group; group leaders alone send their prefixes on, packed by bucket of shingle.
-3. Buckets keep the shingles that two classes share. Of each, the smallest id is the pivot; pairs with the pivot are
-   verified first, which joins groups of near copies by as many pairs as they have members.
+3. Buckets keep the shingles that two classes share. Of each, the smallest id is the pivot; pairs with pivots are verified
+   first, and again with pivots of the components so found, which joins groups of near copies by a few pairs a member.
 4. Groups are expanded, and all remaining pairs between different components that share k shingles are verified. Pairs
    inside a component cannot change it. No pair is capped or dropped.
 5. Components of the links give each document its class.
+
+The order and the pivots decide how much work there is, never which documents link.
 """
 
 from __future__ import annotations
@@ -27,7 +29,14 @@ from tonemill.llm.common import Words, bucket_count, cut, gram_hashes, gram_star
 from tonemill.llm.components import components
 
 SHINGLE, COMMON, NUMERATOR, DENOMINATOR = 5, 4, 3, 4
-#: A shingle of this share of documents is ordered after all rarer ones; the list has at most 2 * (mean shingles) / SHARE entries.
+#: A shingle of more documents than HEAVY is ordered after all rarer ones. The list of those is broadcast; if it had more than
+#: HEAVY_LIST entries (12 bytes each), the least count would be doubled until it fits.
+HEAVY, HEAVY_LIST = 32, 1_000_000
+#: Prefixes hold the shingles of least hash, so only hashes in this share of all are counted.
+COUNTED = np.uint64(int(0.45 * 2**64))
+#: Pivots that each document is compared with in a round.
+PIVOTS = 3
+#: For common_shingles(): a share of all documents; the list has at most 2 * (mean shingles) / SHARE entries.
 SHARE, LEAST_COPIES = 1e-3, 8
 TOKEN = np.uint64((1 << 48) - 1)
 
@@ -53,7 +62,7 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return grams, np.searchsorted(rows, np.arange(len(count) + 1))
 
 
-def frequent_shingles(docs: DataFrame, size: int = SHINGLE, lower: bool = True) -> np.ndarray:
+def common_shingles(docs: DataFrame, size: int = SHINGLE, lower: bool = True) -> np.ndarray:
     """Hashes of shingles in a noticeable share of all documents, rarest first.
 
     Each partition counts all its documents' shingles and reports those of the share or more of its own documents, which
@@ -89,12 +98,77 @@ def prefix_length(n: np.ndarray, common: int = COMMON) -> np.ndarray:
     return np.minimum(n, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + common)
 
 
-def sketches(docs: DataFrame, frequent: np.ndarray, size: int = SHINGLE) -> DataFrame:
+def parts_by(bucket: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """An order by bucket, and each bucket's slice of it."""
+    order = np.argsort(bucket, kind="stable")
+    now = bucket[order]
+    edge = np.flatnonzero(np.append(True, now[1:] != now[:-1]))[: len(now)]
+    return order, [slice(i, j) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(now)], strict=True)]
+
+
+def heavy_shingles(docs: DataFrame, size: int = SHINGLE, least: int = HEAVY, most: int = HEAVY_LIST) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit shingles of more than `least` documents, in order, and their ranks by count. All documents are counted.
+
+    Tasks send each distinct shingle once with its count, packed by bucket: sorted differences in byte planes, compressed.
+    """
+    import zstandard
+
+    buckets = bucket_count(docs.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def flush():
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            order, parts = parts_by((mix(tokens) % np.uint64(buckets)).astype(np.int64))
+            tokens, counts = tokens[order], counts[order].astype("<u4")
+            pack = zstandard.ZstdCompressor(level=1)
+            plane = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+            blobs = [pack.compress(plane(np.diff(tokens[p], prepend=np.uint64(0)).astype("<u8")) + plane(counts[p])) for p in parts]
+            first = [p.start for p in parts]
+            return pa.record_batch([pa.array((mix(tokens[first]) % np.uint64(buckets)).astype(np.int64)), pa.array([p.stop - p.start for p in parts]), pa.array(blobs, pa.binary())], ["bucket", "entries", "blob"])
+
+        for batch in batches:
+            grams, _ = shingle_sets(words_of(batch.column(0), lower=True), size)
+            held.append(grams[grams < COUNTED] & TOKEN)
+            total += len(held[-1])
+            if total > 3_000_000:
+                yield flush()
+                held, total = [], 0
+        if total:
+            yield flush()
+
+    def gather(group: pa.Table) -> pa.Table:
+        unpack, tokens, counts = zstandard.ZstdDecompressor(), [], []
+        for n, blob in zip(group.column("entries").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            raw = np.frombuffer(unpack.decompress(blob), np.uint8)
+            tokens.append(np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64))
+            counts.append(np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel())
+        token, count = np.concatenate(tokens), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(token, kind="stable")
+        token, count = token[order], count[order]
+        edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        count = np.add.reduceat(count, edge)
+        return pa.table({"token": token[edge][count > least].view(np.int64), "n": count[count > least]})
+
+    sent = docs.select("text").mapInArrow(send, "bucket long, entries long, blob binary")
+    found = cut(sent.groupBy("bucket").applyInArrow(gather, "token long, n long"))
+    while found.where(F.col("n") > least).count() > most:
+        least *= 2
+    rows = found.where(F.col("n") > least).toPandas()
+    token, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(len(token))
+    return token[order], rank[order]
+
+
+def sketches(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int = SHINGLE) -> DataFrame:
     """doc_id, n, s1, s2 (a 128-bit digest of the set), prefix (48-bit shingles, rarest first)."""
-    order = np.argsort(frequent)
-    ordered = frequent[order]
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
         for batch in batches:
             grams, first = shingle_sets(words_of(batch.column(1), lower=True), size)
             n = np.diff(first)
@@ -103,13 +177,14 @@ def sketches(docs: DataFrame, frequent: np.ndarray, size: int = SHINGLE) -> Data
             if len(grams):
                 s1[some] = np.add.reduceat(mix(grams), first[:-1][some])
                 s2[some] = np.add.reduceat(mix(grams ^ np.uint64(0x9E3779B97F4A7C15)), first[:-1][some])
-            key = grams >> np.uint64(1)
-            if len(ordered) and len(grams):
-                at = np.minimum(np.searchsorted(ordered, grams), len(ordered) - 1)
-                hot = ordered[at] == grams
-                key[hot] = np.uint64(1 << 63) + order[at[hot]].astype(np.uint64)
+            key, token = grams >> np.uint64(1), grams & TOKEN
+            if len(known) and len(grams):
+                low = np.flatnonzero(grams < COUNTED)
+                at = np.minimum(np.searchsorted(known, token[low]), len(known) - 1)
+                hot = known[at] == token[low]
+                key[low[hot]] = np.uint64(1 << 63) + rank[at[hot]].astype(np.uint64)
             rows = np.repeat(np.arange(len(n)), n)
-            by = grams[np.lexsort((key, rows))] & TOKEN
+            by = token[np.lexsort((key, rows))]
             keep = prefix_length(n)
             packed = by.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             blobs = [packed[i : i + k].tobytes() for i, k in zip(first[:-1].tolist(), keep.tolist(), strict=True)]
@@ -125,11 +200,11 @@ def unpacked(blobs: list[bytes]) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-ENTRY = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i4"), ("m", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i4"), ("m", "<i4"), ("pos", "<i4")])
 
 
 def shared_shingles(leaders: DataFrame) -> DataFrame:
-    """token, gid, n, pivot, pivot_n: a row for each prefix shingle and group, where more than one class has the shingle.
+    """token, gid, n, pos, pivot, pivot_n, pivot_pos: a row for each prefix shingle and group, where more than one class has it.
 
     leaders: gid, n, m (classes in the group), prefix.
     """
@@ -143,23 +218,20 @@ def shared_shingles(leaders: DataFrame) -> DataFrame:
         def flush():
             rows = np.concatenate(held)
             bucket = (mix(rows["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order, parts = parts_by(bucket)
             rows, bucket = rows[order], bucket[order]
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             pack = zstandard.ZstdCompressor(level=1)
-            blobs = []
-            for i, j in zip(edge, np.append(edge[1:], len(rows)), strict=True):
-                part = rows[i:j]
-                blobs.append(pack.compress(b"".join(np.ascontiguousarray(part[c]).tobytes() for c in ENTRY.names)))
-            return pa.record_batch([pa.array(bucket[edge]), pa.array(np.diff(np.append(edge, len(rows)))), pa.array(blobs, pa.binary())], ["bucket", "entries", "blob"])
+            blobs = [pack.compress(b"".join(np.ascontiguousarray(rows[p][c]).tobytes() for c in ENTRY.names)) for p in parts]
+            return pa.record_batch([pa.array(bucket[[p.start for p in parts]]), pa.array([p.stop - p.start for p in parts]), pa.array(blobs, pa.binary())], ["bucket", "entries", "blob"])
 
         for batch in batches:
-            tokens = unpacked(batch.column(3).to_pylist())
-            each = np.array([len(x) // 6 for x in batch.column(3).to_pylist()], np.int64)
+            blobs = batch.column(3).to_pylist()
+            tokens, each = unpacked(blobs), np.array([len(x) // 6 for x in blobs], np.int64)
             rows = np.empty(len(tokens), ENTRY)
             rows["token"] = tokens
             for name, i in (("gid", 0), ("n", 1), ("m", 2)):
                 rows[name] = np.repeat(batch.column(i).to_numpy(), each)
+            rows["pos"] = np.arange(len(tokens)) - np.repeat(np.cumsum(each) - each, each)
             held.append(rows)
             if sum(map(len, held)) > 1_000_000:
                 yield flush()
@@ -171,7 +243,7 @@ def shared_shingles(leaders: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         parts = []
         for size, blob in zip(group.column("entries").to_pylist(), group.column("blob").to_pylist(), strict=True):
-            raw, rows, at = unpack.decompress(blob, max_output_size=size * ENTRY.itemsize), np.empty(size, ENTRY), 0
+            raw, rows, at = unpack.decompress(blob), np.empty(size, ENTRY), 0
             for name in ENTRY.names:
                 width = ENTRY[name].itemsize * size
                 rows[name] = np.frombuffer(raw[at : at + width], ENTRY[name])
@@ -182,14 +254,13 @@ def shared_shingles(leaders: DataFrame) -> DataFrame:
         edge = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
         each = np.diff(np.append(edge, len(rows)))
         classes = np.add.reduceat(rows["m"].astype(np.int64), edge)
-        pivot = np.repeat(edge, each)
         keep = np.repeat(classes > 1, each)
-        rows, pivot = rows[keep], rows[pivot[keep]]
-        columns = {"token": rows["token"].view(np.int64), "gid": rows["gid"], "n": rows["n"].astype(np.int64), "pivot": pivot["gid"], "pivot_n": pivot["n"].astype(np.int64)}
+        rows, pivot = rows[keep], rows[np.repeat(edge, each)[keep]]
+        columns = {"token": rows["token"].view(np.int64), "gid": rows["gid"], "n": rows["n"], "pos": rows["pos"], "pivot": pivot["gid"], "pivot_n": pivot["n"], "pivot_pos": pivot["pos"]}
         return pa.table({k: np.ascontiguousarray(v) for k, v in columns.items()})
 
     sent = leaders.select("gid", "n", "m", "prefix").mapInArrow(send, "bucket long, entries long, blob binary")
-    return sent.groupBy("bucket").applyInArrow(gather, "token long, gid long, n long, pivot long, pivot_n long")
+    return sent.groupBy("bucket").applyInArrow(gather, "token long, gid long, n int, pos int, pivot long, pivot_n int, pivot_pos int")
 
 
 def links_among(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -220,15 +291,36 @@ def links_among(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long")
 
 
-def close_in_size(x: str, y: str):
-    return DENOMINATOR * F.least(x, y) >= NUMERATOR * F.greatest(x, y)
+def overlap(x, y):
+    """The least number of common shingles of a linked pair of these sizes."""
+    return F.floor((NUMERATOR * (F.col(x) + F.col(y)) + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR))
+
+
+def likely(na: str, pa_: str, nb: str, pb: str, common: int = COMMON):
+    """Whether sizes allow a link, and a shared shingle's positions count for a pair of these sizes."""
+    o, k = overlap(na, nb), F.least(F.lit(common), overlap(na, nb))
+    close = DENOMINATOR * F.least(na, nb) >= NUMERATOR * F.greatest(na, nb)
+    return close & (F.col(pa_) < F.col(na) - o + k) & (F.col(pb) < F.col(nb) - o + k)
+
+
+def enough(na: str, nb: str, common: int = COMMON):
+    """Whether a pair shares as many counted shingles as a linked one does at least."""
+    return F.col("count") >= F.least(F.lit(common), overlap(na, nb))
+
+
+def with_pivots(rows: DataFrame) -> DataFrame:
+    """a, b: each document (id, n, pos) with the pivots that share most shingles with it."""
+    pairs = rows.where((F.col("id") != F.col("pivot")) & likely("n", "pos", "pivot_n", "pivot_pos"))
+    pairs = pairs.groupBy("pivot", "id", "pivot_n", "n").count().where(enough("pivot_n", "n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), asc=False), 1, PIVOTS)
+    return pairs.groupBy("id").agg(best.alias("best")).select(F.explode("best.pivot").alias("p"), "id").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
 
 
-def needed(x: str, y: str, common: int = COMMON):
-    """Shared prefix shingles that a linked pair has at least: the lesser of `common` and the overlap that it needs."""
-    total = F.col(x) + F.col(y)
-    overlap = F.floor((NUMERATOR * total + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR))
-    return F.least(F.lit(common), overlap)
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with comp, the component so far, of those shingles that different components share."""
+    placed = cut(rows.join(found, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("comp")))
+    several = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    return cut(placed.join(several, "token", "left_semi"))
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -241,8 +333,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    frequent = frequent_shingles(docs, size)
-    drawn = cut(sketches(docs, frequent, size))
+    drawn = cut(sketches(docs, heavy_shingles(docs, size), size))
     some = drawn.where("n > 0")
     classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
     light = cut(some.select("doc_id", "s1", "s2", "n", F.xxhash64("prefix").alias("gkey")).join(classes.select("s1", "s2", "n", "class_id"), ["s1", "s2", "n"]).select("doc_id", "class_id", "n", "gkey"))
@@ -255,23 +346,26 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     lead = lead.join(maybe_broadcast(cut(sizes)), "gid", "left").select("gid", "n", F.coalesce("m", F.lit(1)).alias("m"), "prefix")
     shared = cut(shared_shingles(lead))
 
-    star = shared.where((F.col("gid") != F.col("pivot")) & close_in_size("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("gid").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")).count()
-    star = star.where(F.col("count") >= needed("na", "nb")).select("a", "b")
+    star = with_pivots(shared.withColumnRenamed("gid", "id"))
     inside = members.where("member <> gid").select(F.col("gid").alias("a"), F.col("member").alias("b"))
     tried = cut(star.union(inside).distinct())
-    linked = cut(links_among(tried, docs, size))
-    found = components(linked)
-
-    grown = shared.select("token", "gid", "n").join(members.select("gid", "member"), "gid", "left").select("token", F.coalesce("member", "gid").alias("id"), "n")
-    placed = grown.join(found, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
-    placed = cut(placed)
-    open_tokens = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    rest = cut(placed.join(open_tokens, "token", "left_semi"))
-    x, y = rest.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), rest.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close_in_size("na", "nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= needed("na", "nb")).select("a", "b")
+    links = cut(links_among(tried, docs, size))
+    found = components(links)
+
+    grown = cut(shared.select("token", "gid", "n", "pos").join(members.select("gid", "member"), "gid", "left").select("token", F.coalesce("member", "gid").alias("id"), "n", "pos"))
+    rest = _open(grown, found)
+    pivot = rest.groupBy("token").agg(F.min(F.struct("comp", "id", "n", "pos")).alias("p")).select("token", F.col("p.comp").alias("pivot_comp"), F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"))
+    again = with_pivots(rest.join(pivot, "token").where("comp <> pivot_comp"))
+    again = cut(again.distinct().join(tried, ["a", "b"], "left_anti"))
+    links = cut(links.union(links_among(again, docs, size)))
+    tried = tried.union(again)
+
+    rest = _open(rest.drop("comp"), components(links))
+    x, y = (rest.select("token", *(F.col(c).alias(d) for c, d in zip(("id", "n", "pos", "comp"), names, strict=True))) for names in (("a", "na", "pa", "ca"), ("b", "nb", "pb", "cb")))
+    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("na", "pa", "nb", "pb"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").count().where(enough("na", "nb")).select("a", "b")
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    links = cut(linked.union(links_among(pairs, docs, size)))
+    links = cut(links.union(links_among(pairs, docs, size)))
     final = components(links).select(F.col("id").alias("class_id"), "component")
 
     of = drawn.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "class_id"), ["s1", "s2", "n"], "left")

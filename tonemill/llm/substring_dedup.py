@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.llm.common import WHITE, Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, mix, prepare, text_arrays
-from tonemill.llm.ngram_jaccard import frequent_shingles
+from tonemill.llm.ngram_jaccard import common_shingles
 
 WINDOW, GRAM = 13, 5
 HOT = np.uint64(1 << 63)
@@ -193,7 +193,7 @@ def to_remove(first_window: np.ndarray, windows: np.ndarray, least: np.ndarray,
 def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, first, last: ranges of words covered by windows that a document of a smaller id has; they may overlap."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    frequent = frequent_shingles(docs, gram, lower=False)
+    frequent = common_shingles(docs, gram, lower=False)
 
     def settle(group: pa.Table) -> pa.Table:
         parts = [unpacked(b) for b in group.column("blob").to_pylist()]
