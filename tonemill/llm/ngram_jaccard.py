@@ -273,22 +273,28 @@ def links_among(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataF
             blobs = [grams[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], ["id", "grams"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(DENOMINATOR * common >= NUMERATOR * (len(p) + len(q) - common))
-            mask = pa.array(good, pa.bool_())
-            yield batch.select([0, 1]).filter(mask)
+    def compare(key: tuple, own: pa.Table, needed: pa.Table) -> pa.Table:
+        known = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(needed.column("id").to_pylist(), needed.column("grams").combine_chunks(), strict=True)}
+        good = []
+        for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True):
+            if a not in known or b not in known:
+                good.append(False)
+                continue
+            both = np.concatenate([known[a], known[b]])
+            both.sort(kind="stable")  # two sorted runs, which are merged
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            good.append(DENOMINATOR * common >= NUMERATOR * (len(both) - common))
+        return own.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     wanted = docs.join(maybe_broadcast(ids), docs["doc_id"] == ids["wanted"], "left_semi").select("doc_id", "text")
     sets = cut(wanted.mapInArrow(build, "id long, grams binary"))
-    left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long")
+    # Documents are dealt to `sides` parts, pairs to pairs of parts; a set goes once to each pair of parts that needs it.
+    sides = int(np.ceil(np.sqrt(4 * bucket_count(docs.sparkSession))))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
+    dealt = pairs.select("a", "b", part("a").alias("p"), part("b").alias("q"))
+    needed = dealt.select(F.col("p").alias("np"), F.col("q").alias("nq"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = needed.join(sets.dropDuplicates(["id"]), "id").select("np", "nq", "id", "grams")
+    return dealt.groupBy("p", "q").cogroup(needed.groupBy("np", "nq")).applyInArrow(compare, "a long, b long")
 
 
 def overlap(x, y):
@@ -323,6 +329,17 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
     return cut(placed.join(several, "token", "left_semi"))
 
 
+def _with_links(links: DataFrame, found: DataFrame, pairs: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """links and components, with those of the pairs that link."""
+    if pairs.isEmpty():
+        return links, found
+    new = cut(links_among(pairs, docs, size))
+    if new.isEmpty():
+        return links, found
+    links = links.union(new)
+    return links, components(links)
+
+
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, links).
 
@@ -352,21 +369,21 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     links = cut(links_among(tried, docs, size))
     found = components(links)
 
-    grown = cut(shared.select("token", "gid", "n", "pos").join(members.select("gid", "member"), "gid", "left").select("token", F.coalesce("member", "gid").alias("id"), "n", "pos"))
+    grown = shared.select("token", "gid", "n", "pos").join(members.select("gid", "member"), "gid", "left").select("token", F.coalesce("member", "gid").alias("id"), "n", "pos")
     rest = _open(grown, found)
     pivot = rest.groupBy("token").agg(F.min(F.struct("comp", "id", "n", "pos")).alias("p")).select("token", F.col("p.comp").alias("pivot_comp"), F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"))
     again = with_pivots(rest.join(pivot, "token").where("comp <> pivot_comp"))
     again = cut(again.distinct().join(tried, ["a", "b"], "left_anti"))
-    links = cut(links.union(links_among(again, docs, size)))
+    links, found = _with_links(links, found, again, docs, size)
     tried = tried.union(again)
 
-    rest = _open(rest.drop("comp"), components(links))
+    rest = _open(rest.drop("comp"), found)
     x, y = (rest.select("token", *(F.col(c).alias(d) for c, d in zip(("id", "n", "pos", "comp"), names, strict=True))) for names in (("a", "na", "pa", "ca"), ("b", "nb", "pb", "cb")))
     pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("na", "pa", "nb", "pb"))
     pairs = pairs.groupBy("a", "b", "na", "nb").count().where(enough("na", "nb")).select("a", "b")
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    links = cut(links.union(links_among(pairs, docs, size)))
-    final = components(links).select(F.col("id").alias("class_id"), "component")
+    links, found = _with_links(links, found, pairs, docs, size)
+    final = found.select(F.col("id").alias("class_id"), "component")
 
     of = drawn.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "class_id"), ["s1", "s2", "n"], "left")
     of = of.join(final, "class_id", "left")
