@@ -7,9 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.session import share_package, table
-
-__all__ = ["table", "cut", "prepare", "bucket_count", "crc_mod", "Words", "words_of", "hash_words", "gram_hashes", "mix", "text_arrays"]
+from tonemill.session import share_package, table  # noqa: F401
 
 #: ASCII white space: the characters \x20 and \x09-\x0D, at which words end.
 WHITE = np.zeros(256, dtype=bool)
@@ -48,11 +46,6 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def rename_clear(df: DataFrame, needed: list[str]) -> DataFrame:
-    """Only the needed columns, so that extra columns cannot clash with the operator's own."""
-    return df.select(*needed)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))
