@@ -24,6 +24,8 @@ from tonemill.llm.common import WHITE, Words, bucket_count, cut, gram_hashes, gr
 from tonemill.llm.ngram_jaccard import common_shingles
 
 WINDOW, GRAM = 13, 5
+#: Buckets to a shuffle partition, so that a bucket's windows are sorted in little memory; super-k-mers that a task holds.
+SPLIT, HELD = 4, 150_000
 HOT = np.uint64(1 << 63)
 SECOND = np.uint64(0xA24BAED4963EE407)
 #: Windows of common passages whose smallest ids are sent to the tasks at once (24 bytes each).
@@ -101,7 +103,7 @@ def lines_of(text: bytes, lines: int) -> Words:
 
 def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot: bool) -> DataFrame:
     """bucket, blob: packed super-k-mers by bucket; or, if hot, those of common passages, a blob a task's share."""
-    buckets, frequent = bucket_count(docs.sparkSession), np.sort(frequent)
+    buckets, frequent = SPLIT * bucket_count(docs.sparkSession), np.sort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Pieces] = {}
@@ -136,7 +138,7 @@ def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot
                     own = held[b] = Pieces()
                 own.add(text[i:j], d, s)
             total += len(edge)
-            if total > 400_000:
+            if total > HELD:
                 yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([p.packed() for p in held.values()], pa.binary())], ["bucket", "blob"])
                 held, total = {}, 0
         if held:
