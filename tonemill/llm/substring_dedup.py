@@ -1,6 +1,6 @@
 """Removal of word windows that an earlier document has, by super-k-mer partitioning.
 
-The minimiser of a 13-word window is the least hash among its 5-word grams. Consecutive windows of one minimiser travel
+The minimiser of a 13-word window is the least hash among its 3-word grams. Consecutive windows of one minimiser travel
 as one packed string (a super-k-mer) to the minimiser's bucket. Equal windows have equal minimisers, so each bucket sees
 all occurrences of its windows: it hashes and sorts them, compares the bytes of those with equal hashes, and finds the
 smallest doc_id of each. Before sending, a task keeps each packed string once, with its smallest doc_id and the list of
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from tonemill.llm.common import WHITE, Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, mix, prepare, text_arrays
 from tonemill.llm.ngram_jaccard import common_shingles
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 3
 #: Buckets to a shuffle partition, so that a bucket's windows are sorted in little memory; super-k-mers that a task holds.
-SPLIT, HELD = 4, 150_000
+SPLIT, HELD = 4, 250_000
 HOT = np.uint64(1 << 63)
 SECOND = np.uint64(0xA24BAED4963EE407)
 #: Windows of common passages whose smallest ids are sent to the tasks at once (24 bytes each).
@@ -78,7 +78,7 @@ class Pieces:
 
         head = np.array([len(self.least), len(self.at)], "<i8").tobytes()
         arrays = [np.array(x, t).tobytes() for x, t in ((self.least, "<i8"), (self.at, "<i4"), (self.doc, "<i8"), (self.start, "<i4"))]
-        return zstandard.ZstdCompressor(level=3).compress(head + b"".join(arrays) + b"\n".join(self.index))
+        return zstandard.ZstdCompressor(level=6).compress(head + b"".join(arrays) + b"\n".join(self.index))
 
 
 def unpacked(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
