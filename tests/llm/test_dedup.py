@@ -86,6 +86,33 @@ def test_jaccard_of_near_copies(spark, monkeypatch, heavy):
         assert 4 * len(a & b) >= 3 * len(a | b)
 
 
+def linked(rows):
+    """All pairs of rows, by place, that link: by brute force."""
+    sets = [shingles(t) for _, t in rows]
+    return {(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("heavy", [2, 10**6])
+def test_jaccard_returns_all_links(spark, monkeypatch, heavy):
+    """Links inside a component too, and each row's number of them, with copies and small sets; components as of the pruned way."""
+    plain = ngram_jaccard.heavy_shingles
+    monkeypatch.setattr(ngram_jaccard, "heavy_shingles", lambda docs, size: plain(docs, size, least=heavy))
+    rows = near_copies()
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 7)] + [(200, "a b c d e f g h"), (201, "a b c d e f g h i"), (202, "A b"), (203, "a b"), (204, ""), (205, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    documents, classes, links = (x.collect() for x in ngram_jaccard.similar_documents(docs))
+    of = {r["doc_id"]: r["class_id"] for r in documents}
+    want, degree = linked(rows), defaultdict(int)
+    for pair in want:
+        for i in pair:
+            degree[rows[i][0]] += 1
+    pairs = [tuple(sorted((of[rows[i][0]], of[rows[j][0]]))) for i, j in want]
+    assert sorted((r["a"], r["b"]) for r in links) == sorted({p for p in pairs if p[0] != p[1]})
+    assert {r["doc_id"]: r["n_links"] for r in documents} == {d: degree[d] for d, _ in rows}
+    apart = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"]) for r in ngram_jaccard.similar_components(docs).collect()}
+    assert apart == {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"]) for r in documents}
+
+
 def test_jaccard_edges(spark, edge_docs, no_docs):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_documents(edge_docs)[0].collect()}
     assert {(1, 76, 1), (2, 76, 1), (3, 76, 1), (4, 0, 4), (5, 0, 5), (9, 1, 9), (10, 1, 9), (14, 1, 14), (None, 76, 1)} <= got

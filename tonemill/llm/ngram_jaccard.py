@@ -7,13 +7,16 @@ n - o + k shingles of the one and the first m - o + k of the other have at least
 
 1. Documents of equal sets are one class, represented by its smallest id.
 2. Classes of equal prefix and size are one group; group leaders alone send their prefixes on, packed by bucket of shingle.
-3. Buckets keep the shingles that two classes share. Of each, the smallest id is the pivot; pairs with pivots are verified
-   first, and again with pivots of the components so found, which joins groups of near copies by a few pairs a member.
-4. Groups are expanded, and all remaining pairs between different components that share k shingles are verified. Pairs
-   inside a component cannot change it. No pair is capped or dropped.
+3. Buckets keep the shingles that two classes share.
+4. similar_documents() verifies every pair of classes that shares k of these, so its links are all that there are.
 5. Components of the links give each document its class.
 
-The order and the pivots decide how much work there is, never which documents link.
+similar_components() gives the components alone, from fewer pairs: of each shared shingle the smallest id is the pivot; pairs
+with pivots are verified first, and again with pivots of the components so found, which joins groups of near copies by a few
+pairs a member. Groups are then expanded, and all remaining pairs between different components that share k shingles are
+verified. Pairs inside a component cannot change it, and stay unknown there.
+
+No pair is capped or dropped. The order and the pivots decide how much work there is, never which documents link.
 """
 
 from __future__ import annotations
@@ -340,16 +343,9 @@ def _with_links(links: DataFrame, found: DataFrame, pairs: DataFrame, docs: Data
     return links, components(links)
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links).
-
-    documents: doc_id, n_shingles, component_id, class_id, one row per row of docs. classes: class_id, n, members. links:
-    a, b, verified links between classes that connect each component (not all links inside one). Null and empty texts
-    have no shingles and stand alone; repeated rows are one class; a null id gets its class's ids; extra columns are not
-    read; an empty table gives empty results.
-    """
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(drawn, classes, members, shared): sketches, classes, the classes of groups of several, and shared shingles of leaders."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     drawn = cut(sketches(docs, heavy_shingles(docs, size), size))
     some = drawn.where("n > 0")
     classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
@@ -361,7 +357,57 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     lead = some.where("doc_id is not null").join(maybe_broadcast(others), F.col("doc_id") == F.col("other"), "left_anti").select(F.col("doc_id").alias("gid"), "n", "prefix")
     sizes = members.select("gid", "m").distinct()
     lead = lead.join(maybe_broadcast(cut(sizes)), "gid", "left").select("gid", "n", F.coalesce("m", F.lit(1)).alias("m"), "prefix")
-    shared = cut(shared_shingles(lead))
+    return drawn, classes, members, cut(shared_shingles(lead))
+
+
+def _candidates(shared: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b: all pairs of classes that share as many prefix shingles as a linked pair does. Groups are paired first, then expanded."""
+    x, y = (shared.select("token", *(F.col(c).alias(d) for c, d in zip(("gid", "n", "pos"), names, strict=True))) for names in (("a", "na", "pa"), ("b", "nb", "pb")))
+    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & likely("na", "pa", "nb", "pb"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").count().where(enough("na", "nb")).select("a", "b")
+    left, right = (members.select(F.col("gid").alias(g), F.col("member").alias(m)) for g, m in (("a", "ma"), ("b", "mb")))
+    pairs = pairs.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
+    inside = members.select("gid", F.col("member").alias("x")).join(members.select("gid", F.col("member").alias("y")), "gid").where("x < y").select("x", "y")
+    return pairs.union(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _placed(drawn: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, members: one row per row of drawn."""
+    of = drawn.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
+    of = of.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    return of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "members")
+
+
+def _own(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    prepare(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, links).
+
+    documents: doc_id, n_shingles, component_id, class_id, n_links (the other rows with which the row links), one row per row
+    of docs. classes: class_id, n, members. links: a, b (a < b), all pairs of classes that link; rows of one class, whose sets
+    are equal, link as well and are not listed. So all linked pairs of documents are those of members of a and of b, and those
+    inside a class. Null and empty texts have no shingles, no links and stand alone; repeated rows are one class; a null id
+    gets its class's ids; a class of null ids alone is not compared with others; extra columns are not read; an empty table
+    gives empty results. As many pairs are verified as a group of near copies has: the square of its size, as its links are.
+    """
+    docs = _own(docs, text, doc_id)
+    drawn, classes, members, shared = _classes(docs, size)
+    links = cut(links_among(cut(_candidates(shared, members)), docs, size))
+    named = classes.where("class_id is not null").select(F.col("class_id").alias("b"), F.col("members").alias("others"))
+    ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = ends.join(named, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("others").alias("others"))
+    documents = _placed(drawn, classes, components(links)).join(degrees, "class_id", "left")
+    n_links = F.coalesce(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links")
+    return documents.select("doc_id", "n_shingles", "component_id", "class_id", n_links), classes.select("class_id", "n", "members"), links
+
+
+def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id as of similar_documents(), without finding the links inside components."""
+    docs = _own(docs, text, doc_id)
+    drawn, classes, members, shared = _classes(docs, size)
 
     star = with_pivots(shared.withColumnRenamed("gid", "id"))
     inside = members.where("member <> gid").select(F.col("gid").alias("a"), F.col("member").alias("b"))
@@ -383,17 +429,11 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     pairs = pairs.groupBy("a", "b", "na", "nb").count().where(enough("na", "nb")).select("a", "b")
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
     links, found = _with_links(links, found, pairs, docs, size)
-    final = found.select(F.col("id").alias("class_id"), "component")
-
-    of = drawn.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "class_id"), ["s1", "s2", "n"], "left")
-    of = of.join(final, "class_id", "left")
-    documents = of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return documents, classes.select("class_id", "n", "members"), links
+    return _placed(drawn, classes, found).drop("members")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that are not the first of their component; rows of null id stay."""
     from tonemill.llm.common import without_ids
 
-    documents, _, _ = similar_documents(docs)
-    return without_ids(docs, documents.where("doc_id <> component_id").select("doc_id"))
+    return without_ids(docs, similar_components(docs).where("doc_id <> component_id").select("doc_id"))
