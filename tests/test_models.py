@@ -90,3 +90,13 @@ def test_topics(spark):
     w = topics.topic_weights(model, vectors, ["id"]).select(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-6 for r in w)
     assert topics.perplexity(model, vectors) > 0
+
+
+def test_topics_pass_over_all_documents(spark, monkeypatch):
+    """Each round sees every document, and there are as many rounds as asked for."""
+    seen = []
+    fit = topics.LDA.fit
+    monkeypatch.setattr(topics.LDA, "fit", lambda self, df: seen.append((self.getSubsamplingRate(), self.getMaxIter())) or fit(self, df))
+    docs = spark.createDataFrame([(i, ["court", "judge", "law"] if i % 2 else ["market", "growth", "trade"]) for i in range(20)], "id long, tokens array<string>")
+    topics.fit_lda(docs, "tokens", 2, min_df=1, max_df=1.0)
+    assert seen == [(1.0, 20)]
