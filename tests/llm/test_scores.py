@@ -170,6 +170,20 @@ def test_urls(spark):
     assert url_filters.judge(empty).count() == 0
 
 
+def test_url_links_of_every_form(spark):
+    """Relative targets, tags after the first, &amp; and base tags lead to the blocked page as absolute urls do."""
+    to = lambda x: f'<link rel="canonical" href="{x}">'
+    cases = {
+        "http://a.example.net/1": '<meta http-equiv="refresh" content="0; url=/fr/home">', "http://a.example.net/2": to("//a.example.net/fr/home"), "http://a.example.net/es1/x?q": to("../fr/home"),
+        "http://a.example.net": to("fr/./home"), "http://a.example.net/5": to("http://c.example.org/") + to("/fr/home"), "http://a.example.net/6": '<meta http-equiv=refresh content="5">' + '<meta http-equiv=refresh content="0;url=/fr/home">',
+        "http://b.example.org/7": '<base href="http://a.example.net/fr/">' + to("home"), "http://a.example.net/8": to("/q?a=1&amp;b=2"), "http://a.example.net/q?a=1&b=2": to("/fr/home"),
+    }
+    clear = {"http://a.example.net/c1": to("#fr"), "http://a.example.net/c2": to("mailto:fr/home"), "http://d.example.org/c3": to("/r?to=http://a.example.net/fr/home"), "no scheme": to("/fr/home"), "http://a.example.net/c5": None}
+    pages = [(i, u, h) for i, (u, h) in enumerate({**cases, **clear}.items())]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {u: got[i] for i, u, _ in pages} == dict.fromkeys(cases, "block") | dict.fromkeys(clear, "allow")
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()

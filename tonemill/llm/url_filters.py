@@ -45,13 +45,46 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with `/`, its `.` and `..` segments taken out."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    stack = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    open_end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(F.concat(stack, open_end), "/"))).otherwise(path)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The url that target means on a page of url base, absolute ones as they are; null if it is empty, only a fragment, of a
+    scheme without `://`, or relative to a base without `://`."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    root, before = F.regexp_extract(base, r"(?s)^([^/?#]*://[^/?#]*)", 1), F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
+    folder = F.when(path_of(base) == "", "/").otherwise(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (scheme == ""), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(before, target))
+        .when(target.startswith("/"), F.concat(root, without_dots(own), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target): urls that redirect to, or name as canonical, another absolute url."""
-    body = F.col(html)
-    canonical = F.regexp_extract(F.regexp_extract(body, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(body, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.select(F.col(url).alias("source"), F.explode(F.array(canonical, refresh)).alias("target"))
-    return found.where(F.col("source").isNotNull() & F.col("target").contains("://") & (F.col("source") != F.col("target"))).distinct()
+    """(source, target): urls that redirect to, or name as canonical, another url, by any such tag of the page.
+
+    Targets have `&amp;` decoded and are resolved against the page's `<base href>`, if it has one, or else its url.
+    """
+    decoded = lambda c: F.regexp_replace(c, r"(?i)&(amp|#38|#x26);", "&")
+    inside = lambda tag, name: decoded(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    every = lambda pattern, name: F.transform(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(pattern), F.lit(1)), lambda x: inside(x, name))
+    canonical = every(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", "href")
+    refresh = every(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", "url")
+    own_base = inside(F.regexp_extract(F.col(html), r"(?is)(<base\b[^>]*\bhref\s*=[^>]*>)", 1), "href")
+    found = pages.select(F.col(url).alias("source"), own_base.alias("own_base"), F.explode(F.concat(canonical, refresh)).alias("t"))
+    base = F.coalesce(resolve(F.col("own_base"), F.col("source")), "source")
+    found = found.select("source", resolve(F.col("t"), base).alias("target"))
+    return found.where(F.col("source").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target"))).distinct()
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
