@@ -154,6 +154,19 @@ def test_licences(spark, edge_docs, no_docs):
     assert license_scan.scan(no_docs).count() == 0
 
 
+def test_whole_licences(spark):
+    """Whole texts of common licences, as files usually hold them: title, copyright line, reservation, other spellings."""
+    whole = {w: (license_scan.files("tonemill.llm") / "licenses" / f"{w}.txt").read_text(encoding="utf-8") for w in license_scan.WHOLE}
+    mit = license_scan.KNOWN[0][1]
+    cases = list(whole.items()) + [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), ("MIT", "The MIT License (MIT)\nCopyright (c) 2020 Someone\nAll rights reserved.\n" + mit), ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + whole["BSD-2-Clause"]),
+        ("BSD-3-Clause", whole["BSD-3-Clause"].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")), ("Apache-2.0", whole["Apache-2.0"].split("APPENDIX")[0]), ("GPL-3.0", whole["GPL-3.0"].replace("https:", "http:").replace("organization", "organisation")),
+        (None, "MIT License"), (None, whole["GPL-2.0"][:9000]), (None, whole["Unlicense"] + "but not on Sundays"),
+    ]
+    got = {r["doc_id"]: r["text_license"] for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_urls(spark):
     link = '<html><head><LINK href="{}" rel="canonical"></head>'
     pages = [

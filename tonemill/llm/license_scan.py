@@ -7,14 +7,19 @@ line, which finds notices inside other text. The known digests come from a small
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spellings that licences use alike, each with the one that stands for it.
-SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("judgement", "judgment"), ("https", "http"))
+SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("judgement", "judgment"), ("https", "http"),
+    ("sublicences", "sublicenses"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("organisations", "organizations"), ("authorise", "authorize"), ("authorisation", "authorization"), ("unauthorised", "unauthorized"), ("acknowledgement", "acknowledgment"), ("acknowledgements", "acknowledgments"),
+    ("centre", "center"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("labour", "labor"), ("offence", "offense"), ("programme", "program"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"))
 
 #: Fixed values: (license_id, text) of short licences and notices.
-KNOWN = (
+SHORT = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MIT", "Released under the MIT License."),
@@ -27,6 +32,35 @@ KNOWN = (
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
 )
 
+#: Titles that the text of a licence often stands under.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License", "New BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Whole texts in licenses/, one file each.
+WHOLE = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def forms(license_id: str, body: str) -> list[tuple[str, str]]:
+    """The texts that count as a licence: as it is, with a line for each paragraph, without numbers of clauses (BSD), up to the
+    end of the terms, and each of these under a title, and after `All rights reserved.`; copyright lines are no part of any."""
+    bodies = [body, body[: body.index(TERMS_END) + len(TERMS_END)]] if TERMS_END in body else [body]
+    bodies += [re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", x) for x in bodies]
+    bodies += [re.sub(r"(?m)^\d\. ", "", x) for x in bodies] if license_id.startswith("BSD") else []
+    titles = TITLES.get(license_id, ())
+    heads = ["", *(f"{t}\n" for t in titles), *(f"{t}\nAll rights reserved.\n" for t in ("", *titles) if titles)]
+    return [(license_id, head + x) for x in dict.fromkeys(bodies) for head in heads]
+
+
+#: (license_id, text): SHORT, then the forms of all whole licences.
+KNOWN = SHORT + tuple(
+    pair for license_id, body in (*SHORT[:2], *((w, files("tonemill.llm").joinpath("licenses", f"{w}.txt").read_text(encoding="utf-8")) for w in WHOLE)) for pair in forms(license_id, body) if pair not in SHORT
+)
+
 
 def canonical(text: Column) -> Column:
     """The canonical form; null as empty."""
