@@ -71,53 +71,71 @@ def near_copies(seed=2, n=60):
     return rows
 
 
-@pytest.mark.parametrize("heavy", [2, 10**6])
-def test_jaccard_of_near_copies(spark, monkeypatch, heavy):
-    """Groups around the threshold, whatever counts as a heavy shingle."""
-    plain = ngram_jaccard.heavy_shingles
-    monkeypatch.setattr(ngram_jaccard, "heavy_shingles", lambda docs, size: plain(docs, size, least=heavy))
-    rows = near_copies()
-    want = roots({d: shingles(t) for d, t in rows})
-    got, _, links = ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
-    sets = {d: shingles(t) for d, t in rows}
-    for r in links.collect():
-        a, b = sets[r["a"]], sets[r["b"]]
-        assert 4 * len(a & b) >= 3 * len(a | b)
-
-
 def linked(rows):
     """All pairs of rows, by place, that link: by brute force."""
     sets = [shingles(t) for _, t in rows]
     return {(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
 
 
-@pytest.mark.parametrize("heavy", [2, 10**6])
-def test_jaccard_returns_all_links(spark, monkeypatch, heavy):
-    """Links inside a component too, and each row's number of them, with copies and small sets; components as of the pruned way."""
-    plain = ngram_jaccard.heavy_shingles
-    monkeypatch.setattr(ngram_jaccard, "heavy_shingles", lambda docs, size: plain(docs, size, least=heavy))
-    rows = near_copies()
+@pytest.mark.parametrize(("heavy", "block"), [(2, 1024), (10**6, 1024), (8, 16)])
+def test_jaccard_returns_all_links(spark, monkeypatch, heavy, block):
+    """All links and each row's number of them, with copies and small sets, whatever is heavy and however small blocks are."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", block)
+    rows = near_copies() + [(300 + i, t + " more" * (i % 3)) for i, t in near_copies(9, 40)]
     rows += [(100 + i, rows[i][1]) for i in range(0, 60, 7)] + [(200, "a b c d e f g h"), (201, "a b c d e f g h i"), (202, "A b"), (203, "a b"), (204, ""), (205, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    documents, classes, links = (x.collect() for x in ngram_jaccard.similar_documents(docs))
-    of = {r["doc_id"]: r["class_id"] for r in documents}
-    want, degree = linked(rows), defaultdict(int)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    documents = {r["doc_id"]: r for r in ngram_jaccard.similar_documents(docs, heavy=heavy).collect()}
+    want, degree, least = linked(rows), defaultdict(int), roots({d: shingles(t) for d, t in rows})
     for pair in want:
         for i in pair:
             degree[rows[i][0]] += 1
-    pairs = [tuple(sorted((of[rows[i][0]], of[rows[j][0]]))) for i, j in want]
-    assert sorted((r["a"], r["b"]) for r in links) == sorted({p for p in pairs if p[0] != p[1]})
-    assert {r["doc_id"]: r["n_links"] for r in documents} == {d: degree[d] for d, _ in rows}
-    apart = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"]) for r in ngram_jaccard.similar_components(docs).collect()}
-    assert apart == {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"]) for r in documents}
+    pairs = [tuple(sorted(documents[rows[i][0]]["class_id"] for i in pair)) for pair in want]
+    assert len(documents) == len(rows)
+    assert {d: (r["n_links"], r["component_id"]) for d, r in documents.items()} == {d: (degree[d], least[d]) for d, _ in rows}
+    found = sorted((r["a"], r["b"]) for r in ngram_jaccard.similar_pairs(docs, heavy=heavy).collect())
+    assert found == sorted({p for p in pairs if p[0] != p[1]})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_of_random_sets(spark, seed):
+    """Sets of all sizes that share parts, around the threshold."""
+    rng = np.random.default_rng(seed)
+    parts = [[f"p{k}_{j}" for j in range(rng.integers(3, 40))] for k in range(12)]
+    rows = [(i, " ".join(w for k in sorted(rng.choice(12, rng.integers(1, 9), replace=False)) for w in parts[k])) for i in range(150)]
+    want, degree, least = linked(rows), defaultdict(int), roots({d: shingles(t) for d, t in rows})
+    for pair in want:
+        for i in pair:
+            degree[i] += 1
+    got = ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), heavy=5).collect()
+    assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in got} == {d: (degree[d], least[d]) for d, _ in rows}
+
+
+def test_jaccard_tells_rows_apart(spark):
+    """One id with two texts, null ids with a group of their own, and repeated rows."""
+    base = [t for _, t in near_copies(3, 6)]
+    near = base[0] + " z"
+    rows = [(7, base[0]), (7, "q " * 40), (9, near), (None, base[0]), (None, "n1 n2 n3 n4 n5 n6"), (None, "n1 n2 n3 n4 n5 n6"), (9, near)]
+    got = sorted(ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert sorted(((r["doc_id"], r["component_id"], r["n_links"]) for r in got), key=str) == sorted([(7, 7, 3), (7, 7, 0), (9, 7, 3), (9, 7, 3), (None, 7, 3), (None, None, 1), (None, None, 1)], key=str)
+
+
+def test_bands_and_prefixes():
+    n = np.arange(1, 3000)
+    band = ngram_jaccard.band_of(n)
+    for a in range(1, 600):
+        b = np.arange(a, 4 * a // 3 + 1)
+        assert (band[b - 1] - band[a - 1] <= 1).all()
+        o = -(-3 * (a + b) // 7)
+        assert (a - o + 1 <= ngram_jaccard.lower_prefix_length(np.int64(a))).all()
+        assert (b - o + 1 <= ngram_jaccard.prefix_length(b)).all()
 
 
 def test_jaccard_edges(spark, edge_docs, no_docs):
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_documents(edge_docs)[0].collect()}
+    found = ngram_jaccard.similar_documents(edge_docs)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()}
     assert {(1, 76, 1), (2, 76, 1), (3, 76, 1), (4, 0, 4), (5, 0, 5), (9, 1, 9), (10, 1, 9), (14, 1, 14), (None, 76, 1)} <= got
-    assert ngram_jaccard.similar_documents(edge_docs)[0].count() == edge_docs.count()
-    assert ngram_jaccard.similar_documents(no_docs)[0].count() == 0
+    assert found.count() == edge_docs.count()
+    assert ngram_jaccard.similar_documents(no_docs).count() == 0
 
 
 def test_substring_query(spark, sf):

@@ -21,7 +21,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of shingles, number of links to other documents and component."""
-    return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "n_links", "component_id")
+    return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

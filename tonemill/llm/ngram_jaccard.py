@@ -1,22 +1,23 @@
 """Exact similarity join of documents on word shingles, by grouped prefix filtering.
 
 A document is its set of distinct 5-word shingles (64-bit hashes). Two documents link when their Jaccard similarity is
-at least 3/4. Shingles are ordered by rarity: those of more than HEAVY documents come last, by count, all others by hash. A
-pair of n and m shingles that links has at least o = ceil(3 (n + m) / 7) in common; so, for any k up to o, the first
-n - o + k shingles of the one and the first m - o + k of the other have at least k in common. So:
-
-1. Documents of equal sets are one class, represented by its smallest id.
-2. Classes of equal prefix and size are one group; group leaders alone send their prefixes on, packed by bucket of shingle.
-3. Buckets keep the shingles that two classes share.
-4. similar_documents() verifies every pair of classes that shares k of these, so its links are all that there are.
-5. Components of the links give each document its class.
-
-similar_components() gives the components alone, from fewer pairs: of each shared shingle the smallest id is the pivot; pairs
-with pivots are verified first, and again with pivots of the components so found, which joins groups of near copies by a few
-pairs a member. Groups are then expanded, and all remaining pairs between different components that share k shingles are
-verified. Pairs inside a component cannot change it, and stay unknown there.
-
-No pair is capped or dropped. The order and the pivots decide how much work there is, never which documents link.
+at least 3/4. Shingles are ordered by rarity: first the counted ones of few documents, by hash; then those of many, by count;
+then those outside the counted range of hashes. A pair of n and m shingles that links has at least o = ceil(3 (n + m) / 7) in
+common, so the first n - o + 1 of the one and the first m - o + 1 of the other share one. So:
+
+1. Documents of equal sets are one class; classes of equal prefix and size are one group.
+2. Of the groups that share a prefix shingle, in neighbouring bands of size, the first is the pivot. All groups with one pivot
+   (and band) are a bundle: a row for each group and bundle, however many pairs there are. Rare shingles are gathered in packed
+   buckets; a shingle of many documents is a grouped minimum, so no task holds all its groups.
+3. Bundles are expanded to classes, and large ones dealt out in pairs of blocks of bounded size. In a block, pairs are
+   filtered by size and by the distance of 1,024-bit parities of their sets, which is never more than that of the sets.
+   Of a pair in several bundles only the first bundle thinks of it. What goes on is the classes that are in some pair left.
+4. The whole sets of those are dealt out likewise, and each pair is verified exactly, as counts of common bits of the sets
+   over the block's shared shingles. A block gives each class's number of links and edges that span its links' components.
+5. Components of the edges give each document its class.
+
+No pair is capped or dropped, and none is a row of a table: tables grow with documents and bundles, only the comparisons
+inside blocks with the pairs.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, maybe_broadcast, mix, prepare, words_of
+from tonemill.llm.common import _STEP, Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, maybe_broadcast, mix, prepare, words_of
 from tonemill.llm.components import components
 
-SHINGLE, COMMON, NUMERATOR, DENOMINATOR = 5, 4, 3, 4
+SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 #: A shingle of more documents than HEAVY is ordered after all rarer ones. The list of those is broadcast; if it had more than
 #: HEAVY_LIST entries (12 bytes each), the least count would be doubled until it fits.
 HEAVY, HEAVY_LIST = 32, 1_000_000
 #: Prefixes hold the shingles of least hash, so only hashes in this share of all are counted.
-COUNTED = np.uint64(int(0.45 * 2**64))
-#: Pivots that each document is compared with in a round.
-PIVOTS = 3
+COUNTED = np.uint64(int(0.4 * 2**64))
+#: Bits of a set's parity, and words of 64 of these.
+BITS, PARITY_WORDS = 1024, 16
+#: Classes, and shingles of them, of a block of a large bundle; prefix shingles of a packed bucket; 64-bit words compared at once.
+BLOCK_ROWS, BLOCK_SHINGLES, BUCKET_ENTRIES, AT_ONCE = 1024, 2_000_000, 2_000_000, 4_000_000
 #: For common_shingles(): a share of all documents; the list has at most 2 * (mean shingles) / SHARE entries.
 SHARE, LEAST_COPIES = 1e-3, 8
 TOKEN = np.uint64((1 << 48) - 1)
@@ -97,8 +100,29 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE, lower: bool = True) ->
     return rows["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
-def prefix_length(n: np.ndarray, common: int = COMMON) -> np.ndarray:
-    return np.minimum(n, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + common)
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """Shingles of a prefix that shares one with that of any linked set."""
+    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+
+
+def lower_prefix_length(n: np.ndarray) -> np.ndarray:
+    """Shingles of a prefix that shares one with that of any linked set that is as large or larger."""
+    return n - (2 * NUMERATOR * n + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR) + 1
+
+
+def _band_edges() -> np.ndarray:
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, -(-DENOMINATOR * edges[-1] // NUMERATOR)))
+    return np.array(edges, np.int64)
+
+
+BAND_EDGES = _band_edges()
+
+
+def band_of(n: np.ndarray) -> np.ndarray:
+    """Bands of sizes; linked sets are of one band or of neighbouring ones."""
+    return np.searchsorted(BAND_EDGES, n, side="right").astype(np.int32)
 
 
 def parts_by(bucket: np.ndarray) -> tuple[np.ndarray, list[slice]]:
@@ -166,8 +190,31 @@ def heavy_shingles(docs: DataFrame, size: int = SHINGLE, least: int = HEAVY, mos
     return token[order], rank[order]
 
 
+def parities(grams: np.ndarray, rows: np.ndarray, number: int) -> list[bytes]:
+    """Each row's parity of the number of shingles at each of BITS places."""
+    out = np.empty((number, BITS), bool)
+    place = (mix(grams + _STEP) % np.uint64(BITS)).astype(np.int64)
+    for low in range(0, number, 4096):
+        high = min(number, low + 4096)
+        i, j = np.searchsorted(rows, (low, high))
+        out[low:high] = (np.bincount((rows[i:j] - low) * BITS + place[i:j], minlength=(high - low) * BITS) & 1).reshape(-1, BITS)
+    packed = np.packbits(out, axis=1, bitorder="little")
+    return [x.tobytes() for x in packed]
+
+
+def digests(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each row's set, in two halves; 0 for empty ones."""
+    some, halves = np.diff(first) > 0, []
+    for salt in (np.uint64(0), np.uint64(0x9E3779B97F4A7C15)):
+        half = np.zeros(len(some), np.uint64)
+        if len(grams):
+            half[some] = np.add.reduceat(mix(grams ^ salt), first[:-1][some])
+        halves.append(half.view(np.int64))
+    return halves[0], halves[1]
+
+
 def sketches(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int = SHINGLE) -> DataFrame:
-    """doc_id, n, s1, s2 (a 128-bit digest of the set), prefix (48-bit shingles, rarest first)."""
+    """doc_id, n, s1, s2 (a digest of the set), light (rare shingles of the prefix), prefix (48-bit shingles, rarest first), parity."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,25 +222,25 @@ def sketches(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int =
         for batch in batches:
             grams, first = shingle_sets(words_of(batch.column(1), lower=True), size)
             n = np.diff(first)
-            some = n > 0
-            s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(grams):
-                s1[some] = np.add.reduceat(mix(grams), first[:-1][some])
-                s2[some] = np.add.reduceat(mix(grams ^ np.uint64(0x9E3779B97F4A7C15)), first[:-1][some])
-            key, token = grams >> np.uint64(1), grams & TOKEN
+            s1, s2 = digests(grams, first)
+            key, token = grams >> np.uint64(2), grams & TOKEN
             if len(known) and len(grams):
                 low = np.flatnonzero(grams < COUNTED)
                 at = np.minimum(np.searchsorted(known, token[low]), len(known) - 1)
                 hot = known[at] == token[low]
-                key[low[hot]] = np.uint64(1 << 63) + rank[at[hot]].astype(np.uint64)
+                key[low[hot]] = np.uint64(1 << 62) + rank[at[hot]].astype(np.uint64)
+            key[grams >= COUNTED] |= np.uint64(1 << 63)
             rows = np.repeat(np.arange(len(n)), n)
-            by = token[np.lexsort((key, rows))]
-            keep = prefix_length(n)
+            order = np.lexsort((key, rows))
+            by, keep = token[order], prefix_length(n) * (n > 0)
+            rare = np.concatenate(([0], np.cumsum(key[order] < np.uint64(1 << 62))))
+            light = np.minimum(rare[first[1:]] - rare[first[:-1]], keep)
             packed = by.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             blobs = [packed[i : i + k].tobytes() for i, k in zip(first[:-1].tolist(), keep.tolist(), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "n", "s1", "s2", "prefix"])
+            columns = [batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(light), pa.array(blobs, pa.binary()), pa.array(parities(grams, rows, len(n)), pa.binary())]
+            yield pa.record_batch(columns, ["doc_id", "n", "s1", "s2", "light", "prefix", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, light long, prefix binary, parity binary")
 
 
 def unpacked(blobs: list[bytes]) -> np.ndarray:
@@ -203,17 +250,32 @@ def unpacked(blobs: list[bytes]) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-ENTRY = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i4"), ("m", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i8"), ("m", "<i4"), ("pos", "<i4")])
 
 
-def shared_shingles(leaders: DataFrame) -> DataFrame:
-    """token, gid, n, pos, pivot, pivot_n, pivot_pos: a row for each prefix shingle and group, where more than one class has it.
+def entries_of(batch: pa.RecordBatch, light: bool) -> np.ndarray:
+    """ENTRY rows of the rare, or of the other, prefix shingles of a batch of gid, n, m, light, prefix."""
+    blobs = batch.column(4).to_pylist()
+    each = np.array([len(x) // 6 for x in blobs], np.int64)
+    rows = np.empty(int(each.sum()), ENTRY)
+    rows["token"] = unpacked(blobs)
+    for name, i in (("gid", 0), ("n", 1), ("m", 2)):
+        rows[name] = np.repeat(batch.column(i).to_numpy(), each)
+    rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
+    rare = rows["pos"] < np.repeat(batch.column(3).to_numpy(), each)
+    return rows[rare == light]
 
-    leaders: gid, n, m (classes in the group), prefix.
-    """
-    import zstandard
 
-    buckets = bucket_count(leaders.sparkSession)
+def in_bands(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, band): each entry in its own band, and in the next where larger sets may link by it."""
+    band = band_of(rows["n"])
+    low = rows["pos"] < lower_prefix_length(rows["n"])
+    return np.concatenate([rows, rows[low]]), np.concatenate([band, band[low] + 1])
+
+
+def rare_bundles(leaders: DataFrame, buckets: int) -> DataFrame:
+    """pivot, band, gid of the rare prefix shingles, gathered in packed buckets; rows may repeat."""
+    import zstandard
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -223,19 +285,15 @@ def shared_shingles(leaders: DataFrame) -> DataFrame:
             bucket = (mix(rows["token"]) % np.uint64(buckets)).astype(np.int64)
             order, parts = parts_by(bucket)
             rows, bucket = rows[order], bucket[order]
-            pack = zstandard.ZstdCompressor(level=1)
-            blobs = [pack.compress(b"".join(np.ascontiguousarray(rows[p][c]).tobytes() for c in ENTRY.names)) for p in parts]
+            pack, blobs = zstandard.ZstdCompressor(level=1), []
+            for p in parts:
+                part = rows[p].copy()
+                part["gid"] = np.diff(part["gid"], prepend=0)
+                blobs.append(pack.compress(b"".join(np.ascontiguousarray(part[c]).view(np.uint8).reshape(len(part), -1).T.tobytes() for c in ENTRY.names)))
             return pa.record_batch([pa.array(bucket[[p.start for p in parts]]), pa.array([p.stop - p.start for p in parts]), pa.array(blobs, pa.binary())], ["bucket", "entries", "blob"])
 
         for batch in batches:
-            blobs = batch.column(3).to_pylist()
-            tokens, each = unpacked(blobs), np.array([len(x) // 6 for x in blobs], np.int64)
-            rows = np.empty(len(tokens), ENTRY)
-            rows["token"] = tokens
-            for name, i in (("gid", 0), ("n", 1), ("m", 2)):
-                rows[name] = np.repeat(batch.column(i).to_numpy(), each)
-            rows["pos"] = np.arange(len(tokens)) - np.repeat(np.cumsum(each) - each, each)
-            held.append(rows)
+            held.append(entries_of(batch, True))
             if sum(map(len, held)) > 1_000_000:
                 yield flush()
                 held.clear()
@@ -243,197 +301,328 @@ def shared_shingles(leaders: DataFrame) -> DataFrame:
             yield flush()
 
     def gather(group: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        parts = []
+        unpack, parts = zstandard.ZstdDecompressor(), []
         for size, blob in zip(group.column("entries").to_pylist(), group.column("blob").to_pylist(), strict=True):
-            raw, rows, at = unpack.decompress(blob), np.empty(size, ENTRY), 0
+            raw, rows, at = np.frombuffer(unpack.decompress(blob), np.uint8), np.empty(size, ENTRY), 0
             for name in ENTRY.names:
-                width = ENTRY[name].itemsize * size
-                rows[name] = np.frombuffer(raw[at : at + width], ENTRY[name])
-                at += width
+                width = ENTRY[name].itemsize
+                rows[name] = np.ascontiguousarray(raw[at : at + width * size].reshape(width, size).T).view(ENTRY[name]).ravel()
+                at += width * size
+            rows["gid"] = np.cumsum(rows["gid"])
             parts.append(rows)
         rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows["gid"], rows["token"]))]
-        edge = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
+        order = np.argsort(rows["token"], kind="stable")
+        token = rows["token"][order]
+        twice = np.append(False, token[1:] == token[:-1])
+        some = twice | np.append(twice[1:], False) | (rows["m"][order] > 1)
+        rows, band = in_bands(rows[order[some]])
+        if not len(rows):
+            return pa.table({"pivot": pa.array([], pa.int64()), "band": pa.array([], pa.int32()), "gid": pa.array([], pa.int64())})
+        order = np.lexsort((rows["gid"], band, rows["token"]))
+        rows, band = rows[order], band[order]
+        edge = np.flatnonzero(np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (band[1:] != band[:-1])))
         each = np.diff(np.append(edge, len(rows)))
-        classes = np.add.reduceat(rows["m"].astype(np.int64), edge)
-        keep = np.repeat(classes > 1, each)
-        rows, pivot = rows[keep], rows[np.repeat(edge, each)[keep]]
-        columns = {"token": rows["token"].view(np.int64), "gid": rows["gid"], "n": rows["n"], "pos": rows["pos"], "pivot": pivot["gid"], "pivot_n": pivot["n"], "pivot_pos": pivot["pos"]}
-        return pa.table({k: np.ascontiguousarray(v) for k, v in columns.items()})
+        good = (np.add.reduceat(rows["m"].astype(np.int64), edge) > 1) & np.logical_or.reduceat(band_of(rows["n"]) == band, edge)
+        keep = np.repeat(good, each)
+        found = np.stack([np.repeat(rows["gid"][edge], each)[keep], band[keep], rows["gid"][keep]])
+        found = np.unique(found, axis=1) if found.shape[1] else found
+        return pa.table({"pivot": found[0], "band": found[1].astype(np.int32), "gid": found[2]})
+
+    sent = leaders.mapInArrow(send, "bucket long, entries long, blob binary")
+    return sent.groupBy("bucket").applyInArrow(gather, "pivot long, band int, gid long")
+
 
-    sent = leaders.select("gid", "n", "m", "prefix").mapInArrow(send, "bucket long, entries long, blob binary")
-    return sent.groupBy("bucket").applyInArrow(gather, "token long, gid long, n int, pos int, pivot long, pivot_n int, pivot_pos int")
+def frequent_bundles(leaders: DataFrame) -> DataFrame:
+    """pivot, band, gid of the other prefix shingles: the pivot is a grouped minimum; rows may repeat."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, band = in_bands(entries_of(batch, False))
+            own = band_of(rows["n"]) == band
+            yield pa.record_batch([pa.array(rows["token"].view(np.int64)), pa.array(band), pa.array(np.ascontiguousarray(rows["gid"])), pa.array(np.ascontiguousarray(rows["m"])), pa.array(own)], ["token", "band", "gid", "m", "own"])
+
+    some = leaders.where("length(prefix) > 6 * light")
+    entries = cut(some.mapInArrow(send, "token long, band int, gid long, m int, own boolean"))
+    pivots = entries.groupBy("token", "band").agg(F.min("gid").alias("pivot"), F.sum("m").alias("classes"), F.bool_or("own").alias("own"))
+    pivots = cut(pivots.where("classes > 1 and own").select("token", "band", "pivot"))
+    return entries.select("token", "band", "gid").join(maybe_broadcast(pivots), ["token", "band"]).select("pivot", "band", "gid")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (pivot, band, uid, n, ...) with i, j, h: the pair of blocks of the bundle that a copy is for, and its own block."""
+    sizes = rows.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK_ROWS, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    large = maybe_broadcast(cut(sizes.select("pivot", "band", blocks).where("blocks > 1")))
+    rows = rows.join(large, ["pivot", "band"], "left").withColumn("h", F.coalesce(F.expr("cast(pmod(xxhash64(uid), blocks) as int)"), F.lit(0)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    rows = rows.withColumns({"i": F.least("h", "other").cast("int"), "j": F.greatest("h", "other").cast("int")}).drop("blocks", "other")
+    keys = ["pivot", "band", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "uid")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 4) -> Iterator[pa.RecordBatch]:
+    """Rows of equal first columns, one run at a time, from batches in order of these."""
+    held: list[pa.RecordBatch] = []
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(key)])
+        if held and any(held[0].column(c)[0].as_py() != keys[c, 0] for c in range(key)):
+            yield whole()
+            held = []
+        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        at = 0
+        for edge in edges.tolist():
+            held.append(batch.slice(at, edge - at))
+            yield whole()
+            held, at = [], edge
+        held.append(batch.slice(at))
+    if held:
+        yield whole()
+
+
+def common_bits(values: np.ndarray, rows: np.ndarray, number: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each pair (p, q) of rows the number of values that both have. values, rows: distinct pairs of a value and a row."""
+    out = np.zeros(len(p), np.int64)
+    if not len(values) or not len(p):
+        return out
+    order = np.argsort(values, kind="stable")
+    value, row = values[order], rows[order]
+    new = np.append(True, value[1:] != value[:-1])
+    edge = np.flatnonzero(new)
+    several = np.diff(np.append(edge, len(value))) > 1
+    keep = np.repeat(several, np.diff(np.append(edge, len(value))))
+    column, row = (np.cumsum(several) - 1)[np.cumsum(new) - 1][keep], row[keep]
+    columns = int(several.sum())
+    step = max(64, AT_ONCE // max(1, number)) // 64 * 64
+    for low in range(0, columns, step):
+        inside = (column >= low) & (column < low + step)
+        bits = np.zeros((number, -(-min(step, columns - low) // 64) * 64), bool)
+        bits[row[inside], column[inside] - low] = True
+        words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        chunk = max(1, AT_ONCE // words.shape[1])
+        for at in range(0, len(p), chunk):
+            part = slice(at, at + chunk)
+            out[part] += np.bitwise_count(words[p[part]] & words[q[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+class Block:
+    """A run of dealt rows: pivot, band, i, j, uid, n, h, earlier (smaller pivots of the class in this band)."""
+
+    def __init__(self, run: pa.RecordBatch):
+        _, fresh = np.unique(run.column("uid").to_numpy(), return_index=True)  # copies of a class that rows of equal ids bring
+        if len(fresh) < run.num_rows:
+            run = run.take(pa.array(fresh))
+        self.run, self.band = run, run.column("band")[0].as_py()
+        self.uid, self.n, h = (run.column(c).to_numpy() for c in ("uid", "n", "h"))
+        i, j = (run.column(c)[0].as_py() for c in ("i", "j"))
+        self.left, self.right = (np.flatnonzero(h == i), np.flatnonzero(h == j))
+        self.one = i == j
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The block's pairs (p, q) of rows whose sizes allow a link, some at a time."""
+        if not len(self.left) or not len(self.right):
+            return
+        own = band_of(self.n) == self.band
+        step = max(1, 250_000 // len(self.right))
+        for at in range(0, len(self.left), step):
+            p, q = self.left[at : at + step, None], self.right[None, :]
+            good = (own[p] | own[q]) & (DENOMINATOR * np.minimum(self.n[p], self.n[q]) >= NUMERATOR * np.maximum(self.n[p], self.n[q]))
+            if self.one:
+                good &= p < q
+            a, b = np.nonzero(good)
+            if len(a):
+                yield self.left[at : at + step][a], self.right[b]
+
+    def parity(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.run.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
+
+    def near(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that parities allow to link and that no earlier bundle has."""
+        parity, found = self.parity(), [(np.zeros(0, np.int64),) * 2]
+        for p, q in self.pairs():
+            total = self.n[p] + self.n[q]
+            most = total - 2 * ((NUMERATOR * total + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR))
+            apart = np.zeros(len(p), np.int64)
+            for w in range(PARITY_WORDS):
+                apart += np.bitwise_count(parity[p, w] ^ parity[q, w])
+            good = apart <= most
+            found.append((p[good], q[good]))
+        p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+        earlier = self.run.column("earlier")
+        sizes, values = np.diff(earlier.offsets.to_numpy()), earlier.flatten().to_numpy()
+        if len(values) and len(p):
+            first = common_bits(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes), p, q) == 0
+            p, q = p[first], q[first]
+        return p, q
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs, of those near, whose whole sets link."""
+        p, q = self.near()
+        blobs = self.run.column("grams").to_pylist()
+        sizes = np.array([len(x) // 8 for x in blobs], np.int64)
+        common = common_bits(np.frombuffer(b"".join(blobs), np.uint64), np.repeat(np.arange(len(sizes)), sizes), len(sizes), p, q)
+        good = DENOMINATOR * common >= NUMERATOR * (self.n[p] + self.n[q] - common)
+        return p[good], q[good]
+
+
+def least_linked(number: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of so many rows the first that links reach from it."""
+    label = np.arange(number)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, p, label[q])
+        np.minimum.at(low, q, label[p])
+        low = low[low]
+        if np.array_equal(low, label):
+            return label
+        label = low
+
+
+def near_classes(rows: DataFrame) -> DataFrame:
+    """pivot, band, uid: the classes that are in a near pair of the bundle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for one in runs(batches):
+            block = Block(one)
+            some = np.unique(np.concatenate(block.near()))
+            if len(some):
+                held.append(block.run.select(["pivot", "band", "uid"]).take(pa.array(some)))
+                total += len(some)
+            if total > 10_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, total = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    own = rows.select("pivot", "band", "i", "j", "uid", "n", "h", "earlier", "parity")
+    return own.mapInArrow(run, "pivot long, band int, uid long").distinct()
+
+
+def block_links(rows: DataFrame, pairs: bool) -> DataFrame:
+    """uid, hub, others: for each class of a block's links the first class that these reach, and the documents that it links with;
+    or, if pairs are asked for, a, b: the links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in runs(batches):
+            block = Block(one)
+            p, q = block.links()
+            if not len(p):
+                continue
+            if pairs:
+                for at in range(0, len(p), 100_000):
+                    a, b = block.uid[p[at : at + 100_000]], block.uid[q[at : at + 100_000]]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                continue
+            members, others = block.run.column("members").to_numpy(), np.zeros(len(block.uid), np.int64)
+            np.add.at(others, p, members[q])
+            np.add.at(others, q, members[p])
+            some = np.flatnonzero(others)
+            yield pa.record_batch([pa.array(block.uid[some]), pa.array(block.uid[least_linked(len(block.uid), p, q)[some]]), pa.array(others[some])], ["uid", "hub", "others"])
+
+    own = rows.select("pivot", "band", "i", "j", "uid", "n", "h", "earlier", "parity", "members", "grams")
+    return own.mapInArrow(run, "a long, b long" if pairs else "uid long, hub long, others long")
 
-def links_among(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
+
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """uid, grams: the whole sets of the wanted classes (uid, first_id, s1, s2, n); rows may repeat."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, first = shingle_sets(words_of(batch.column(1), lower=True), size)
+            grams, first = shingle_sets(words_of(batch.column(0), lower=True), size)
+            s1, s2 = digests(grams, first)
             blobs = [grams[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], ["id", "grams"])
-
-    def compare(key: tuple, own: pa.Table, needed: pa.Table) -> pa.Table:
-        known = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(needed.column("id").to_pylist(), needed.column("grams").combine_chunks(), strict=True)}
-        good = []
-        for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True):
-            if a not in known or b not in known:
-                good.append(False)
-                continue
-            both = np.concatenate([known[a], known[b]])
-            both.sort(kind="stable")  # two sorted runs, which are merged
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            good.append(DENOMINATOR * common >= NUMERATOR * (len(both) - common))
-        return own.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    wanted = docs.join(maybe_broadcast(ids), docs["doc_id"] == ids["wanted"], "left_semi").select("doc_id", "text")
-    sets = cut(wanted.mapInArrow(build, "id long, grams binary"))
-    # Documents are dealt to `sides` parts, pairs to pairs of parts; a set goes once to each pair of parts that needs it.
-    sides = int(np.ceil(np.sqrt(4 * bucket_count(docs.sparkSession))))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
-    dealt = pairs.select("a", "b", part("a").alias("p"), part("b").alias("q"))
-    needed = dealt.select(F.col("p").alias("np"), F.col("q").alias("nq"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = needed.join(sets.dropDuplicates(["id"]), "id").select("np", "nq", "id", "grams")
-    return dealt.groupBy("p", "q").cogroup(needed.groupBy("np", "nq")).applyInArrow(compare, "a long, b long")
-
-
-def overlap(x, y):
-    """The least number of common shingles of a linked pair of these sizes."""
-    return F.floor((NUMERATOR * (F.col(x) + F.col(y)) + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR))
-
-
-def likely(na: str, pa_: str, nb: str, pb: str, common: int = COMMON):
-    """Whether sizes allow a link, and a shared shingle's positions count for a pair of these sizes."""
-    o, k = overlap(na, nb), F.least(F.lit(common), overlap(na, nb))
-    close = DENOMINATOR * F.least(na, nb) >= NUMERATOR * F.greatest(na, nb)
-    return close & (F.col(pa_) < F.col(na) - o + k) & (F.col(pb) < F.col(nb) - o + k)
-
-
-def enough(na: str, nb: str, common: int = COMMON):
-    """Whether a pair shares as many counted shingles as a linked one does at least."""
-    return F.col("count") >= F.least(F.lit(common), overlap(na, nb))
-
-
-def with_pivots(rows: DataFrame) -> DataFrame:
-    """a, b: each document (id, n, pos) with the pivots that share most shingles with it."""
-    pairs = rows.where((F.col("id") != F.col("pivot")) & likely("n", "pos", "pivot_n", "pivot_pos"))
-    pairs = pairs.groupBy("pivot", "id", "pivot_n", "n").count().where(enough("pivot_n", "n"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), asc=False), 1, PIVOTS)
-    return pairs.groupBy("id").agg(best.alias("best")).select(F.explode("best.pivot").alias("p"), "id").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
-
-
-def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with comp, the component so far, of those shingles that different components share."""
-    placed = cut(rows.join(found, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("comp")))
-    several = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    return cut(placed.join(several, "token", "left_semi"))
-
-
-def _with_links(links: DataFrame, found: DataFrame, pairs: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """links and components, with those of the pairs that link."""
-    if pairs.isEmpty():
-        return links, found
-    new = cut(links_among(pairs, docs, size))
-    if new.isEmpty():
-        return links, found
-    links = links.union(new)
-    return links, components(links)
-
-
-def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(drawn, classes, members, shared): sketches, classes, the classes of groups of several, and shared shingles of leaders."""
-    prepare(docs.sparkSession)
-    drawn = cut(sketches(docs, heavy_shingles(docs, size), size))
-    some = drawn.where("n > 0")
-    classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
-    light = cut(some.select("doc_id", "s1", "s2", "n", F.xxhash64("prefix").alias("gkey")).join(classes.select("s1", "s2", "n", "class_id"), ["s1", "s2", "n"]).select("doc_id", "class_id", "n", "gkey"))
-    heads = light.where("doc_id = class_id").distinct()
-    groups = cut(heads.groupBy("gkey", "n").agg(F.min("class_id").alias("gid"), F.count(F.lit(1)).alias("m")))
-    members = cut(heads.join(groups.where("m > 1"), ["gkey", "n"]).select("gid", F.col("class_id").alias("member"), "n", "m"))
-    others = cut(light.where("doc_id <> class_id").select(F.col("doc_id").alias("other")).union(members.where("member <> gid").select("member")).distinct())
-    lead = some.where("doc_id is not null").join(maybe_broadcast(others), F.col("doc_id") == F.col("other"), "left_anti").select(F.col("doc_id").alias("gid"), "n", "prefix")
-    sizes = members.select("gid", "m").distinct()
-    lead = lead.join(maybe_broadcast(cut(sizes)), "gid", "left").select("gid", "n", F.coalesce("m", F.lit(1)).alias("m"), "prefix")
-    return drawn, classes, members, cut(shared_shingles(lead))
-
-
-def _candidates(shared: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b: all pairs of classes that share as many prefix shingles as a linked pair does. Groups are paired first, then expanded."""
-    x, y = (shared.select("token", *(F.col(c).alias(d) for c, d in zip(("gid", "n", "pos"), names, strict=True))) for names in (("a", "na", "pa"), ("b", "nb", "pb")))
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & likely("na", "pa", "nb", "pb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").count().where(enough("na", "nb")).select("a", "b")
-    left, right = (members.select(F.col("gid").alias(g), F.col("member").alias(m)) for g, m in (("a", "ma"), ("b", "mb")))
-    pairs = pairs.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
-    inside = members.select("gid", F.col("member").alias("x")).join(members.select("gid", F.col("member").alias("y")), "gid").where("x < y").select("x", "y")
-    return pairs.union(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _placed(drawn: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, members: one row per row of drawn."""
-    of = drawn.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
-    of = of.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    return of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "members")
-
-
-def _own(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    prepare(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links).
-
-    documents: doc_id, n_shingles, component_id, class_id, n_links (the other rows with which the row links), one row per row
-    of docs. classes: class_id, n, members. links: a, b (a < b), all pairs of classes that link; rows of one class, whose sets
-    are equal, link as well and are not listed. So all linked pairs of documents are those of members of a and of b, and those
-    inside a class. Null and empty texts have no shingles, no links and stand alone; repeated rows are one class; a null id
-    gets its class's ids; a class of null ids alone is not compared with others; extra columns are not read; an empty table
-    gives empty results. As many pairs are verified as a group of near copies has: the square of its size, as its links are.
+            yield pa.record_batch([pa.array(s1), pa.array(s2), pa.array(np.diff(first)), pa.array(blobs, pa.binary())], ["s1", "s2", "n", "grams"])
+
+    ids = maybe_broadcast(cut(wanted.select("first_id").distinct()))
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi").select("text")
+    return texts.mapInArrow(build, "s1 long, s2 long, n long, grams binary").join(maybe_broadcast(wanted.select("s1", "s2", "n", "uid")), ["s1", "s2", "n"]).select("uid", "grams")
+
+
+class Join:
+    """The classes of docs and, block by block, their links."""
+
+    def __init__(self, docs: DataFrame, text: str, doc_id: str, size: int, heavy: int = HEAVY):
+        prepare(docs.sparkSession)
+        docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        self.drawn = cut(sketches(docs, heavy_shingles(docs, size, heavy), size).withColumn("row", F.monotonically_increasing_id()))
+        some = self.drawn.where("n > 0")
+        self.classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("row").alias("uid"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
+        self.rows = self._blocks(docs, some, size)
+
+    def _blocks(self, docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
+        """The classes that may link, with their whole sets, dealt out in blocks."""
+        copies = some.join(self.classes.where("members > 1"), ["s1", "s2", "n"]).where("row <> uid").select(F.col("row").alias("copy"))
+        copies = maybe_broadcast(cut(copies))
+        light = some.withColumnRenamed("row", "uid").join(copies, F.col("uid") == F.col("copy"), "left_anti")
+        keys = ["n", "g1", "g2"]
+        named = light.withColumns({"g1": F.xxhash64("prefix"), "g2": F.hash("prefix")}).select("uid", *keys)
+        groups = maybe_broadcast(cut(named.groupBy(*keys).agg(F.min("uid").alias("gid"), F.count(F.lit(1)).cast("int").alias("m")).where("m > 1")))
+        members = cut(named.join(groups, keys).select("gid", F.col("uid").alias("member"), "m"))
+        followers = maybe_broadcast(cut(members.where("member <> gid").select("member")))
+        sizes = maybe_broadcast(cut(members.where("member = gid").select("gid", "m")))
+        leaders = light.join(followers, F.col("uid") == F.col("member"), "left_anti").withColumnRenamed("uid", "gid").join(sizes, "gid", "left")
+        leaders = leaders.select("gid", "n", F.coalesce("m", F.lit(1)).alias("m"), "light", "prefix")
+
+        entries = light.agg(F.sum("light")).first()[0] or 0
+        buckets = max(bucket_count(docs.sparkSession), -(-entries // BUCKET_ENTRIES))
+        bundles = rare_bundles(leaders, buckets).unionByName(frequent_bundles(leaders))
+        of = cut(bundles.groupBy("gid", "band").agg(F.array_sort(F.collect_set("pivot")).alias("pivots")))
+        of = of.join(maybe_broadcast(members.select("gid", "member")), "gid", "left").withColumn("uid", F.coalesce("member", "gid"))
+        of = of.select("uid", "band", F.posexplode("pivots").alias("at", "pivot"), "pivots").select("uid", "band", "pivot", F.slice("pivots", F.lit(1), F.col("at")).alias("earlier"))
+        of = cut(of.join(some.select(F.col("row").alias("uid"), "n", "parity"), "uid"))
+        near = cut(near_classes(dealt(of)))
+        wanted = cut(near.select("uid").distinct().join(self.classes, "uid"))
+        kept = near.join(of, ["pivot", "band", "uid"]).join(wanted.select("uid", "members"), "uid")
+        return dealt(kept.join(sets_of(docs, wanted, size), "uid"))
+
+    def documents(self) -> DataFrame:
+        found = cut(block_links(self.rows, False))
+        edges = components(found.where("uid <> hub").select("uid", "hub").distinct(), "uid", "hub")
+        linked = found.groupBy("uid").agg(F.sum("others").alias("others")).join(edges.withColumnRenamed("id", "uid"), "uid")
+        linked = cut(linked.join(self.classes.select("uid", "first_id"), "uid"))
+        least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        linked = linked.join(least, "component").select("uid", "component_id", "others")
+        classes = self.classes.join(maybe_broadcast(cut(linked)), "uid", "left")
+        of = self.drawn.select("doc_id", "n", "s1", "s2").join(classes.drop("uid"), ["s1", "s2", "n"], "left")
+        links = F.coalesce(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links")
+        return of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first_id", "doc_id").alias("component_id"), F.coalesce("first_id", "doc_id").alias("class_id"), links)
+
+    def pairs(self) -> DataFrame:
+        first = self.classes.select("uid", "first_id")
+        out = block_links(self.rows, True)
+        for end in ("a", "b"):
+            out = out.join(first.select(F.col("uid").alias(end), F.col("first_id").alias(f"id_{end}")), end)
+        return out.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, n_links: one row per row of docs.
+
+    component_id: the smallest doc_id that links reach. class_id: the smallest doc_id among rows of the same set. n_links: the
+    other rows with which the row links, those of its class among them. Null and empty texts have no shingles and no links and
+    stand alone, under their own id. Rows are told apart by where they stand, not by id: repeated rows are one class, rows of
+    one id with different texts are compared as any others, and rows of null id link like others and get the ids of those
+    that they link with (null where these have none). Whole texts are read, however long: a block holds few long sets.
+    Extra columns are not read; an empty table gives an empty result.
     """
-    docs = _own(docs, text, doc_id)
-    drawn, classes, members, shared = _classes(docs, size)
-    links = cut(links_among(cut(_candidates(shared, members)), docs, size))
-    named = classes.where("class_id is not null").select(F.col("class_id").alias("b"), F.col("members").alias("others"))
-    ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = ends.join(named, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("others").alias("others"))
-    documents = _placed(drawn, classes, components(links)).join(degrees, "class_id", "left")
-    n_links = F.coalesce(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links")
-    return documents.select("doc_id", "n_shingles", "component_id", "class_id", n_links), classes.select("class_id", "n", "members"), links
-
-
-def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id as of similar_documents(), without finding the links inside components."""
-    docs = _own(docs, text, doc_id)
-    drawn, classes, members, shared = _classes(docs, size)
-
-    star = with_pivots(shared.withColumnRenamed("gid", "id"))
-    inside = members.where("member <> gid").select(F.col("gid").alias("a"), F.col("member").alias("b"))
-    tried = cut(star.union(inside).distinct())
-    links = cut(links_among(tried, docs, size))
-    found = components(links)
-
-    grown = shared.select("token", "gid", "n", "pos").join(members.select("gid", "member"), "gid", "left").select("token", F.coalesce("member", "gid").alias("id"), "n", "pos")
-    rest = _open(grown, found)
-    pivot = rest.groupBy("token").agg(F.min(F.struct("comp", "id", "n", "pos")).alias("p")).select("token", F.col("p.comp").alias("pivot_comp"), F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"))
-    again = with_pivots(rest.join(pivot, "token").where("comp <> pivot_comp"))
-    again = cut(again.distinct().join(tried, ["a", "b"], "left_anti"))
-    links, found = _with_links(links, found, again, docs, size)
-    tried = tried.union(again)
-
-    rest = _open(rest.drop("comp"), found)
-    x, y = (rest.select("token", *(F.col(c).alias(d) for c, d in zip(("id", "n", "pos", "comp"), names, strict=True))) for names in (("a", "na", "pa", "ca"), ("b", "nb", "pb", "cb")))
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("na", "pa", "nb", "pb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").count().where(enough("na", "nb")).select("a", "b")
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    links, found = _with_links(links, found, pairs, docs, size)
-    return _placed(drawn, classes, found).drop("members")
+    return Join(docs, text, doc_id, size, heavy).documents()
+
+
+def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
+    """a, b: all pairs of classes that link, by class_id as of similar_documents(), the smaller one first; a class of null ids alone
+    is null. As many rows as there are links between different sets, which in a group of near copies is its size squared."""
+    return Join(docs, text, doc_id, size, heavy).pairs()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that are not the first of their component; rows of null id stay."""
     from tonemill.llm.common import without_ids
 
-    return without_ids(docs, similar_components(docs).where("doc_id <> component_id").select("doc_id"))
+    return without_ids(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id"))
