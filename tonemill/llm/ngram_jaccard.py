@@ -41,7 +41,9 @@ COUNTED = np.uint64(int(0.4 * 2**64))
 #: Bits of a set's parity, and words of 64 of these.
 BITS, PARITY_WORDS = 1024, 16
 #: Classes, and shingles of them, of a block of a large bundle; prefix shingles of a packed bucket; 64-bit words compared at once.
-BLOCK_ROWS, BLOCK_SHINGLES, BUCKET_ENTRIES, AT_ONCE = 1024, 2_000_000, 2_000_000, 4_000_000
+BLOCK_ROWS, BLOCK_SHINGLES, BUCKET_ENTRIES, AT_ONCE = 1024, 2_000_000, 1_000_000, 4_000_000
+#: Classes to be verified, of some hundred bytes each, up to which their table is broadcast.
+BROADCAST_WIDE = 100_000
 #: For common_shingles(): a share of all documents; the list has at most 2 * (mean shingles) / SHARE entries.
 SHARE, LEAST_COPIES = 1e-3, 8
 TOKEN = np.uint64((1 << 48) - 1)
@@ -159,7 +161,7 @@ def heavy_shingles(docs: DataFrame, size: int = SHINGLE, least: int = HEAVY, mos
             grams, _ = shingle_sets(words_of(batch.column(0), lower=True), size)
             held.append(grams[grams < COUNTED] & TOKEN)
             total += len(held[-1])
-            if total > 3_000_000:
+            if total > 2_000_000:
                 yield flush()
                 held, total = [], 0
         if total:
@@ -348,16 +350,22 @@ def frequent_bundles(leaders: DataFrame) -> DataFrame:
     return entries.select("token", "band", "gid").join(maybe_broadcast(pivots), ["token", "band"]).select("pivot", "band", "gid")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+KEYS = ("pivot", "band", "i", "j")
+
+
+def placed(rows: DataFrame) -> DataFrame:
     """rows (pivot, band, uid, n, ...) with i, j, h: the pair of blocks of the bundle that a copy is for, and its own block."""
     sizes = rows.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
     blocks = F.ceil(F.greatest(F.col("k") / BLOCK_ROWS, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     large = maybe_broadcast(cut(sizes.select("pivot", "band", blocks).where("blocks > 1")))
     rows = rows.join(large, ["pivot", "band"], "left").withColumn("h", F.coalesce(F.expr("cast(pmod(xxhash64(uid), blocks) as int)"), F.lit(0)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    rows = rows.withColumns({"i": F.least("h", "other").cast("int"), "j": F.greatest("h", "other").cast("int")}).drop("blocks", "other")
-    keys = ["pivot", "band", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "uid")
+    return rows.withColumns({"i": F.least("h", "other").cast("int"), "j": F.greatest("h", "other").cast("int")}).drop("blocks", "other")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Placed rows, those of a pair of blocks one after the other in one task."""
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "uid")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: int = 4) -> Iterator[pa.RecordBatch]:
@@ -440,7 +448,12 @@ class Block:
                 yield self.left[at : at + step][a], self.right[b]
 
     def parity(self) -> np.ndarray:
-        return np.frombuffer(b"".join(self.run.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
+        if "parity" in self.run.schema.names:
+            blobs = self.run.column("parity").to_pylist()
+        else:
+            sets = self.run.column("grams").to_pylist()
+            blobs = parities(np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets]), len(sets))
+        return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, PARITY_WORDS)
 
     def near(self) -> tuple[np.ndarray, np.ndarray]:
         """The pairs that parities allow to link and that no earlier bundle has."""
@@ -526,23 +539,28 @@ def block_links(rows: DataFrame, pairs: bool) -> DataFrame:
             some = np.flatnonzero(others)
             yield pa.record_batch([pa.array(block.uid[some]), pa.array(block.uid[least_linked(len(block.uid), p, q)[some]]), pa.array(others[some])], ["uid", "hub", "others"])
 
-    own = rows.select("pivot", "band", "i", "j", "uid", "n", "h", "earlier", "parity", "members", "grams")
+    own = rows.select("pivot", "band", "i", "j", "uid", "n", "h", "earlier", "members", "grams")
     return own.mapInArrow(run, "a long, b long" if pairs else "uid long, hub long, others long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """uid, grams: the whole sets of the wanted classes (uid, first_id, s1, s2, n); rows may repeat."""
+def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """wanted (first_id, s1, s2, n, uid, members, places) with grams, the whole sets, instead of first_id, s1 and s2; rows may repeat."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, first = shingle_sets(words_of(batch.column(0), lower=True), size)
-            s1, s2 = digests(grams, first)
+            n = np.diff(first)
+            same = n == batch.column("n").to_numpy()
+            for half, name in zip(digests(grams, first), ("s1", "s2"), strict=True):
+                same &= half == batch.column(name).to_numpy()
             blobs = [grams[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(s1), pa.array(s2), pa.array(np.diff(first)), pa.array(blobs, pa.binary())], ["s1", "s2", "n", "grams"])
+            out = batch.select(["n", "uid", "members", "places"]).append_column("grams", pa.array(blobs, pa.binary()))
+            yield out.filter(pa.array(same))
 
-    ids = maybe_broadcast(cut(wanted.select("first_id").distinct()))
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi").select("text")
-    return texts.mapInArrow(build, "s1 long, s2 long, n long, grams binary").join(maybe_broadcast(wanted.select("s1", "s2", "n", "uid")), ["s1", "s2", "n"]).select("uid", "grams")
+    kinds = {f.name: f.dataType for f in wanted.schema}
+    schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in ("n", "uid", "members", "places")) + ", grams binary"
+    texts = docs.join(maybe_broadcast(wanted, BROADCAST_WIDE), docs["doc_id"].eqNullSafe(wanted["first_id"]))
+    return texts.select("text", "s1", "s2", "n", "uid", "members", "places").mapInArrow(build, schema)
 
 
 class Join:
@@ -577,10 +595,12 @@ class Join:
         of = of.join(maybe_broadcast(members.select("gid", "member")), "gid", "left").withColumn("uid", F.coalesce("member", "gid"))
         of = of.select("uid", "band", F.posexplode("pivots").alias("at", "pivot"), "pivots").select("uid", "band", "pivot", F.slice("pivots", F.lit(1), F.col("at")).alias("earlier"))
         of = cut(of.join(some.select(F.col("row").alias("uid"), "n", "parity"), "uid"))
-        near = cut(near_classes(dealt(of)))
-        wanted = cut(near.select("uid").distinct().join(self.classes, "uid"))
-        kept = near.join(of, ["pivot", "band", "uid"]).join(wanted.select("uid", "members"), "uid")
-        return dealt(kept.join(sets_of(docs, wanted, size), "uid"))
+        near = cut(near_classes(dealt(placed(of))))
+        kept = placed(cut(near.join(of.drop("parity"), ["pivot", "band", "uid"])))
+        places = kept.groupBy("uid").agg(F.collect_list(F.struct(*KEYS, "h", "earlier")).alias("places"))
+        wanted = cut(places.join(self.classes, "uid"))
+        sets = with_sets(docs, wanted, size).withColumn("place", F.explode("places"))
+        return dealt(sets.select("uid", "n", "members", "grams", *(f"place.{c}" for c in (*KEYS, "h", "earlier"))))
 
     def documents(self) -> DataFrame:
         found = cut(block_links(self.rows, False))
