@@ -195,20 +195,43 @@ def test_exact_edges(spark, edge_docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
-def test_quotient_filters_merge_without_loss():
+@pytest.mark.parametrize("skip", [0, 2, 7])
+def test_quotient_filters_merge_without_loss(monkeypatch, skip):
+    """Filters of several sizes, with large counts, an empty stretch and a run of many, packed and merged."""
+    monkeypatch.setattr(exact_dedup, "RANGE", 64)
     rng = np.random.default_rng(4)
-    values = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    values = rng.integers(0, 2 ** (64 - skip), 3000, dtype=np.uint64)
     values[:1000] = values[1000:2000]
-    skip, parts, blocks = 2, np.array_split(values, 5), []
-    for block in range(4):
-        filters = []
-        for p in parts:
-            own, counts = np.unique(p[(p >> np.uint64(62)) == block], return_counts=True)
-            filters.append(exact_dedup.read_filter(exact_dedup.build_filter(own, counts, skip), block))
-        blocks.append(exact_dedup.merge_filters(filters))
+    values[2500:2900] = np.uint64(12345)
+    values[2900:2950] = np.arange(50, dtype=np.uint64)
+    parts = []
+    for own in (values[:700], values[700:710], values[710:2890], values[2890:]):
+        own, counts = np.unique(own, return_counts=True)
+        packed = exact_dedup.Filter.build(own, counts, skip).pack()
+        assert len(packed) < 12 * len(own) + 40
+        part = exact_dedup.Filter.unpack(packed)
+        assert np.array_equal(part.entries()[0], own) and np.array_equal(part.entries()[1], counts)
+        parts.append(part)
+    whole = exact_dedup.merge_filters(parts)
     want, counts = np.unique(values, return_counts=True)
-    assert np.array_equal(np.concatenate([b[0] for b in blocks]), want)
-    assert np.array_equal(np.concatenate([b[1] for b in blocks]), counts)
+    assert np.array_equal(whole.entries()[0], want) and np.array_equal(whole.entries()[1], counts)
+    block = 1 if skip else 0
+    assert np.array_equal(whole.prints(block), want + np.uint64(block << (64 - skip) if skip else 0))
+
+
+def test_exact_hot_groups(spark, monkeypatch, edge_docs):
+    """Groups that are broadcast give the same as those that are shuffled."""
+    cold = sorted(map(str, exact_dedup.exact_groups(edge_docs).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_GROUP", 3)
+    assert sorted(map(str, exact_dedup.exact_groups(edge_docs).collect())) == cold
+
+
+def test_colliding_fingerprints(spark, monkeypatch):
+    """Texts of one fingerprint are told apart by their bytes."""
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, "c")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
 
 
 def test_components(spark):
@@ -218,8 +241,8 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_ids_taken_out(spark, edge_docs):
-    left = common.without_ids(edge_docs, spark.createDataFrame([(1,), (14,), (None,)], "doc_id long"))
-    assert left.count() == edge_docs.count() - 3
+def test_rows_taken_out(spark, edge_docs):
+    gone = edge_docs.where("doc_id in (1, 14) or doc_id is null").select("doc_id", common.row_key().alias("h")).union(spark.createDataFrame([(2, 0)], "doc_id long, h long"))
+    left = common.without_rows(edge_docs, gone)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in edge_docs.where("doc_id is not null and doc_id not in (1, 14)").collect())
     assert left.columns == edge_docs.columns
-    assert left.where(F.col("doc_id").isNull()).count() == 1

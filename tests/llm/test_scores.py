@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -74,22 +75,77 @@ def test_counts_in_parts(monkeypatch):
     assert whole.sum(1).tolist() == [3, 0, 1, 300, 2]
 
 
-def test_masks_miss_no_window():
-    for gone in itertools.combinations(range(13), 3):
-        left = set(range(13)) - set(gone)
-        assert any(all(s + o in left for o in m) for m in decontamination.MASKS for s in range(13 - m[-1]))
+@pytest.mark.parametrize("length", range(1, 15))
+def test_masks_miss_no_window(length):
+    """Whatever words are substituted: a mask fits in each window that counts as a leak."""
+    size, need = decontamination.window_of(length)
+    masks = [decontamination.MASKS[k] for k in decontamination.masks_of(np.array([length]))]
+    for gone in itertools.combinations(range(size), size - need):
+        left = set(range(size)) - set(gone)
+        assert any(all(s + o in left for o in m) for m in masks for s in range(size - m[-1]))
+
+
+def plain(text):
+    return re.sub(r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]", " ", (text or "").lower()).split()
+
+
+def brute_leaks(docs, items):
+    """(doc, item): most words that agree in any window, by comparing all alignments."""
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in plain(t)], np.int64)
+    coded, out = {i: code(t) for i, t in items}, {}
+    for d, text in docs:
+        own = code(text)
+        for i, item in coded.items():
+            size, need = min(13, len(item)), -(-3 * min(13, len(item)) // 4) if len(item) >= 8 else len(item)
+            if not size or len(own) < size:
+                continue
+            padded = np.concatenate([np.full(len(item), -1), own, np.full(len(item), -1)])
+            same = np.lib.stride_tricks.sliding_window_view(padded, len(item)) == item
+            real = np.lib.stride_tricks.sliding_window_view(padded, len(item)) >= 0
+            agree = np.lib.stride_tricks.sliding_window_view(same, size, axis=1).sum(-1)
+            agree[np.lib.stride_tricks.sliding_window_view(real, size, axis=1).sum(-1) < size] = -1
+            if agree.max() >= need:
+                out[d, i] = int(agree.max())
+    return out
+
+
+def test_leaks_by_brute_force(spark, sf):
+    """Planted items with substitutions of every kind, of all lengths, among plain documents."""
+    rng = np.random.default_rng(8)
+    base = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(150).collect()]
+    items = [(i, " ".join(f"k{x}" for x in rng.integers(0, 60, n))) for i, n in enumerate([*range(1, 16), 25, 40, 8, 12, 13])]
+    items += [(100, "same " * 30), (101, " ".join(plain(base[3])[:20]))]
+    docs = []
+    for d, text in enumerate(base):
+        own, (_, item) = plain(text), items[int(rng.integers(len(items)))]
+        words = item.split()
+        for j in rng.integers(0, len(words), rng.integers(0, 5)):
+            words[j] = "subst"
+        at = int(rng.integers(0, len(own) + 1))
+        docs.append((d, " ".join([*own[:at], *words[int(rng.integers(0, 3)) :], *own[at:]])))
+    docs += [(1000, "same " * 5000), (1001, "same"), (1002, "x " + "same " * 13)]
+    want = brute_leaks(docs, items)
+    for size in (10**6, 100):
+        got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=size).collect()
+        assert {(r["doc_id"], r["item_id"]): r["agree"] for r in got} == want
+    assert len(want) > 80
 
 
 def test_leaks(spark):
-    items = [(1, " ".join(f"q{i}" for i in range(20))), (2, " ".join(f"r{i}" for i in range(9))), (3, "too short item"), (4, None), (None, "x " * 20)]
+    items = [(1, " ".join(f"q{i}" for i in range(20))), (2, " ".join(f"r{i}" for i in range(9))), (3, "Too short, item"), (4, None), (None, "x " * 20), (6, "!")]
     noise = " ".join(f"n{i}" for i in range(50))
     q = items[0][1].split()
     changed = list(q)
     changed[3] = changed[8] = changed[13] = "sub"
-    docs = [(1, f"{noise} {items[0][1]} {noise}"), (2, f"{noise} {' '.join(changed).upper()} {noise}"), (3, f"{noise} {' '.join(q[:6])} {noise}"), (4, f"{noise} {items[1][1]}!"), (5, None), (6, ""), (7, " ".join(q[4:17])), (None, items[0][1])]
-    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {r["doc_id"]: r["item_ids"] for r in got} == {1: [1], 2: [1], 3: [], 4: [2], 5: [], 6: [], 7: [1], None: []}
-    assert all(r["contaminated"] == bool(r["item_ids"]) for r in got)
+    docs = [(1, f"{noise} {items[0][1]} {noise}"), (2, f"{noise} {' '.join(changed).upper()} {noise}"), (3, f"{noise} {' '.join(q[:6])} {noise}"), (4, f"{noise} {items[1][1]}!"), (5, None), (6, ""), (7, " ".join(q[4:17])), (None, items[0][1]), (8, "a too short item"), (8, "another text"), (None, "clean")]
+    own = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_ids"], r["contaminated"]) for r in decontamination.contaminated(own, benchmark).collect()), key=str)
+    want = [(1, [1]), (2, [1]), (3, []), (4, [2]), (5, []), (6, []), (7, [1]), (None, [1]), (8, [3]), (8, []), (None, [])]
+    assert got == sorted(((d, i, bool(i)) for d, i in want), key=str)
+    left = decontamination.keep_clean(own, benchmark).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted((d or 0, t or "") for (d, t), (_, i) in zip(docs, want, strict=True) if not i)
 
 
 def test_leaks_in_blocks(spark, sf):
@@ -103,9 +159,11 @@ def test_leaks_in_blocks(spark, sf):
 
 def test_leak_edges(spark, edge_docs, no_docs):
     items = edge_docs.where("doc_id = 1").select(F.lit(5).alias("item_id"), "text")
-    got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated(edge_docs, items).collect()}
-    assert got[1] == got[2] == got[3] == [5]
+    rows = decontamination.contaminated(edge_docs, items).collect()
+    got = {r["doc_id"]: r["item_ids"] for r in rows}
+    assert got[1] == got[2] == got[3] == got[None] == [5]
     assert got[4] == got[5] == got[11] == []
+    assert len(rows) == edge_docs.count()
     assert decontamination.contaminated(no_docs, items).count() == 0
     assert decontamination.contaminated(edge_docs, items.limit(0)).where("contaminated").count() == 0
 

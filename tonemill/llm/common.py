@@ -154,7 +154,12 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids; rows of null doc_id stay."""
-    gone = cut(ids.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct())
-    return docs.join(maybe_broadcast(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
+def row_key(text: str = "text") -> Column:
+    """The hash that, with the id, tells rows of one id (or of none) and other texts apart."""
+    return F.xxhash64(F.col(text))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and row_key() are in gone (doc_id, h); null ids are matched like others."""
+    gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct())
+    return docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]), "left_anti")

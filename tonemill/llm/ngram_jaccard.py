@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import _STEP, Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, maybe_broadcast, mix, prepare, words_of
+from tonemill.llm.common import _STEP, Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, maybe_broadcast, mix, prepare, row_key, without_rows, words_of
 from tonemill.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
@@ -216,13 +216,13 @@ def digests(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int = SHINGLE) -> DataFrame:
-    """doc_id, n, s1, s2 (a digest of the set), light (rare shingles of the prefix), prefix (48-bit shingles, rarest first), parity."""
+    """doc_id, h, n, s1, s2 (a digest of the set), light (rare shingles of the prefix), prefix (48-bit shingles, rarest first), parity."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            grams, first = shingle_sets(words_of(batch.column(1), lower=True), size)
+            grams, first = shingle_sets(words_of(batch.column(2), lower=True), size)
             n = np.diff(first)
             s1, s2 = digests(grams, first)
             key, token = grams >> np.uint64(2), grams & TOKEN
@@ -239,10 +239,10 @@ def sketches(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int =
             light = np.minimum(rare[first[1:]] - rare[first[:-1]], keep)
             packed = by.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             blobs = [packed[i : i + k].tobytes() for i, k in zip(first[:-1].tolist(), keep.tolist(), strict=True)]
-            columns = [batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(light), pa.array(blobs, pa.binary()), pa.array(parities(grams, rows, len(n)), pa.binary())]
-            yield pa.record_batch(columns, ["doc_id", "n", "s1", "s2", "light", "prefix", "parity"])
+            columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(s1), pa.array(s2), pa.array(light), pa.array(blobs, pa.binary()), pa.array(parities(grams, rows, len(n)), pa.binary())]
+            yield pa.record_batch(columns, ["doc_id", "h", "n", "s1", "s2", "light", "prefix", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, light long, prefix binary, parity binary")
+    return docs.select("doc_id", row_key("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, light long, prefix binary, parity binary")
 
 
 def unpacked(blobs: list[bytes]) -> np.ndarray:
@@ -607,12 +607,13 @@ class Join:
         edges = components(found.where("uid <> hub").select("uid", "hub").distinct(), "uid", "hub")
         linked = found.groupBy("uid").agg(F.sum("others").alias("others")).join(edges.withColumnRenamed("id", "uid"), "uid")
         linked = cut(linked.join(self.classes.select("uid", "first_id"), "uid"))
-        least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        linked = linked.join(least, "component").select("uid", "component_id", "others")
+        least = linked.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "uid")).alias("keeper"))
+        linked = linked.join(least, "component").select("uid", F.col("keeper.first_id").alias("component_id"), (F.col("keeper.uid") == F.col("uid")).alias("first"), "others")
         classes = self.classes.join(maybe_broadcast(cut(linked)), "uid", "left")
-        of = self.drawn.select("doc_id", "n", "s1", "s2").join(classes.drop("uid"), ["s1", "s2", "n"], "left")
+        of = self.drawn.select("doc_id", "h", "n", "s1", "s2").join(classes.drop("uid"), ["s1", "s2", "n"], "left")
+        stays = (F.coalesce("first", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("first_id"))) | (F.col("n") == 0)
         links = F.coalesce(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links")
-        return of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first_id", "doc_id").alias("component_id"), F.coalesce("first_id", "doc_id").alias("class_id"), links)
+        return of.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first_id", "doc_id").alias("component_id"), F.coalesce("first_id", "doc_id").alias("class_id"), links, stays.alias("stays"))
 
     def pairs(self) -> DataFrame:
         first = self.classes.select("uid", "first_id")
@@ -632,7 +633,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     that they link with (null where these have none). Whole texts are read, however long: a block holds few long sets.
     Extra columns are not read; an empty table gives an empty result.
     """
-    return Join(docs, text, doc_id, size, heavy).documents()
+    return Join(docs, text, doc_id, size, heavy).documents().drop("h", "stays")
 
 
 def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
@@ -642,7 +643,9 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that are not the first of their component; rows of null id stay."""
-    from tonemill.llm.common import without_ids
+    """docs, all columns as they are, without the rows that are not the first of their component.
 
-    return without_ids(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id"))
+    The first is the row of the smallest id; null ids come last. Of rows that agree in id and text all stay or go. Rows without
+    shingles (null, empty, blank texts) stay.
+    """
+    return without_rows(docs, Join(docs, "text", "doc_id", SHINGLE).documents().where("not stays").select("doc_id", "h"))
