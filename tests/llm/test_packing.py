@@ -1,11 +1,10 @@
-"""Packing: round trip, full windows, the solver; and the pipeline."""
+"""Packing: round trip, full windows, the solver."""
 
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tonemill.llm import packing
 from tonemill.llm.tokens import Encoder, word_bpe_path
@@ -63,9 +62,13 @@ def test_edges(spark, edge_docs, no_docs):
 
 
 def test_sequences_hold_the_ids(spark, edge_docs):
-    docs = edge_docs.where("doc_id < 13")
-    ids = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(docs).collect()}
-    for r in packing.pack(docs).collect():
+    rows = packing.sequences(edge_docs).collect()
+    ids = {r["sequence_id"]: bytes(r["ids"]) for r in rows}
+    places = Counter((r["sequence_id"], d["offset"], d["doc_id"], d["start"], d["length"]) for r in rows for d in r["docs"])
+    pieces = packing.pack(edge_docs).collect()
+    assert any(r["doc_id"] is None for r in pieces)
+    assert places == Counter((r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"]) for r in pieces)
+    for r in pieces:
         assert zlib.crc32(ids[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])]) == r["ids_crc32"]
 
 
@@ -95,19 +98,3 @@ def test_least_squares():
         assert (got >= 0).all()
         np.testing.assert_allclose(a @ got, a @ x, atol=1e-6)
     assert packing.nnls(np.eye(2), np.array([1.0, -1.0])).tolist() == [1.0, 0.0]
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf).persist()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        assert docs.count() <= seen
-        seen = docs.count()
-    assert 0 < seen < spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert docs.groupBy(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).count().where("count > 1").isEmpty()
-    check(docs, corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect())
-    assert corpus_pipeline.run(spark, sf).count() > 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import _BYTE, _STEP, mix
+from tonemill.llm.common import _BYTE, _STEP, cut, mix
 
 #: Rows, and bytes, that are counted at a time.
 ROWS, BYTES = 200, 2_000_000
@@ -60,10 +60,17 @@ def blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str |
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int, dims: int, n: int, lower: bool) -> tuple[np.ndarray, list]:
     """(counts, labels) of at most `size` documents: of those in labels (doc_id, label), the ones whose ids hash lowest.
 
-    Nulls are left out; of several labels of an id the least holds. The sample is in order of id.
+    Nulls are left out; of several labels of an id the least holds, and of several texts of an id the one of least counts, so
+    that an id is one row however often it repeats. The sample is in order of id.
     """
-    chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    known = labels.where("doc_id is not null and label is not null").select("doc_id", "label")
+    total, share = known.count(), 0.0
+    while True:  # only ids of low hashes are grouped; more of them, if so few ids remain after that
+        share = min(1.0, 4 * share or 2 * size / max(1, total))
+        low = known if share == 1 else known.where(F.xxhash64("doc_id") < int(share * 2**64) - 2**63)
+        chosen = cut(low.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size))
+        if share == 1 or chosen.count() >= size:
+            break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +86,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int, dims: int, n:
 
     kind = dict(chosen.dtypes)["label"]
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = sorted(texts.mapInArrow(run, f"doc_id long, label {kind}, at binary, counts binary").collect(), key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["counts"])))
+    drawn = texts.mapInArrow(run, f"doc_id long, label {kind}, at binary, counts binary")
+    rows = drawn.groupBy("doc_id").agg(F.min(F.struct("label", "at", "counts")).alias("r")).orderBy("doc_id").select("r.*").collect()
     x = np.zeros((len(rows), dims), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["counts"], "<f4")

@@ -243,26 +243,29 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, window: int = WINDOW, units: int = UNITS, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: every piece of every document and its place.
 
-    Null and empty texts are the end id alone; repeated rows are packed each; null ids are kept as such; an empty table
+    Null and empty texts are the end id alone; a very long text is cut into as many whole windows as it fills and a rest;
+    repeated rows are packed each; null ids are kept as such; ties in rank are broken by id, start and checksum; an empty table
     gives an empty result; extra columns are not read. Only the last sequences, of left-over lengths, are not full.
     """
-    pieces = cut(pieces_of(docs, text, doc_id, path, window, units, end_id))
+    return placed(cut(pieces_of(docs, text, doc_id, path, window, units, end_id)), window, units)
+
+
+def placed(pieces: DataFrame, window: int = WINDOW, units: int = UNITS) -> DataFrame:
+    """pieces (a table that is cut) with sequence_id and offset."""
     layout = Layout({r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}, window, units)
 
     @F.pandas_udf("sequence_id long, offset long")
-    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         sequence, offset = layout.place(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    out = ranked(pieces).withColumn("place", placed("length", "rank"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "place.sequence_id", "place.offset")
+    out = ranked(pieces).withColumn("place", place("length", "rank"))
+    return out.select(*pieces.columns, "place.sequence_id", "place.offset")
 
 
-def sequences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """sequence_id, ids (binary, little-endian unsigned 32-bit), docs (spans): the packed windows themselves."""
-    layout = pack(docs, text, doc_id, **how)
-    pieces = pieces_of(docs, text, doc_id, with_ids=True, **how).select("doc_id", "start", "ids_crc32", "ids").distinct()
-    rows = layout.join(pieces, ["doc_id", "start", "ids_crc32"])
+def sequences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, window: int = WINDOW, units: int = UNITS, end_id: int = END_ID) -> DataFrame:
+    """sequence_id, ids (binary, little-endian unsigned 32-bit), docs (spans): the packed windows themselves, by the rules of pack()."""
+    rows = placed(cut(pieces_of(docs, text, doc_id, path, window, units, end_id, with_ids=True)), window, units)
     spans = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids")))
     out = rows.groupBy("sequence_id").agg(spans.alias("p"))
     return out.select("sequence_id", F.expr("aggregate(p, cast('' as binary), (s, x) -> concat(s, x.ids))").alias("ids"), F.expr("transform(p, x -> struct(x.offset, x.doc_id, x.start, x.length))").alias("docs"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import cut
+from tonemill.llm.common import cut, maybe_broadcast
 from tonemill.llm.components import components
 
 #: (host, path, verdict)
@@ -91,7 +91,7 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, page_id
     """page_id, host, path, rule, verdict, via: one row per page.
 
     edges: (source, target) urls; by default those that the pages' html states. via: `rule`, `alias` or `none`.
-    Null url: empty host and path, no rule, allowed. Repeated pages get equal rows; an empty table gives an empty result;
+    Null url: empty host and path, no rule, allowed. Null html has no edges; all of a long html is searched. Repeated pages get equal rows; an empty table gives an empty result;
     other columns of pages are not read.
     """
     host, path = host_of(F.col("u")), path_of(F.col("u"))
@@ -103,8 +103,11 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, page_id
     blocked = ends.withColumns({"host": host, "path": path}).select(F.xxhash64("u").alias("id"), rule_of(host, path, rules)[1].alias("own")).where("own = 'block'")
     groups = components(edges.select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b")))
     bad = groups.join(blocked, "id", "left_semi").select("component").distinct()
-    reached = groups.join(bad, "component", "left_semi").select("id").distinct().withColumn("reached", F.lit(True))
-    out = judged.withColumn("id", F.xxhash64("u")).join(reached, "id", "left")
+    reached = groups.join(bad, "component", "left_semi").select("id")
+    # by the url itself, so that a clash of hashes in the graph reaches no other page; null urls, which no edge reaches, are dealt out
+    reached = cut(ends.withColumn("id", F.xxhash64("u")).join(reached, "id", "left_semi").select(F.col("u").alias("alias")))
+    own_key = F.coalesce("u", F.concat(F.lit("\0"), F.col("page_id").cast("string")))
+    out = judged.withColumn("key", own_key).join(maybe_broadcast(reached, 100_000), F.col("key") == F.col("alias"), "left").withColumn("reached", F.col("alias").isNotNull())
     alias = F.col("own").isNull() & F.col("u").isNotNull() & F.coalesce("reached", F.lit(False))
     return out.select(
         "page_id", "host", "path", "rule",
