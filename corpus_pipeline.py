@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that it is given and returns a DataFrame; all but the last return
 the columns of documents. A driver may write each stage's rows as Parquet and give the next stage what it reads back.
+
+Of all stages: null and empty texts are texts like others (scored, equal to each other, without shingles, clean, one end token);
+null ids are filtered like others, by their texts; whole texts count, however long; of rows equal in id and text one stays from
+the second stage on; other columns, whatever their names, are passed on as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tonemill.llm import decontamination, exact_dedup, ngram_jaccard, packing, quality
-from tonemill.llm.common import cut, table
+from tonemill.llm.common import stored, table
 
 #: Packing places pieces by a least-squares fit over all rows; SQL cannot state the neighbour vote or that fit.
 ORACLE_SQL = None
@@ -50,8 +54,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is cut, so that later ones do not compute it again."""
+    """All stages over documents; each but the last is written as Parquet to the shared checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
