@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -254,13 +253,14 @@ def placed(pieces: DataFrame, window: int = WINDOW, units: int = UNITS) -> DataF
     """pieces (a table that is cut) with sequence_id and offset."""
     layout = Layout({r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}, window, units)
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        sequence, offset = layout.place(length.to_numpy(), rank.to_numpy())
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, offset = layout.place(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            yield batch.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    out = ranked(pieces).withColumn("place", place("length", "rank"))
-    return out.select(*pieces.columns, "place.sequence_id", "place.offset")
+    names = pieces.columns
+    schema = ", ".join(f"{c} {kind}" for c, kind in pieces.dtypes) + ", sequence_id long, offset long"
+    return ranked(pieces).mapInArrow(place, schema)
 
 
 def sequences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, window: int = WINDOW, units: int = UNITS, end_id: int = END_ID) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 from array import array
 from itertools import chain
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 _encoders: dict[str, Encoder] = {}
 
 
