@@ -16,9 +16,13 @@ def term_count(lower: Column, term: Column) -> Column:
 
 
 def raw_count(text: Column, terms) -> Column:
-    """Occurrences of all terms as substrings of the lower-cased text; nested terms count each."""
-    lower = F.lower(text)
-    return F.aggregate(F.array(*map(F.lit, terms)), F.lit(0).cast("long"), lambda n, t: n + term_count(lower, t))
+    """Occurrences of all terms as substrings of the lower-cased text; nested terms count each.
+
+    The text is lower-cased once, as the one element of an array, and only terms that it contains are counted.
+    """
+    found = lambda lower, n, t: n + F.when(F.contains(lower, t), term_count(lower, t)).otherwise(F.lit(0).cast("long"))
+    total = F.transform(F.array(F.lower(text)), lambda lower: F.aggregate(F.array(*map(F.lit, terms)), F.lit(0).cast("long"), lambda n, t: found(lower, n, t)))
+    return F.when(text.isNotNull(), F.get(total, F.lit(0)))
 
 
 def per_thousand(count: Column, n_words: Column) -> Column:

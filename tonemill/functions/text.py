@@ -127,7 +127,9 @@ def drop_punctuation(text: Column) -> Column:
 
 
 def contains_any(text: Column, phrases) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p))
+    """Whether any phrase is contained; the text is worked out once, as the one element of an array."""
+    found = F.transform(F.array(text), lambda t: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p)))
+    return F.get(found, F.lit(0))
 
 
 def classify_sentence(text: Column, actions=ACTION_PHRASES, intentions=INTENTION_PHRASES) -> Column:

@@ -1,7 +1,7 @@
 """Logit and least squares with default or cluster-robust errors.
 
-Rows stay in Spark: every step sums k (k + 1) / 2 products and k scores over all rows in one aggregation; the driver solves
-the k-by-k system. Robust errors need one more aggregation, by cluster.
+Rows stay in Spark: every step sums products and scores over all rows in numpy, batch by batch, and adds up one set of sums a
+task; the driver solves the k-by-k system. Robust errors need one more aggregation, by cluster.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonemill.session import share_package
+
 
 @dataclass
 class Design:
@@ -59,15 +62,25 @@ def _linear(xs, beta) -> Column:
     return out
 
 
-def _sums(rows: DataFrame, xs, weight: Column, score: Column):
-    """(sum of weight x x', sum of score x, rows)."""
-    pairs = list(combinations_with_replacement(range(len(xs)), 2))
-    rows = rows.withColumns({"_w": weight, "_s": score})
-    got = rows.agg(*(F.sum(F.col("_w") * F.col(xs[i]) * F.col(xs[j])) for i, j in pairs), *(F.sum(F.col("_s") * F.col(x)) for x in xs), F.count(F.lit(1))).first()
-    h = np.zeros((len(xs), len(xs)))
-    for (i, j), v in zip(pairs, got, strict=False):
-        h[i, j] = h[j, i] = v or 0.0
-    return h, np.array([v or 0.0 for v in got[len(pairs) : -1]]), int(got[-1])
+def _sums(rows: DataFrame, xs, beta: np.ndarray, family: str):
+    """(sum of weight x x', sum of residual x, rows) at beta: one pass, whose plan does not depend on beta."""
+    k = len(xs)
+
+    def partial(batches):
+        total = np.zeros(k * k + k + 1)
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in range(k)])
+            y = batch.column(k).to_numpy(zero_copy_only=False).astype(float)
+            with np.errstate(over="ignore"):
+                mean = 1 / (1 + np.exp(-(x @ beta))) if family == "logit" else x @ beta
+            weight = mean * (1 - mean) if family == "logit" else np.ones(len(y))
+            total += np.concatenate([(x.T @ (x * weight[:, None])).ravel(), x.T @ (y - mean), [len(y)]])
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["at", "value"])
+
+    share_package(rows.sparkSession)
+    got = dict(rows.select(*(F.col(c).cast("double") for c in xs), F.col("y").cast("double")).mapInArrow(partial, "at long, value double").groupBy("at").agg(F.sum("value")).collect())
+    out = np.array([got.get(i, 0.0) for i in range(k * k + k + 1)])
+    return out[: k * k].reshape(k, k), out[k * k : -1], int(out[-1])
 
 
 @dataclass
@@ -107,9 +120,7 @@ def _fit(d: Design, family: str, errors: str, small_sample: bool, rounds: int, t
     beta, n = np.zeros(k), 0
     y = F.col("y")
     for _ in range(rounds):
-        eta = _linear(xs, beta)
-        mean = 1 / (1 + F.exp(-eta)) if family == "logit" else eta
-        h, g, n = _sums(d.rows, xs, mean * (1 - mean) if family == "logit" else F.lit(1.0), y - mean)
+        h, g, n = _sums(d.rows, xs, beta, family)
         step = np.linalg.lstsq(h, g, rcond=None)[0]
         beta = beta + step
         if family == "ols" or np.abs(step).max(initial=0) < tolerance:
@@ -117,7 +128,7 @@ def _fit(d: Design, family: str, errors: str, small_sample: bool, rounds: int, t
     eta = _linear(xs, beta)
     mean = 1 / (1 + F.exp(-eta)) if family == "logit" else eta
     residual = y - mean
-    h, _, n = _sums(d.rows, xs, mean * (1 - mean) if family == "logit" else F.lit(1.0), residual)
+    h, _, n = _sums(d.rows, xs, beta, family)
     bread = np.linalg.pinv(h)
     if errors == "cluster":
         meat_rows = d.rows.withColumn("_r", residual).groupBy("cluster").agg(*(F.sum(F.col("_r") * F.col(x)).alias(f"s{i}") for i, x in enumerate(xs)))

@@ -51,12 +51,13 @@ def build_corpus(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
 
     Paragraphs under min_words go, before and after those over max_words are split. Null text gives no row.
     """
-    kept = F.filter(paragraph_list(F.col(text), arrows), lambda p: X.word_count(p) >= min_words)
-    parts = F.flatten(F.transform(kept, lambda p: F.when(X.word_count(p) > max_words, split_long(p, max_words)).otherwise(F.array(p))))
-    parts = F.filter(parts, lambda p: X.word_count(p) >= min_words)
+    counted = lambda p: F.struct(p.alias("text"), X.word_count(p).alias("n"))  # noqa: E731  words are counted once a paragraph
+    enough = lambda s: s["n"] >= min_words
+    kept = F.filter(F.transform(paragraph_list(F.col(text), arrows), counted), enough)
+    parts = F.flatten(F.transform(kept, lambda s: F.when(s["n"] > max_words, F.filter(F.transform(split_long(s["text"], max_words), counted), enough)).otherwise(F.array(s))))
     others = [c for c in docs.columns if c != text]
-    out = docs.select(*others, F.posexplode(parts).alias("paragraph_id", "paragraph_text"))
-    return out.withColumn("word_count", X.word_count(F.col("paragraph_text")))
+    out = docs.select(*others, F.posexplode(parts).alias("paragraph_id", "part"))
+    return out.select(*others, "paragraph_id", F.col("part.text").alias("paragraph_text"), F.col("part.n").alias("word_count"))
 
 
 def parse_filename(name: Column) -> tuple[Column, Column]:

@@ -279,9 +279,9 @@ _POOL = f"pool AS (SELECT source AS doc, string_agg(text, ' ' ORDER BY doc_id) A
 
 
 def _pooled(spark, sf_dir):
-    d = A.joined_text(table(spark, sf_dir, "documents").where("text is not null"), ["source"], "text", ["doc_id"])
-    d = d.select(F.col("source").alias("doc"), G.vector_tokens(F.col("text"), _STOPS).alias("t"))
-    return V.term_counts(d, "doc", G.ngrams(F.col("t"), 2, 2))
+    """Bigrams of each entity's texts end to end, without joining them: those inside texts, and those across two texts' border."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("doc"), "doc_id", G.vector_tokens(F.col("text"), _STOPS).alias("t"))
+    return V.pooled_bigrams(d, "doc", "doc_id", "t")
 
 
 @query(f"WITH {_tfidf_sql(_UNI, 0.9, 3000, 'tf')} SELECT doc, term, tf, round(tfidf, 6) AS tfidf FROM w")
