@@ -130,6 +130,21 @@ def test_bands_and_prefixes():
         assert (b - o + 1 <= ngram_jaccard.prefix_length(b)).all()
 
 
+def test_parities_bound_the_distance():
+    """Of sets of all sizes, folded or not: never more apart than the sets are, and unlike ones are told apart."""
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**63, 40_000, dtype=np.uint64)
+    sets = [np.unique(pool[k : k + n]) for k, n in ((0, 3), (1, 3), (0, 700), (50, 900), (0, 9000), (100, 9500), (20_000, 9000), (0, 12_000))]
+    blobs = ngram_jaccard.parities(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets))
+    assert [8 * len(x) for x in blobs] == ngram_jaccard.parity_bits(np.array([len(x) for x in sets])).tolist()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x, y = ngram_jaccard.folded([blobs[i], blobs[j]])
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+    x, y = ngram_jaccard.folded([blobs[4], blobs[6]])
+    assert int(np.bitwise_count(x ^ y).sum()) > 18_000 / 7
+
+
 def test_jaccard_edges(spark, edge_docs, no_docs):
     found = ngram_jaccard.similar_documents(edge_docs)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()}

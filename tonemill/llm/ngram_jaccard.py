@@ -10,7 +10,7 @@ common, so the first n - o + 1 of the one and the first m - o + 1 of the other s
    (and band) are a bundle: a row for each group and bundle, however many pairs there are. Rare shingles are gathered in packed
    buckets; a shingle of many documents is a grouped minimum, so no task holds all its groups.
 3. Bundles are expanded to classes, and large ones dealt out in pairs of blocks of bounded size. In a block, pairs are
-   filtered by size and by the distance of 1,024-bit parities of their sets, which is never more than that of the sets.
+   filtered by size and by the distance of their sets' parities, which is never more than that of the sets.
    Of a pair in several bundles only the first bundle thinks of it. What goes on is the classes that are in some pair left.
 4. The whole sets of those are dealt out likewise, and each pair is verified exactly, as counts of common bits of the sets
    over the block's shared shingles. A block gives each class's number of links and edges that span its links' components.
@@ -38,8 +38,8 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 HEAVY, HEAVY_LIST = 32, 1_000_000
 #: Prefixes hold the shingles of least hash, so only hashes in this share of all are counted.
 COUNTED = np.uint64(int(0.4 * 2**64))
-#: Bits of a set's parity, and words of 64 of these.
-BITS, PARITY_WORDS = 1024, 16
+#: Least and most bits of a set's parity; between them two to four a shingle, so that unlike sets of any size are told apart.
+LEAST_BITS, MOST_BITS = 1024, 1 << 17
 #: Classes, and shingles of them, of a block of a large bundle; prefix shingles of a packed bucket; 64-bit words compared at once.
 BLOCK_ROWS, BLOCK_SHINGLES, BUCKET_ENTRIES, AT_ONCE = 1024, 2_000_000, 1_000_000, 4_000_000
 #: Classes to be verified, of some hundred bytes each, up to which their table is broadcast.
@@ -192,16 +192,32 @@ def heavy_shingles(docs: DataFrame, size: int = SHINGLE, least: int = HEAVY, mos
     return token[order], rank[order]
 
 
+def parity_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity of a set of so many shingles: a power of two, so that a wider one folds to a narrower one."""
+    wide = 1 << np.ceil(np.log2(np.maximum(2 * n, LEAST_BITS))).astype(np.int64)
+    return np.minimum(wide, MOST_BITS)
+
+
 def parities(grams: np.ndarray, rows: np.ndarray, number: int) -> list[bytes]:
-    """Each row's parity of the number of shingles at each of BITS places."""
-    out = np.empty((number, BITS), bool)
-    place = (mix(grams + _STEP) % np.uint64(BITS)).astype(np.int64)
-    for low in range(0, number, 4096):
-        high = min(number, low + 4096)
-        i, j = np.searchsorted(rows, (low, high))
-        out[low:high] = (np.bincount((rows[i:j] - low) * BITS + place[i:j], minlength=(high - low) * BITS) & 1).reshape(-1, BITS)
-    packed = np.packbits(out, axis=1, bitorder="little")
-    return [x.tobytes() for x in packed]
+    """Each row's parity of the number of shingles at each of its places."""
+    out, bits, place = [b""] * number, parity_bits(np.bincount(rows, minlength=number)), mix(grams + _STEP)
+    for width in np.unique(bits).tolist():
+        own = np.flatnonzero(bits == width)
+        for low in range(0, len(own), max(1, AT_ONCE // width)):
+            part = own[low : low + max(1, AT_ONCE // width)]
+            i, j = np.searchsorted(rows, part), np.searchsorted(rows, part, side="right")
+            at = np.arange(int((j - i).sum())) + np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)
+            where = (place[at] % np.uint64(width)).astype(np.int64) + np.repeat(np.arange(len(part)) * width, j - i)
+            odd = (np.bincount(where, minlength=len(part) * width) & 1).astype(bool).reshape(len(part), width)
+            for k, row in zip(part.tolist(), np.packbits(odd, axis=1, bitorder="little"), strict=True):
+                out[k] = row.tobytes()
+    return out
+
+
+def folded(blobs: list[bytes]) -> np.ndarray:
+    """Parities as rows of 64-bit words, all as narrow as the narrowest: halves of a wider one are added up."""
+    width = min(map(len, blobs)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in blobs])
 
 
 def digests(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -453,7 +469,7 @@ class Block:
         else:
             sets = self.run.column("grams").to_pylist()
             blobs = parities(np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets]), len(sets))
-        return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, PARITY_WORDS)
+        return folded(blobs)
 
     def near(self) -> tuple[np.ndarray, np.ndarray]:
         """The pairs that parities allow to link and that no earlier bundle has."""
@@ -461,10 +477,9 @@ class Block:
         for p, q in self.pairs():
             total = self.n[p] + self.n[q]
             most = total - 2 * ((NUMERATOR * total + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR))
-            apart = np.zeros(len(p), np.int64)
-            for w in range(PARITY_WORDS):
-                apart += np.bitwise_count(parity[p, w] ^ parity[q, w])
-            good = apart <= most
+            chunk = max(1, AT_ONCE // parity.shape[1])
+            apart = [np.bitwise_count(parity[p[k : k + chunk]] ^ parity[q[k : k + chunk]]).sum(axis=1, dtype=np.int64) for k in range(0, len(p), chunk)]
+            good = np.concatenate(apart) <= most
             found.append((p[good], q[good]))
         p, q = (np.concatenate(x) for x in zip(*found, strict=True))
         earlier = self.run.column("earlier")
