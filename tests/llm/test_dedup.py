@@ -162,14 +162,28 @@ def test_substring_query(spark, sf):
 
 
 def test_substring_common_passage(spark, monkeypatch):
-    """A passage in most documents goes by the grouped minimum, in several blocks."""
-    monkeypatch.setattr(substring_dedup, "BLOCK", 20)
+    """A passage in most documents goes without its places, over several shares of several tasks."""
+    monkeypatch.setattr(substring_dedup, "HELD", 30)
     rng = np.random.default_rng(1)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, " ".join(f"u{i}_{j}" for j in rng.integers(0, 50, 20)) + " " + passage + f" tail{i}") for i in range(40)]
     want = windows(dict(rows))
-    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
+    for parts in (1, 3):
+        got = substring_dedup.without_repeats(spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(parts)).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
+
+
+def test_substring_common_grams(spark, monkeypatch):
+    """Few words, so that nearly all grams are common: windows differ although their grams do not; a bound on a minimiser's documents."""
+    monkeypatch.setattr(substring_dedup, "HELD", 200)
+    rng = np.random.default_rng(2)
+    whole = [" ".join(f"w{j}" for j in rng.integers(0, 3, 60)) for _ in range(60)]
+    rows = [(i, whole[int(rng.integers(0, 60))] + " " + whole[int(rng.integers(0, 60))][: int(rng.integers(30, 90))]) for i in range(90)]
+    want = windows(dict(rows))
+    for most in (10, substring_dedup.MOST):
+        monkeypatch.setattr(substring_dedup, "MOST", most)
+        got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
 
 
 def test_substring_edges(spark, edge_docs, no_docs):

@@ -70,19 +70,22 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return grams, np.searchsorted(rows, np.arange(len(count) + 1))
 
 
-def common_shingles(docs: DataFrame, size: int = SHINGLE, lower: bool = True) -> np.ndarray:
-    """Hashes of shingles in a noticeable share of all documents, rarest first.
+def common_shingles(docs: DataFrame, size: int = SHINGLE, lower: bool = True, most: int | None = None) -> np.ndarray:
+    """Hashes of shingles in a noticeable share of all documents, or in about `most` of them, rarest first.
 
     Each partition counts all its documents' shingles and reports those of the share or more of its own documents, which
     any shingle of that share of all documents is in some partition; their counts are then added up.
     """
 
+    n_docs = docs.count()
+    share = min(SHARE, most / max(n_docs, 1)) if most else SHARE
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, total = [], 0, 0
 
         def flush():
             values, counts = np.unique(np.concatenate(seen), return_counts=True)
-            often = counts >= max(LEAST_COPIES, SHARE * total)
+            often = counts >= max(LEAST_COPIES, share * total)
             return pa.record_batch([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
         for batch in batches:
@@ -97,7 +100,7 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE, lower: bool = True) ->
 
     found = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     found = cut(found)
-    least = max(LEAST_COPIES, int(SHARE * docs.count() / 2))
+    least = max(LEAST_COPIES, int(share * n_docs / 2))
     rows = found.where(F.col("n") >= least).orderBy("n", "shingle").toPandas()
     return rows["shingle"].to_numpy(np.int64).view(np.uint64)
 

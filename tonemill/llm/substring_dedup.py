@@ -6,9 +6,10 @@ all occurrences of its windows: it hashes and sorts them, compares the bytes of
 smallest doc_id of each. Before sending, a task keeps each packed string once, with its smallest doc_id and the list of
 where it stands.
 
-Grams in a noticeable share of documents rank after all others, so that no common line or phrase rules a bucket. A window
-made up of such grams alone (the inside of a passage or text with very many copies) does not go to a bucket: its
-smallest doc_id is found by a grouped minimum, pre-aggregated in each task, and sent back in blocks of bounded size.
+Grams in a noticeable share of documents rank after all others, so that no common line or phrase rules a bucket. Windows
+made up of such grams alone (the inside of a passage or text with very many copies) travel by a minimiser of longer grams,
+and without the list of their places, which may be most of the corpus: a bucket gets each task's distinct strings,
+compares bytes like any other, and sends each task's smallest ids back to where the places were left.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ WINDOW, GRAM = 13, 3
 SPLIT, HELD = 4, 250_000
 HOT = np.uint64(1 << 63)
 SECOND = np.uint64(0xA24BAED4963EE407)
-#: Windows of common passages whose smallest ids are sent to the tasks at once (24 bytes each).
-BLOCK = 400_000
+#: Words fewer than a window's in the grams whose minimiser parts windows of common grams.
+SHORTER = 4
+#: A gram in so many documents is common, however small their share, so that no minimiser brings a bucket more of them.
+MOST = 4_000_000
 RANGES = "doc_id long, first long, last long"
 
 
@@ -101,8 +104,17 @@ def lines_of(text: bytes, lines: int) -> Words:
     return Words(body, np.concatenate(([0], ends, [len(body)]))[: lines + 1] if lines else np.zeros(1, np.int64))
 
 
+def sliding_least(key: np.ndarray, more: int) -> np.ndarray:
+    """The least of each entry and so many after it."""
+    n = len(key) - more
+    out = key[:n].copy()
+    for k in range(1, more + 1):
+        np.minimum(out, key[k : k + n], out=out)
+    return out
+
+
 def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot: bool) -> DataFrame:
-    """bucket, blob: packed super-k-mers by bucket; or, if hot, those of common passages, a blob a task's share."""
+    """bucket, blob: packed super-k-mers by bucket, a blob for each of a task's shares; if hot, those of common grams alone."""
     buckets, frequent = SPLIT * bucket_count(docs.sparkSession), np.sort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,22 +126,26 @@ def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot
             at, count = gram_starts(words.first, size)
             if not len(at):
                 continue
-            key = gram_hashes(hash_words(words), gram)
+            hashes = hash_words(words)
+            key = gram_hashes(hashes, gram)
             is_hot = np.zeros(len(key), bool)
             if len(frequent):
                 where = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
                 is_hot = frequent[where] == key
             key = (key >> np.uint64(1)) | np.where(is_hot, HOT, np.uint64(0))
-            least, n = key[: len(key) - (size - gram)].copy(), len(key) - (size - gram)
-            for k in range(1, size - gram + 1):
-                np.minimum(least, key[k : k + n], out=least)
-            least = least[at]
+            least = sliding_least(key, size - gram)[at]
+            common = least >= HOT
+            if hot:
+                if not common.any():
+                    continue
+                long = max(gram, size - SHORTER)
+                least = sliding_least(gram_hashes(hashes, long), size - long)[at]
             row = np.repeat(np.arange(len(count)), count)
-            edge = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])))
-            wanted = (least[edge] >= HOT) == hot
+            edge = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (common[1:] != common[:-1])))
+            wanted = common[edge] == hot
             last = np.append(edge[1:], len(at)) - 1
             edge, last = edge[wanted], last[wanted]
-            bucket = (mix(least[edge]) % np.uint64(buckets)).astype(np.int64) if not hot else np.zeros(len(edge), np.int64)
+            bucket = (mix(least[edge]) % np.uint64(buckets)).astype(np.int64)
             first_word = at[edge]
             text, low, high = words.body.tobytes(), words.start[first_word], words.end[at[last] + size - 1]
             inside = first_word - words.first[row[edge]]
@@ -195,61 +211,81 @@ def to_remove(first_window: np.ndarray, windows: np.ndarray, least: np.ndarray,
 def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, first, last: ranges of words covered by windows that a document of a smaller id has; they may overlap."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    frequent = common_shingles(docs, gram, lower=False)
+    frequent = common_shingles(docs, gram, lower=False, most=MOST)
+
+    cold = super_kmers(docs, frequent, size, gram, hot=False).groupBy("bucket").applyInArrow(_settler(size), RANGES)
+    if not len(frequent):
+        return cut(cold)
+    passages = cut(super_kmers(docs, frequent, size, gram, hot=True).withColumn("share", F.monotonically_increasing_id()))
+    answers = passages.mapInArrow(_without_places, "bucket long, share long, blob binary").groupBy("bucket").applyInArrow(_answerer(size), "to long, least binary")
+    back = passages.join(answers, F.col("share") == F.col("to"), "left").select("blob", "least")
+    return cut(cold.unionByName(back.mapInArrow(_marker(size), RANGES)))
+
+
+def _least_ids(texts: list[bytes], owners: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all windows of packed strings, blob after blob, the smallest id; and the number of windows of each string."""
+    text, owner = b"\n".join(texts), np.concatenate(owners)
+    words = lines_of(text, len(owner))
+    begin, count, h1, h2 = window_hashes(words, size)
+    return earliest(h1, h2, np.repeat(owner, count), text, words.start[begin], words.end[begin + size - 1]), count
+
+
+def _settler(size: int):
+    """A bucket's ranges to remove."""
 
     def settle(group: pa.Table) -> pa.Table:
         parts = [unpacked(b) for b in group.column("blob").to_pylist()]
-        text = b"\n".join(p[0] for p in parts)
-        kinds = [len(p[1]) for p in parts]
-        words = lines_of(text, sum(kinds))
-        begin, count, h1, h2 = window_hashes(words, size)
-        owner = np.concatenate([p[1] for p in parts])
-        least = earliest(h1, h2, np.repeat(owner, count), text, words.start[begin], words.end[begin + size - 1])
-        shift = np.repeat(np.cumsum([0, *kinds[:-1]]), [len(p[2]) for p in parts])
+        least, count = _least_ids([p[0] for p in parts], [p[1] for p in parts], size)
+        shift = np.repeat(np.cumsum([0, *(len(p[1]) for p in parts[:-1])]), [len(p[2]) for p in parts])
         at, doc, start = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
         return pa.Table.from_batches([to_remove(np.cumsum(count) - count, count, least, at + shift, doc, start, size)])
 
-    cold = super_kmers(docs, frequent, size, gram, hot=False).groupBy("bucket").applyInArrow(settle, RANGES)
-    if not len(frequent):
-        return cut(cold)
-    passages = cut(super_kmers(docs, frequent, size, gram, hot=True).select("blob"))
+    return settle
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                text, owner, *_ = unpacked(blob)
-                begin, count, h1, h2 = window_hashes(lines_of(text, len(owner)), size)
-                doc = np.repeat(owner, count)
-                order = np.lexsort((doc, h2, h1))
-                a, b = h1[order], h2[order]
-                keep = order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]]
-                yield pa.record_batch([pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(doc[keep])], ["h1", "h2", "doc"])
-
-    least = cut(passages.mapInArrow(windows, "h1 long, h2 long, doc long").groupBy("h1", "h2").agg(F.min("doc").alias("doc")))
-    blocks = -(-least.count() // BLOCK)
-    out = cut(cold)
-    for k in range(blocks):
-        part = least.where(F.pmod(F.col("h1"), F.lit(blocks)) == k).toPandas()
-        order = np.lexsort((part["h2"].to_numpy().view(np.uint64), part["h1"].to_numpy().view(np.uint64)))
-        known1, known2, known_doc = part["h1"].to_numpy().view(np.uint64)[order], part["h2"].to_numpy().view(np.uint64)[order], part["doc"].to_numpy()[order]
-        out = out.unionByName(cut(passages.mapInArrow(_sender(known1, known2, known_doc, size), RANGES)))
-    return out
+
+def _without_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same blobs, with strings and smallest ids alone."""
+    import zstandard
+
+    for batch in batches:
+        for bucket, blob, share in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            text, owner, *_ = unpacked(blob)
+            lean = zstandard.ZstdCompressor(level=6).compress(np.array([len(owner), 0], "<i8").tobytes() + owner.tobytes() + text)
+            yield pa.record_batch([pa.array([bucket], pa.int64()), pa.array([share], pa.int64()), pa.array([lean], pa.binary())], ["bucket", "share", "blob"])
 
 
-def _sender(known1: np.ndarray, known2: np.ndarray, known_doc: np.ndarray, size: int):
-    """A task that marks the windows of packed passages by a block of known smallest ids (128-bit window hashes)."""
+def _answerer(size: int):
+    """For each of a bucket's blobs the smallest ids of its windows; none for a blob whose own ids are the smallest."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        import zstandard
+
+        parts = [unpacked(b) for b in group.column("blob").to_pylist()]
+        least, count = _least_ids([p[0] for p in parts], [p[1] for p in parts], size)
+        to, out, string, window = [], [], 0, 0
+        for share, part in zip(group.column("share").to_pylist(), parts, strict=True):
+            windows = count[string : string + len(part[1])]
+            own = least[window : window + int(windows.sum())]
+            string, window = string + len(part[1]), window + len(own)
+            if (own < np.repeat(part[1], windows)).any():
+                to.append(share)
+                out.append(zstandard.ZstdCompressor(level=6).compress(own.astype("<i8").tobytes()))
+        return pa.table([pa.array(to, pa.int64()), pa.array(out, pa.binary())], ["to", "least"])
+
+    return answer
+
+
+def _marker(size: int):
+    """The ranges to remove of blobs and the smallest ids that were sent back to them."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
+            for blob, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text, owner, at, doc, start = unpacked(blob)
-                _, count, h1, h2 = window_hashes(lines_of(text, len(owner)), size)
-                i = np.searchsorted(known1, h1)
-                i[i == len(known1)] = len(known1) - 1
-                while (late := (known1[i] == h1) & (known2[i] < h2) & (i + 1 < len(known1))).any():
-                    i[late] += 1
-                found = (known1[i] == h1) & (known2[i] == h2)
-                least = np.where(found, known_doc[i], np.iinfo(np.int64).max)
+                _, count = gram_starts(lines_of(text, len(owner)).first, size)
+                least = np.repeat(owner, count) if sent is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(sent), "<i8")
                 yield to_remove(np.cumsum(count) - count, count, least, at.astype(np.int64), doc, start, size)
 
     return mark
