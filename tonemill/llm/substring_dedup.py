@@ -10,6 +10,8 @@ Grams in a noticeable share of documents rank after all others, so that no commo
 made up of such grams alone (the inside of a passage or text with very many copies) travel by a minimiser of longer grams,
 and without the list of their places, which may be most of the corpus: a bucket gets each task's distinct strings,
 compares bytes like any other, and sends each task's smallest ids back to where the places were left.
+
+Texts meet their ranges in buckets by doc_id, packed and compressed as well.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ SECOND = np.uint64(0xA24BAED4963EE407)
 SHORTER = 4
 #: A gram in so many documents is common, however small their share, so that no minimiser brings a bucket more of them.
 MOST = 4_000_000
+#: Ranges, and bytes of texts, that a task holds before it packs them by bucket.
+RANGES_HELD, BYTES_HELD = 1_000_000, 32 << 20
+KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 RANGES = "doc_id long, first long, last long"
 
 
@@ -301,23 +306,118 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_ranges(docs, size).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    joined = docs.join(spans, docs["doc_id"] == spans["id"], "left").select("doc_id", "text", "first", "last")
+    buckets = SPLIT * bucket_count(docs.sparkSession)
+    spans = repeated_ranges(docs, size).mapInArrow(_pack_ranges(buckets), "bucket long, blob binary").groupBy("bucket")
+    texts = docs.where("doc_id is not null").mapInArrow(_pack_texts(buckets), "bucket long, blob binary").groupBy("bucket")
+    known = texts.cogroup(spans).applyInArrow(_remove, KEPT)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _kept_rows([(i, *_kept((t or "").encode(), [], [])) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+    return known.unionByName(docs.where("doc_id is null").mapInArrow(whole, KEPT))
+
+
+def _kept(text: bytes, first, last) -> tuple[int, int, bytes]:
+    """The number of words, of those in the ranges, and the others joined by one space."""
+    words = text.split()
+    n = len(words)
+    if len(first):
+        drop = np.zeros(n + 1, np.int64)
+        np.add.at(drop, np.minimum(first, n), 1)
+        np.add.at(drop, np.minimum(last, n), -1)
+        words = [w for w, d in zip(words, np.cumsum(drop)[:n].tolist(), strict=True) if d <= 0]
+    return n, n - len(words), b" ".join(words)
+
+
+def _kept_rows(rows: list[tuple]) -> pa.RecordBatch:
+    ids, total, gone, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+
+def _bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _parted(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the rows that go there."""
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for rows in np.split(order, edge[1:]) if len(order) else ():
+        yield int(bucket[rows[0]]), rows
+
+
+def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=6).compress
+    return pa.record_batch([pa.array([b for b, _ in found], pa.int64()), pa.array([press(raw) for _, raw in found], pa.binary())], ["bucket", "blob"])
+
+
+def _pack_ranges(buckets: int):
+    """Ranges by their document's bucket, a blob for each of a task's shares."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def flush():
+            rows = np.concatenate(held, axis=1)
+            return _blobs([(b, np.ascontiguousarray(rows[:, at]).tobytes()) for b, at in _parted(_bucket_of(rows[0], buckets))])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]).astype("<i8"))
+            total += batch.num_rows
+            if total > RANGES_HELD:
+                yield flush()
+                held, total = [], 0
+        if total:
+            yield flush()
+
+    return pack
+
+
+def _pack_texts(buckets: int):
+    """Documents by bucket, a blob for each of a task's shares: their number, ids, lengths in bytes, and texts."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, total = [], [], 0
+
+        def flush():
+            out = []
+            for b, at in _parted(_bucket_of(np.array(ids, np.int64), buckets)):
+                own = [texts[i] for i in at.tolist()]
+                head = np.array([len(own), *(ids[i] for i in at.tolist()), *map(len, own)], "<i8").tobytes()
+                out.append((b, head + b"".join(own)))
+            return _blobs(out)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, kept = [], [], []
-            for content, first, last in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                words = (content or "").encode().split()
-                n = len(words)
-                if first:
-                    drop = np.zeros(n + 1, np.int64)
-                    np.add.at(drop, np.minimum(first, n), 1)
-                    np.add.at(drop, np.minimum(last, n), -1)
-                    words = [w for w, d in zip(words, np.cumsum(drop)[:n].tolist(), strict=True) if d <= 0]
-                total.append(n)
-                gone.append(n - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string")
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append((t or "").encode())
+                total += len(texts[-1]) + 64
+                if total > BYTES_HELD:
+                    yield flush()
+                    ids, texts, total = [], [], 0
+        if ids:
+            yield flush()
+
+    return pack
+
+
+def _remove(texts: pa.Table, spans: pa.Table) -> pa.Table:
+    """A bucket's documents without the words in their ranges."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    doc, first, last = np.concatenate([np.zeros((3, 0), "<i8"), *(np.frombuffer(expand(b), "<i8").reshape(3, -1) for b in spans.column("blob").to_pylist())], axis=1)
+    order = np.argsort(doc, kind="stable")
+    doc, first, last = doc[order], first[order], last[order]
+    out = [_kept_rows([])]
+    for blob in texts.column("blob").to_pylist():
+        raw = expand(blob)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        ids, ends = np.frombuffer(raw, "<i8", n, 8), np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n)) + 8 + 16 * n
+        low, high = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
+        begin = [8 + 16 * n, *ends[:-1].tolist()]
+        out.append(_kept_rows([(i, *_kept(raw[x:y], first[j:k], last[j:k])) for i, x, y, j, k in zip(ids.tolist(), begin, ends.tolist(), low.tolist(), high.tolist(), strict=True)]))
+    return pa.Table.from_batches(out)
