@@ -199,12 +199,22 @@ def test_substring_edges(spark, edge_docs, no_docs):
     assert substring_dedup.without_repeats(no_docs).count() == 0
 
 
+def test_sliding_least_and_sets():
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+    for more in range(12):
+        assert substring_dedup.sliding_least(key, more).tolist() == [min(key[i : i + more + 1].tolist()) for i in range(50 - more)]
+    known = np.sort(np.append(key[::3], np.uint64(0xFFFFFFFFFFFFFFFF)))
+    assert substring_dedup.in_set(key, known).tolist() == np.isin(key, known).tolist()
+    assert not substring_dedup.in_set(key, known[:0]).any()
+
+
 def test_window_hash_collisions():
     """Windows with equal hashes and other bytes are told apart."""
     text = b"aa bb cc"
     low, high = np.array([0, 3, 6, 0]), np.array([2, 5, 8, 2])
     same = np.zeros(4, np.uint64)
-    assert substring_dedup.earliest(same, same, np.array([5, 3, 4, 2]), text, low, high).tolist() == [2, 3, 4, 2]
+    assert substring_dedup.earliest(same, np.array([5, 3, 4, 2]), text, low, high).tolist() == [2, 3, 4, 2]
 
 
 def test_exact_edges(spark, edge_docs, no_docs):

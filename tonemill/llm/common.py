@@ -122,24 +122,27 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(body, rows)
 
 
-def hash_words(words: Words, chunk: int = 1 << 21) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, in chunks of bounded memory."""
+def _powers(n: int, base: int) -> np.ndarray:
+    powers = np.full(n, np.uint64(base), dtype=np.uint64)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+def hash_words(words: Words, chunk: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: a polynomial, as the difference of two running sums, in chunks of bounded memory."""
     start, end = words.start, words.end
     out = np.empty(len(start), dtype=np.uint64)
+    up = down = np.zeros(0, np.uint64)
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(start, start[at] + chunk)))
         low, high = int(start[at]), int(end[to - 1])
-        piece = words.body[low:high]
+        if high - low > len(up):
+            up, down = _powers(high - low, int(_BASE)), _powers(high - low, pow(int(_BASE), -1, 1 << 64))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[words.body[low:high]] * up[: high - low], out=sums[1:])
         s = start[at:to] - low
-        width = np.diff(np.append(s, high - low))
-        within = np.arange(high - low) - np.repeat(s, width)
-        powers = np.full(int(width.max()), _BASE, dtype=np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        value = _BYTE[piece] * powers[within]
-        value[within >= np.repeat(end[at:to] - start[at:to], width)] = 0
-        out[at:to] = np.add.reduceat(value, s)
+        out[at:to] = (sums[end[at:to] - low] - sums[s]) * down[s]
         at = to
     return mix(out + (end - start).astype(np.uint64) * _STEP)
 

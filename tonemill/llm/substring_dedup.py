@@ -30,7 +30,6 @@ WINDOW, GRAM = 13, 3
 #: Buckets to a shuffle partition, so that a bucket's windows are sorted in little memory; super-k-mers that a task holds.
 SPLIT, HELD = 4, 250_000
 HOT = np.uint64(1 << 63)
-SECOND = np.uint64(0xA24BAED4963EE407)
 #: Words fewer than a window's in the grams whose minimiser parts windows of common grams.
 SHORTER = 4
 #: A gram in so many documents is common, however small their share, so that no minimiser brings a bucket more of them.
@@ -51,13 +50,22 @@ def squeezed(body: np.ndarray, rows: np.ndarray) -> Words:
     return Words(body, at[rows])
 
 
-def window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows inside rows: the first word, the row's number of windows, and two 64-bit hashes."""
+def window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows inside rows: the first word, the row's number of windows, and a 64-bit hash."""
     at, count = gram_starts(words.first, size)
-    if not len(at):
-        return at, count, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    hashes = hash_words(words)
-    return at, count, gram_hashes(hashes, size)[at], gram_hashes(mix(hashes ^ SECOND), size)[at]
+    return at, count, gram_hashes(hash_words(words), size)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def in_set(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted known ones; a bit table rules most out before they are looked up."""
+    bits = max(16, len(known).bit_length() + 4)
+    table, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+    table[known >> shift] = True
+    out = table[keys >> shift]
+    maybe = np.flatnonzero(out)
+    if len(maybe):
+        out[maybe] = known[np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)] == keys[maybe]
+    return out
 
 
 class Pieces:
@@ -111,11 +119,11 @@ def lines_of(text: bytes, lines: int) -> Words:
 
 def sliding_least(key: np.ndarray, more: int) -> np.ndarray:
     """The least of each entry and so many after it."""
-    n = len(key) - more
-    out = key[:n].copy()
-    for k in range(1, more + 1):
-        np.minimum(out, key[k : k + n], out=out)
-    return out
+    n, width = len(key) - more, 1
+    while 2 * width <= more + 1:
+        key = np.minimum(key[: len(key) - width], key[width:])
+        width *= 2
+    return np.minimum(key[:n], key[more + 1 - width :][:n])
 
 
 def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot: bool) -> DataFrame:
@@ -133,11 +141,7 @@ def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot
                 continue
             hashes = hash_words(words)
             key = gram_hashes(hashes, gram)
-            is_hot = np.zeros(len(key), bool)
-            if len(frequent):
-                where = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-                is_hot = frequent[where] == key
-            key = (key >> np.uint64(1)) | np.where(is_hot, HOT, np.uint64(0))
+            key = (key >> np.uint64(1)) | (in_set(key, frequent).astype(np.uint64) << np.uint64(63))
             least = sliding_least(key, size - gram)[at]
             common = least >= HOT
             if hot:
@@ -168,19 +172,19 @@ def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot
     return docs.mapInArrow(run, "bucket long, blob binary")
 
 
-def earliest(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, text: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def earliest(hashes: np.ndarray, doc: np.ndarray, text: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """For each window the smallest doc of those with the same bytes; hashes bring equals together, bytes decide."""
-    order = np.lexsort((doc, h2, h1))
-    a, b = h1[order], h2[order]
-    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    order = np.argsort(hashes)
+    first = np.append(True, hashes[order[1:]] != hashes[order[:-1]])[: len(order)]
     edge = np.flatnonzero(first)
-    head = edge[np.cumsum(first) - 1]  # in each group the first has the smallest id
+    group = np.cumsum(first) - 1
     out = np.empty(len(doc), np.int64)
-    out[order] = doc[order][head]
+    out[order] = np.minimum.reduceat(doc[order], edge)[group] if len(order) else doc
     pairs = np.flatnonzero(~first)
-    same = [text[i:j] == text[k:m] for i, j, k, m in zip(low[order[pairs]].tolist(), high[order[pairs]].tolist(), low[order[head[pairs]]].tolist(), high[order[head[pairs]]].tolist(), strict=True)]
-    for g in set(head[pairs[~np.array(same, bool)]].tolist()) if not all(same) else ():
-        own = order[head == g]  # a collision of hashes: group these by their bytes
+    head, other = order[edge[group[pairs]]], order[pairs]
+    same = np.array([text[i:j] == text[k:m] for i, j, k, m in zip(low[other].tolist(), high[other].tolist(), low[head].tolist(), high[head].tolist(), strict=True)], bool)
+    for g in np.unique(group[pairs[~same]]).tolist():
+        own = order[group == g]  # a collision of hashes: group these by their bytes
         least: dict[bytes, int] = {}
         for w in own.tolist():
             t = text[low[w] : high[w]]
@@ -227,12 +231,16 @@ def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> Da
     return cut(cold.unionByName(back.mapInArrow(_marker(size), RANGES)))
 
 
-def _least_ids(texts: list[bytes], owners: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all windows of packed strings, blob after blob, the smallest id; and the number of windows of each string."""
-    text, owner = b"\n".join(texts), np.concatenate(owners)
-    words = lines_of(text, len(owner))
-    begin, count, h1, h2 = window_hashes(words, size)
-    return earliest(h1, h2, np.repeat(owner, count), text, words.start[begin], words.end[begin + size - 1]), count
+def _least_ids(texts: list[bytes], owners: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which distinct string each packed string is, blob after blob; the distinct ones' numbers of windows, and each window's smallest id."""
+    index: dict[bytes, int] = {}
+    which = np.array([index.setdefault(t, len(index)) for text, owner in zip(texts, owners, strict=True) for t in text.split(b"\n")[: len(owner)]], np.int64)
+    owner = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(owner, which, np.concatenate(owners))
+    text = b"\n".join(index)
+    words = lines_of(text, len(index))
+    begin, count, hashes = window_hashes(words, size)
+    return which, count, earliest(hashes, np.repeat(owner, count), text, words.start[begin], words.end[begin + size - 1])
 
 
 def _settler(size: int):
@@ -240,10 +248,10 @@ def _settler(size: int):
 
     def settle(group: pa.Table) -> pa.Table:
         parts = [unpacked(b) for b in group.column("blob").to_pylist()]
-        least, count = _least_ids([p[0] for p in parts], [p[1] for p in parts], size)
+        which, count, least = _least_ids([p[0] for p in parts], [p[1] for p in parts], size)
         shift = np.repeat(np.cumsum([0, *(len(p[1]) for p in parts[:-1])]), [len(p[2]) for p in parts])
         at, doc, start = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-        return pa.Table.from_batches([to_remove(np.cumsum(count) - count, count, least, at + shift, doc, start, size)])
+        return pa.Table.from_batches([to_remove(np.cumsum(count) - count, count, least, which[at + shift], doc, start, size)])
 
     return settle
 
@@ -266,12 +274,13 @@ def _answerer(size: int):
         import zstandard
 
         parts = [unpacked(b) for b in group.column("blob").to_pylist()]
-        least, count = _least_ids([p[0] for p in parts], [p[1] for p in parts], size)
-        to, out, string, window = [], [], 0, 0
+        which, count, least = _least_ids([p[0] for p in parts], [p[1] for p in parts], size)
+        begin, to, out, string = np.cumsum(count) - count, [], [], 0
         for share, part in zip(group.column("share").to_pylist(), parts, strict=True):
-            windows = count[string : string + len(part[1])]
-            own = least[window : window + int(windows.sum())]
-            string, window = string + len(part[1]), window + len(own)
+            own = which[string : string + len(part[1])]
+            string, windows = string + len(own), count[own]
+            inside = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+            own = least[np.repeat(begin[own], windows) + inside]
             if (own < np.repeat(part[1], windows)).any():
                 to.append(share)
                 out.append(zstandard.ZstdCompressor(level=6).compress(own.astype("<i8").tobytes()))
