@@ -43,3 +43,9 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert {r[:3] for r in got} == {("Kosovo", 2023, 125.0), ("North Macedonia", 2024, 125.0)}
+
+
+def test_bad_bytes_are_dropped(spark, tmp_path):
+    (tmp_path / "x_2020_raw.txt").write_bytes(b"caf\xc3\xa9 \xff\xc3 end")
+    (tmp_path / "y_2020_raw.txt").write_text("kept �", encoding="utf-8")
+    assert sorted(r["text"] for r in readers.text_files(spark, str(tmp_path)).collect()) == ["café  end", "kept �"]

@@ -1,12 +1,16 @@
 """Hand-made values of the text functions, scorers and segmenters."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tonemill import lexicons as L
 from tonemill.functions import scoring as S
 from tonemill.functions import text as X
+from tonemill.models import stem
 from tonemill.operators import segment as G
+from tonemill.operators import vectors as V
 
 
 def one(spark, value, make):
@@ -104,3 +108,35 @@ def test_vocabulary(spark):
 def test_ngrams(spark):
     assert one(spark, "ab cd ef", lambda t: G.ngrams(G.vector_tokens(t), 1, 2)) == ["ab", "cd", "ef", "ab cd", "cd ef"]
     assert one(spark, "ab", lambda t: G.ngrams(G.vector_tokens(t), 2, 3)) == []
+
+
+def test_section_cleaner(spark):
+    text = "3\n1. INTRODUCTION1 Rules12 apply.\n 1.2. Main findings of the report\nCluster 2: Courts"
+    assert one(spark, text, X.clean_section) == "rules apply. courts"
+
+
+def test_slugs(spark):
+    assert one(spark, " Đakovo_Ősz  ﬁ – Ａ!", X.slugify) == "akovo_osz-fi-a"
+
+
+def test_sentences_after_abbreviations(spark):
+    a = next(x for x in L.ABBREVIATIONS if x.isalpha())
+    text = f"One saw {a}. Smith and {a}. {a.title()}. Jones. Two went on. Three"
+    assert one(spark, text, lambda c: G.sentences(c, 1)) == [f"One saw {a}. Smith and {a}. {a.title()}. Jones.", "Two went on.", "Three."]
+    assert one(spark, "", lambda c: G.sentences(c, 1)) == []
+
+
+def test_alphabetic_tokens_and_stem_lists(spark):
+    text = "The (Reports) were well-known, 3rd reports; reporting ABC that"
+    assert one(spark, text, lambda c: G.alphabetic_tokens(c, 4, ("that",))) == ["reports", "were", "reports", "reporting"]
+    assert one(spark, text, lambda c: stem.stem_lists(G.alphabetic_tokens(c, 4, ("that",)), stem.porter)) == ["report", "were", "report", "report"]
+
+
+def test_pooled_ngrams(spark):
+    """Runs across several short rows, against the joined tokens."""
+    rows = [("a", 1, ["x", "y", "z"]), ("a", 2, ["u"]), ("a", 3, []), ("a", 4, ["v"]), ("a", 5, ["w", "x", "y", "z"]), ("b", 1, ["x"])]
+    df = spark.createDataFrame(rows, "g string, i int, t array<string>")
+    whole = [t for g, _, ts in rows if g == "a" for t in ts]
+    for n in (2, 3, 4):
+        want = Counter(" ".join(whole[i : i + n]) for i in range(len(whole) - n + 1))
+        assert {r["term"]: r["tf"] for r in V.pooled_ngrams(df, "g", "i", "t", n).collect()} == dict(want)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from unicodedata import normalize
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +45,14 @@ def title_label(slug: Column) -> Column:
 
 
 def slugify(name: Column) -> Column:
-    """Lower case, accents off (Latin letters), punctuation dropped, blanks as hyphens."""
-    accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžćčđ", "aaaaaaceeeeiiiinooooouuuuyyszccd"
-    plain = F.translate(F.lower(name), *accents)
-    plain = F.regexp_replace(plain, r"[^a-z0-9\s-]", "")
-    return F.regexp_replace(F.trim(plain), r"[\s-]+", "-")
+    """Compatibility forms and accents undone, letters outside ASCII and punctuation dropped, lower case, blanks as one hyphen."""
+
+    @F.pandas_udf("string")
+    def to_ascii(names: pd.Series) -> pd.Series:
+        return names.map(lambda t: normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
+
+    plain = F.regexp_replace(F.lower(to_ascii(name)), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^\w\s-]", ""), r"\s+", "-"), "-+", "-")
 
 
 # Structural noise, matched in the original case, then boilerplate, matched in lower case. `d`: only \n ends a line.
@@ -145,8 +151,7 @@ def anchor_topic(text: Column, anchors=None) -> Column:
 
 
 def ends_in_abbreviation(text: Column) -> Column:
-    lower = F.lower(text)
-    return reduce(lambda a, b: a | b, (lower.endswith(f" {a}") | (lower == a) for a in ABBREVIATIONS))
+    return F.lower(text).rlike(rf"(?:\A| )(?:{'|'.join(re.escape(a) for a in ABBREVIATIONS)})\z")
 
 
 def drop_leading_number(text: Column) -> Column:

@@ -193,15 +193,17 @@ def robust_slice(text: Column, start: str = r"1\.1 CONTEXT", end: str = r"2 CLUS
 def sentences(text: Column, min_chars: int = 25) -> Column:
     """Sentences parted at a stop before a capital, put together again after abbreviations; short ones off; stops added."""
     parts = F.filter(F.transform(F.split(X.fix_encoding(text), r"\.(?U:\s+)(?=[A-Z])"), X.strip), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
-    def add(a: Column, s: Column) -> Column:
-        glue = (a["now"] != "") & X.ends_in_abbreviation(a["now"])
-        done = F.when(~glue & (a["now"] != ""), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(glue, F.concat(a["now"], F.lit(". "), s)).otherwise(s).alias("now"))
+    def starts(p: Column) -> Column:
+        """Where a sentence begins: at every part but those after an abbreviation."""
+        at = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda i: (i == 0) | ~X.ends_in_abbreviation(F.get(p, i - 1)))
+
+    def joined(p: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, j: F.array_join(F.slice(p, i + 1, F.coalesce(F.get(at, j + 1), F.size(p)) - i), ". "))
 
-    end = lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
-    glued = F.aggregate(parts, start, add, end)
+    # parts and starts are each worked out once, as the one element of an array
+    glued = F.flatten(F.transform(F.array(parts), lambda p: F.flatten(F.transform(F.array(starts(p)), lambda at: joined(p, at)))))
     return F.transform(F.filter(glued, lambda s: F.length(s) >= min_chars), lambda s: F.concat(s, F.lit(".")))
 
 
@@ -232,6 +234,12 @@ def model_tokens(text: Column, stops=()) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1)), lambda t: ~t.isin(*stops) if stops else F.lit(True))
 
 
+def alphabetic_tokens(text: Column, least: int = 4, stops=()) -> Column:
+    """Lower-case tokens between white space, without punctuation around them, that are letters only and no stop words."""
+    bare = F.transform(X.words(F.lower(text)), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))
+    return F.filter(bare, lambda w: w.rlike(r"^\p{L}+$") & (F.length(w) >= least) & (~w.isin(*stops) if stops else F.lit(True)))
+
+
 def vector_tokens(text: Column, stops=()) -> Column:
     """Lower-case tokens of two word characters or more, stop words off."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1)), lambda t: ~t.isin(*stops) if stops else F.lit(True))

@@ -250,12 +250,27 @@ def cleaned_text(spark, sf_dir):
     return out.withColumn("final_words", X.word_count(F.col("clean")))
 
 
-@query()
+@query(rf"""WITH a AS (SELECT doc_id, text, lower({_STRUCT_SQL}) AS low FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, {words_sql('text')} AS r, {words_sql('low')} AS m, {words_sql(f'trim({_CLEAN_SQL})')} AS f FROM a)
+SELECT doc_id, r AS raw_words, m AS after_structural, f AS final_words, r - m AS structural_removed, m - f AS boilerplate_removed, r - f AS total_removed, CASE WHEN r > 0 THEN round(100.0::DOUBLE * (r - f) / r, 1) ELSE 0.0::DOUBLE END AS pct_removed FROM b""")
 def cleaning_reports(spark, sf_dir):
     """Word counts of all documents before, between and after the phases."""
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.cleaning_report(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
+_SECTION_SQL = _fold_sql("'3' || chr(10) || '1. INTRODUCTION2 1.1. CONTEXT 1.2 Summary of  the report Cluster 4: ' || text || ' word12 ' || chr(10) || ' 17 '", [
+    (r"(?m)^\s*\d{1,3}\s*$", ""), (r"([\p{L}\p{N}\p{M}_])\d{1,2}(\s)", r"\1\2"), (r"(?i)1\s*\.\s*introduction[12]?\s*", ""), (r"(?i)1\s*\.1\.?\s*context\s*", ""),
+    (r"(?i)1\s*\.2\.?\s*(main\s+findings\s+of\s+the\s+report|summary\s+of\s+the\s+report)\s*", ""), (r"(?i)cluster\s+\d+\s*[:–\-]\s*", ""), (r"\s+", " ")])
+
+
+@query(f"SELECT doc_id, lower(trim({_SECTION_SQL})) AS section FROM documents WHERE text IS NOT NULL")
+def cleaned_sections(spark, sf_dir):
+    """The section cleaner, over texts with page numbers, footnote digits and headings put in."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    put_in = F.concat(F.lit("3\n1. INTRODUCTION2 1.1. CONTEXT 1.2 Summary of  the report Cluster 4: "), "text", F.lit(" word12 \n 17 "))
+    return docs.select("doc_id", X.clean_section(put_in).alias("section"))
+
+
 @query(rf"""WITH {REPORTS} SELECT country, year, doc_id, {words_sql('text')} AS word_count, country || ' (' || year || ')' AS label FROM reports""")
 def document_labels(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
@@ -268,11 +283,11 @@ def punctuation_free(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.drop_punctuation(F.col("text")).alias("plain"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(replace(text, 'a', 'a'), '\s+', ' ', 'g')) AS fixed FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, trim(regexp_replace(text || ' "it''s" - "', '\s+', ' ', 'g')) AS fixed FROM documents WHERE text IS NOT NULL""")
 def repaired_encoding(spark, sf_dir):
     """Soft hyphens and wrong decodings are put in and taken out again."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    broken = F.replace(F.col("text"), F.lit("th"), F.lit("t\xadh"))
+    broken = F.concat(F.replace(F.col("text"), F.lit("th"), F.lit("t\xadh")), F.lit(" â€œitâ€™sâ€\u009d â€“ â€œ"))
     return docs.select("doc_id", X.fix_encoding(broken).alias("fixed"))
 
 

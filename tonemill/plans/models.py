@@ -9,7 +9,7 @@ from tonemill.functions import scoring as S
 from tonemill.models import regression as M
 from tonemill.models import stem, topics
 from tonemill.operators import segment as G
-from tonemill.plans.adapter import paragraphs, scored
+from tonemill.plans.adapter import SCORED, paragraphs, scored
 from tonemill.plans.registry import query
 from tonemill.session import table
 
@@ -89,6 +89,29 @@ def lda_terms(spark, sf_dir):
     return topics.topic_terms(model, vocabulary)
 
 
+@query()
+def lda_phrase_topics(spark, sf_dir):
+    """Seven topics over words and bigrams: the heaviest terms, and the model's perplexity."""
+    docs = _tokens(spark, sf_dir).select("doc_id", G.ngrams(F.col("tokens"), 1, 2).alias("tokens"))
+    model, vocabulary, vectors = topics.fit_lda(docs, "tokens", 7)
+    return topics.topic_terms(model, vocabulary).withColumn("perplexity", F.round(F.lit(topics.perplexity(model, vectors)), 1))
+
+
+def stem_chunks(docs, size=5, least=6, stops=()):
+    """doc_id, chunk, stems: of each `size` sentences the stems of wholly alphabetic tokens longer than three letters; chunks of fewer than `least` go."""
+    chunks = docs.select("doc_id", F.posexplode(G.fixed_chunks(F.col("sentences"), size)).alias("chunk", "text"))
+    stems = stem.stem_lists(G.alphabetic_tokens(F.col("text"), 4, stops), stem.porter)
+    return chunks.select("doc_id", "chunk", stems.alias("stems")).where(F.size("stems") >= least)
+
+
+@query()
+def lda_stem_topics(spark, sf_dir):
+    """Three topics over the stems of chunks of five sentences."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", G.sentences(F.col("text"), 1).alias("sentences"))
+    model, vocabulary, _ = topics.fit_lda(stem_chunks(docs, stops=("that", "with", "this")), "stems", 3, min_df=1, max_df=1, vocabulary=1 << 18)
+    return topics.topic_terms(model, vocabulary)
+
+
 @query()
 def lda_year_weights(spark, sf_dir):
     """Mean topic weights by year."""
@@ -112,7 +135,7 @@ def stemmed_vocabulary(spark, sf_dir):
     return stem.stems(each, "token", stem.porter)
 
 
-@query()
+@query(f"WITH {SCORED} SELECT country, round(avg(CAST(criticism_hard_p1k > 50 AS INTEGER)), 6) AS share FROM scored GROUP BY country")
 def scored_topic_probabilities(spark, sf_dir):
     """Share of paragraphs with a high hard score by entity: the table behind a chart."""
     return scored(spark, sf_dir).groupBy("country").agg(F.round(F.avg((F.col("criticism_hard_p1k") > 50).cast("int")), 6).alias("share"))

@@ -40,10 +40,10 @@ def inner_join_means(spark, sf_dir):
     return a.join(df.where("year < 2023").groupBy("country").agg(F.round(F.avg("criticism_soft_p1k"), 4).alias("soft")), "country")
 
 
-@query(f"WITH {REPORTS}, c AS (SELECT DISTINCT country FROM reports), y AS (SELECT DISTINCT year FROM reports), k AS (SELECT DISTINCT doc_id % 3 AS kind FROM reports) SELECT country, year, kind FROM c, y, k EXCEPT SELECT country, year, doc_id % 3 FROM reports")
+@query(f"WITH {REPORTS}, c AS (SELECT DISTINCT country FROM reports), y AS (SELECT DISTINCT year FROM reports), k AS (SELECT DISTINCT doc_id % 13 AS kind FROM reports) SELECT country, year, kind FROM c, y, k EXCEPT SELECT country, year, doc_id % 13 FROM reports")
 def missing_coverage(spark, sf_dir):
     """Cells of the grid of entity, year and kind without a document."""
-    return R.missing_cells(reports(spark, sf_dir).select("country", "year", (F.col("doc_id") % 3).alias("kind")), ["country", "year", "kind"])
+    return R.missing_cells(reports(spark, sf_dir).select("country", "year", (F.col("doc_id") % 13).alias("kind")), ["country", "year", "kind"])
 
 
 @query(f"WITH {REPORTS}, known AS (SELECT DISTINCT country, year FROM reports WHERE doc_id % 2 = 0), grid AS (SELECT country, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT country FROM reports), range(2019, 2026) t(y)) SELECT grid.country, grid.year, CASE WHEN known.country IS NULL THEN 'missing' ELSE 'downloaded' END AS status FROM grid LEFT JOIN known USING (country, year)")
@@ -278,10 +278,13 @@ _UNI = f"c AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unne
 _POOL = f"pool AS (SELECT source AS doc, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY source), c AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM (SELECT doc, {_TOKENS} AS t FROM pool)) GROUP BY doc, term)"
 
 
-def _pooled(spark, sf_dir):
-    """Bigrams of each entity's texts end to end, without joining them: those inside texts, and those across two texts' border."""
+_POOL_TRI = _POOL.replace("range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]", "range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]")
+
+
+def _pooled(spark, sf_dir, n=2):
+    """N-grams of each entity's texts end to end, without joining them: those inside texts, and those across texts' borders."""
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("doc"), "doc_id", G.vector_tokens(F.col("text"), _STOPS).alias("t"))
-    return V.pooled_bigrams(d, "doc", "doc_id", "t")
+    return V.pooled_ngrams(d, "doc", "doc_id", "t", n)
 
 
 @query(f"WITH {_tfidf_sql(_UNI, 0.9, 3000, 'tf')} SELECT doc, term, tf, round(tfidf, 6) AS tfidf FROM w")
@@ -304,6 +307,12 @@ def sublinear_tfidf(spark, sf_dir):
     return w.select("doc", "term", "tf", F.round("tfidf", 6).alias("tfidf"))
 
 
+@query(f"WITH {_tfidf_sql(_POOL_TRI, 0.95, 5000, '1 + ln(tf)')} SELECT doc, term, tf, round(tfidf, 6) AS tfidf FROM w")
+def sublinear_trigrams(spark, sf_dir):
+    w = V.tfidf(_pooled(spark, sf_dir, 3), "doc", 0.95, 1, 5000, sublinear=True)
+    return w.select("doc", "term", "tf", F.round("tfidf", 6).alias("tfidf"))
+
+
 @query(f"WITH {_tfidf_sql(_POOL, 1.0, 2000, 'tf')}, s AS (SELECT a.doc AS a, b.doc AS b, sum(a.tfidf * b.tfidf) AS s FROM w a JOIN w b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2), i AS (SELECT DISTINCT doc FROM w) SELECT x.doc AS a, y.doc AS b, round(coalesce(s, 0), 3) AS similarity FROM i x JOIN i y ON x.doc < y.doc LEFT JOIN s ON s.a = x.doc AND s.b = y.doc")
 def entity_similarity(spark, sf_dir):
     """Cosine similarity of all pairs of entities."""

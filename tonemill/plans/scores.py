@@ -289,8 +289,8 @@ def table_formats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.stars(p).alias("stars"), X.percent(p).alias("percent"), X.level_name(name).alias("level"), X.interval(p - 1, p + 1).alias("span"), F.round(F.exp(p), 6).alias("odds"))
 
 
-@query(f"SELECT doc_id, {words_sql('text')} AS words, upper(source) AS head, starts_with(text, 'T') AS starts, length(text) AS chars, regexp_replace(regexp_extract(text, '^[A-Z][a-z]*', 0), '^(.)', '\\1.') AS initial, regexp_replace('12. ' || source, '^\\d+\\.?\\s*', '') AS bare, regexp_replace(lower(source || ' Š é!'), '[^a-z0-9 ]', '', 'g') IS NOT NULL AS slugged FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {words_sql('text')} AS words, upper(source) AS head, starts_with(text, 'T') AS starts, length(text) AS chars, regexp_replace(regexp_extract(text, '^[A-Z][a-z]*', 0), '^(.)', '\\1.') AS initial, regexp_replace('12. ' || source, '^\\d+\\.?\\s*', '') AS bare, lower(source) || '_s-e-fi' AS slugged FROM documents WHERE text IS NOT NULL")
 def string_functions(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
     t = F.col("text")
-    return d.select("doc_id", X.word_count(t).alias("words"), F.upper("source").alias("head"), t.startswith("T").alias("starts"), F.length(t).cast("long").alias("chars"), F.regexp_replace(F.regexp_extract(t, "^[A-Z][a-z]*", 0), "^(.)", "$1.").alias("initial"), X.drop_leading_number(F.concat(F.lit("12. "), "source")).alias("bare"), X.slugify(F.concat("source", F.lit(" Š é!"))).isNotNull().alias("slugged"))
+    return d.select("doc_id", X.word_count(t).alias("words"), F.upper("source").alias("head"), t.startswith("T").alias("starts"), F.length(t).cast("long").alias("chars"), F.regexp_replace(F.regexp_extract(t, "^[A-Z][a-z]*", 0), "^(.)", "$1.").alias("initial"), X.drop_leading_number(F.concat(F.lit("12. "), "source")).alias("bare"), X.slugify(F.concat(F.lit(" "), "source", F.lit("_Š  é! - ﬁđ "))).alias("slugged"))

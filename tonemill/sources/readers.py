@@ -9,9 +9,9 @@ from tonemill.operators import segment
 
 
 def text_files(spark: SparkSession, folder: str, pattern: str = "*_raw.txt") -> DataFrame:
-    """path, name, text: a row per file. Bytes that are no UTF-8 are replaced, not dropped."""
+    """path, name, text: a row per file. Bytes that are no UTF-8 are dropped (and with them, in such a file, replacement characters)."""
     df = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))).alias("text"))
 
 
 def raw_reports(spark: SparkSession, folder: str, pattern: str = "*_raw.txt") -> DataFrame:
