@@ -7,19 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonemill.operators.scan import scanned
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str, default=None) -> DataFrame:
     """left with the value of the last right row at or before its position, by key; default before the first.
 
-    Both sides are put in one order and the last value is carried forward: one shuffle and one sort, no range join.
+    Both sides are put in one order and the last value is carried forward: one sort and no range join. A key with many rows
+    spans several tasks. Null keys and positions are values like others, positions of null first; of right rows at one
+    position any may be the last.
     """
     others = [c for c in left.columns if c not in (key, left_at)]
     a = left.select(key, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias(value), F.struct(*others, F.lit(1).alias("_one")).alias("_row"))
     b = right.select(key, F.col(right_at).cast(left.schema[left_at].dataType).alias("_at"), F.lit(0).alias("_side"), value, F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    order = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(value, ignorenulls=True).over(order)
-    out = a.unionByName(b).withColumn(value, last if default is None else F.coalesce(last, F.lit(default))).where("_side = 1")
-    return out.select(key, F.col("_at").alias(left_at), *(F.col(f"_row.{c}").alias(c) for c in others), value)
+    out = scanned(a.unionByName(b), [key], ["_at", "_side"], last={"_last": value}).where("_side = 1")
+    last = F.col("_last") if default is None else F.coalesce("_last", F.lit(default))
+    return out.select(key, F.col("_at").alias(left_at), *(F.col(f"_row.{c}").alias(c) for c in others), last.alias(value))
 
 
 def missing_cells(df: DataFrame, dims) -> DataFrame:

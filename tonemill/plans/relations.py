@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonemill import lexicons as L
@@ -14,6 +13,7 @@ from tonemill.operators import aggregate as A
 from tonemill.operators import relate as R
 from tonemill.operators import segment as G
 from tonemill.operators import vectors as V
+from tonemill.operators.scan import scanned
 from tonemill.plans.adapter import PARAS, REPORTS, SCORED, count_sql, paragraphs, reports, scored, words_sql
 from tonemill.plans.registry import query
 from tonemill.session import table
@@ -46,11 +46,12 @@ def missing_coverage(spark, sf_dir):
     return R.missing_cells(reports(spark, sf_dir).select("country", "year", (F.col("doc_id") % 13).alias("kind")), ["country", "year", "kind"])
 
 
-@query(f"WITH {REPORTS}, known AS (SELECT DISTINCT country, year FROM reports WHERE doc_id % 2 = 0), grid AS (SELECT country, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT country FROM reports), range(2019, 2026) t(y)) SELECT grid.country, grid.year, CASE WHEN known.country IS NULL THEN 'missing' ELSE 'downloaded' END AS status FROM grid LEFT JOIN known USING (country, year)")
+@query(f"WITH {REPORTS}, known AS (SELECT DISTINCT country, year FROM reports JOIN labels USING (doc_id) WHERE quality = 1), grid AS (SELECT country, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT country FROM reports), range(2019, 2026) t(y)) SELECT grid.country, grid.year, CASE WHEN known.country IS NULL THEN 'missing' ELSE 'downloaded' END AS status FROM grid LEFT JOIN known USING (country, year)")
 def download_grid(spark, sf_dir):
-    """Every entity in every year with a status."""
+    """Every entity in every year with a status: downloaded where a document of it was found to be good."""
     docs = reports(spark, sf_dir)
-    known = docs.where("doc_id % 2 = 0").select("country", "year").distinct().withColumn("status", F.lit("downloaded"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    known = docs.drop("text").join(good, "doc_id", "left_semi").select("country", "year").distinct().withColumn("status", F.lit("downloaded"))
     return R.task_grid(docs, "country", 2019, 2025, known)
 
 
@@ -86,7 +87,7 @@ def dictionary_join(spark, sf_dir):
 
 
 _HEADS = r"""l AS (SELECT doc_id, unnest(range(len(c))) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents WHERE text IS NOT NULL)),
-marks AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, length(line) AS page FROM l WHERE i % 3 = 1), heads AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, left(line, 20) AS title FROM l WHERE regexp_matches(line, '^[A-Z][a-z]+ ')) """
+marks AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, length(line) AS page FROM l WHERE i % 3 = 1), heads AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, line AS title FROM l WHERE regexp_matches(line, '^[A-Z][a-z]+ ')) """
 
 
 @query(f"WITH {_HEADS} SELECT h.doc_id, h.line_no, h.title, coalesce(m.page, 1) AS page FROM heads h ASOF LEFT JOIN marks m ON h.doc_id = m.doc_id AND h.line_no >= m.line_no")
@@ -94,7 +95,7 @@ def header_pages(spark, sf_dir):
     """As-of join: each header with the last page mark at or before it, 1 before the first."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    heads = lines.where(F.col("line").rlike("^[A-Z][a-z]+ ")).select("doc_id", "line_no", F.substring("line", 1, 20).alias("title"))
+    heads = lines.where(F.col("line").rlike("^[A-Z][a-z]+ ")).select("doc_id", "line_no", F.col("line").alias("title"))
     marks = lines.where("line_no % 3 = 1").select("doc_id", "line_no", F.length("line").cast("long").alias("page"))
     return R.as_of(heads, marks, "doc_id", "line_no", "line_no", "page", 1)
 
@@ -109,8 +110,9 @@ def last_purchase(spark, sf_dir):
 
 @query(f"WITH {PARAS} SELECT doc_id, paragraph_id, count(*) OVER (PARTITION BY doc_id ORDER BY paragraph_id) - 1 AS running, sum(word_count) OVER (PARTITION BY doc_id ORDER BY paragraph_id)::BIGINT AS words_so_far FROM paras")
 def running_counts(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("paragraph_id")
-    return paragraphs(spark, sf_dir).select("doc_id", "paragraph_id", (F.row_number().over(w) - 1).cast("long").alias("running"), F.sum("word_count").over(w).alias("words_so_far"))
+    """Counters that run over a document's paragraphs."""
+    p = scanned(paragraphs(spark, sf_dir).select("doc_id", "paragraph_id", "word_count"), ["doc_id"], ["paragraph_id"], sums={"words_so_far": "word_count"}, number="n")
+    return p.select("doc_id", "paragraph_id", (F.col("n") - 1).alias("running"), "words_so_far")
 
 
 _DIFF = ", ".join(f"{k} - lag({k}) OVER (PARTITION BY country ORDER BY year) AS {k}" for k in _GROUPS)
@@ -131,9 +133,9 @@ def largest_drivers(spark, sf_dir):
 def carried_questions(spark, sf_dir):
     """The last user turn carried forward."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return c.select("conv_id", "turn", F.coalesce(asked, F.lit("none")).alias("asked"), F.lag("role").over(w).alias("before"))
+    c = c.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.col("text")).alias("own"))
+    c = scanned(c, ["conv_id"], ["turn"], last={"asked": "own"}, before={"before": "role"})
+    return c.select("conv_id", "turn", F.coalesce("asked", F.lit("none")).alias("asked"), "before")
 
 
 @query(f"WITH {SCORED}, s AS (SELECT country, year, round(avg(criticism_hard_p1k), 4) AS m FROM scored GROUP BY country, year) SELECT country, arg_max(year, (m, -year)) AS year, max(m) AS m FROM s GROUP BY country")
@@ -150,9 +152,9 @@ def latest_year(spark, sf_dir):
 
 @query(f"WITH {REPORTS}, n AS (SELECT country, count(*) AS n FROM reports GROUP BY country) SELECT country, n, sum(n) OVER (ORDER BY country)::BIGINT AS upto FROM n")
 def block_boundaries(spark, sf_dir):
-    """Cumulative group sizes; the window runs over one row an entity."""
+    """Cumulative group sizes, scanned over range partitions: no task has all entities."""
     n = reports(spark, sf_dir).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("upto", F.sum("n").over(Window.orderBy("country")))
+    return scanned(n, [], ["country"], sums={"upto": "n"})
 
 
 @query(f"WITH {PARAS} SELECT doc_id, paragraph_id, word_count FROM paras ORDER BY word_count DESC, doc_id, paragraph_id LIMIT 5")
@@ -169,8 +171,9 @@ def shortest_paragraphs(spark, sf_dir):
 def head_and_tail(spark, sf_dir):
     """First and last five of an order over entities."""
     s = paragraphs(spark, sf_dir).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    s = s.withColumns({"place": F.row_number().over(Window.orderBy(F.desc("n"), "country")), "total": F.count(F.lit(1)).over(Window.partitionBy())})
-    return s.where("place <= 5 or place > total - 5").select("country", "n", "place")
+    placed = scanned(s, [], [F.desc("n"), "country"], number="at")
+    total = placed.agg(F.count(F.lit(1)).alias("total"))
+    return placed.crossJoin(F.broadcast(total)).where("at <= 5 or at > total - 5").select("country", "n", F.col("at").cast("int").alias("place"))
 
 
 @query("SELECT d.doc_id, r.rank FROM documents d JOIN (VALUES ('src3', 1), ('src1', 2), ('src2', 3)) r(source, rank) USING (source)")
