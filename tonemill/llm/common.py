@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.session import share_package, table  # noqa: F401
+from tonemill.session import cut, share_package, shared_folder, table  # noqa: F401
 
 #: ASCII white space: the characters \x20 and \x09-\x0D, at which words end.
 WHITE = np.zeros(256, dtype=bool)
@@ -29,25 +31,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's spark.checkpoint.dir; only where that is unset (as in local tests) is one set here."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "/tmp/tonemill-checkpoints"
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from there: a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared checkpoint folder and reads it again: for wide tables, of which later steps read some columns."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
@@ -92,6 +75,16 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - low
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have at most so many bytes together, or one row."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    low = 0
+    while low < batch.num_rows:
+        high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), most, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 class Words:
     """The words of a batch of texts: byte ranges in one buffer, and the rows' ranges of words."""
 
