@@ -195,8 +195,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs, all columns as they are, without the rows that exact_groups() drops; of rows equal in id and normalised text one stays
-    (any: they differ in other columns at most)."""
+    """docs, all columns as they are, without the rows that exact_groups() drops; of rows equal in id and normalised text the one of
+    the least text stays (of rows equal in text too any: they differ in other columns at most)."""
     rows = cut(_decided(docs, "text", "doc_id").select("doc_id", "h", "kept", "group_size", "text_sha256"))
     out = without_rows(docs, rows.where("not kept").select("doc_id", "h"))
     twins = rows.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.collect_set("h").alias("hs"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -205,5 +205,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
         return out
     names = twins.select(F.col("doc_id").alias("twin_id"), F.col("h").alias("twin_h"))
     doubled = out.join(maybe_broadcast(names), out["doc_id"].eqNullSafe(names["twin_id"]) & (F.xxhash64(out["text"]) == names["twin_h"]), "left_semi")
-    one = doubled.withColumn("its text", normalised(F.col("text"))).dropDuplicates(["doc_id", "its text"]).drop("its text")
-    return without_rows(out, twins).unionByName(one)
+    row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+    one = doubled.select(row.alias("r"), F.col("text").alias("t")).groupBy(F.col("r.doc_id"), normalised(F.col("t")).alias("norm")).agg(F.min_by("r", F.struct("t")).alias("r"))
+    return without_rows(out, twins).unionByName(one.select("r.*"))

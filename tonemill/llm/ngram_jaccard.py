@@ -562,7 +562,9 @@ def block_links(rows: DataFrame, pairs: bool) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted (first_id, s1, s2, n, uid, members, places) with grams, the whole sets, instead of first_id, s1 and s2; rows may repeat."""
+    """wanted (of: id and hash of a text; s1, s2, n, uid, members, places) with grams, the whole sets, instead of `of`, s1 and s2.
+
+    Rows repeat where rows of docs agree in id and text. The hash spreads null and repeated ids over tasks."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -577,7 +579,9 @@ def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     kinds = {f.name: f.dataType for f in wanted.schema}
     schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in ("n", "uid", "members", "places")) + ", grams binary"
-    texts = docs.join(maybe_broadcast(wanted, BROADCAST_WIDE), docs["doc_id"].eqNullSafe(wanted["first_id"]))
+    keyed = docs.select("doc_id", "text", row_key("text").alias("own_h"))
+    wanted = wanted.withColumns({"of_id": F.col("of.doc_id"), "of_h": F.col("of.h")}).drop("of")
+    texts = keyed.join(maybe_broadcast(wanted, BROADCAST_WIDE), keyed["doc_id"].eqNullSafe(wanted["of_id"]) & (keyed["own_h"] == wanted["of_h"]))
     return texts.select("text", "s1", "s2", "n", "uid", "members", "places").mapInArrow(build, schema)
 
 
@@ -589,7 +593,7 @@ class Join:
         docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.drawn = cut(sketches(docs, heavy_shingles(docs, size, heavy), size).withColumn("row", F.monotonically_increasing_id()))
         some = self.drawn.where("n > 0")
-        self.classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("row").alias("uid"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
+        self.classes = cut(some.groupBy("s1", "s2", "n").agg(F.min("row").alias("uid"), F.min_by(F.struct("doc_id", "h"), "row").alias("of"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members")))
         self.rows = self._blocks(docs, some, size)
 
     def _blocks(self, docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
