@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonemill.functions.automaton import list_counts
 from tonemill.functions.text import contains_any, word_count
 
 
@@ -25,6 +26,11 @@ def raw_count(text: Column, terms) -> Column:
     return F.when(text.isNotNull(), F.get(total, F.lit(0)))
 
 
+def raw_counts(text: Column, lists: dict) -> Column:
+    """A struct of raw_count() for each list, in one walk over the text: for many or long lists."""
+    return list_counts(F.lower(text), lists)
+
+
 def per_thousand(count: Column, n_words: Column) -> Column:
     """Per 1,000 words; 0 without words."""
     return F.when(n_words > 0, count / n_words * 1000).otherwise(F.lit(0.0))
@@ -44,6 +50,12 @@ def topic_flags(text: Column, topics: dict) -> dict[str, Column]:
     return {f"topic_{name}": contains_any(F.lower(text), terms) for name, terms in topics.items()}
 
 
+def topic_flags_at_once(text: Column, topics: dict) -> Column:
+    """A struct of topic_flags(), in one walk over the text: for many or long lists."""
+    counts = F.transform(F.array(raw_counts(text, topics)), lambda n: F.struct(*((n[name] > 0).alias(f"topic_{name}") for name in topics)))
+    return F.get(counts, F.lit(0))
+
+
 def token_count(tokens: Column, lexicon) -> Column:
     """Tokens that are in the lexicon."""
     known = F.array(*map(F.lit, lexicon))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonemill.functions.automaton import found_terms
+
 METRICS = ("criticism_hard_p1k", "criticism_soft_p1k", "severity_ratio")
 
 
@@ -93,15 +95,17 @@ def joined_text(df: DataFrame, keys, text: str, order) -> DataFrame:
 def document_frequency(df: DataFrame, text: str, lexicons: dict) -> DataFrame:
     """lexicon, term, n_docs, pct: rows whose lower-cased text contains each term.
 
-    Terms found in a row are exploded and counted, so only hits are shuffled; terms without a hit are added back.
+    All terms are searched in one walk; those found in a row are exploded and counted, so only hits are shuffled; terms without a
+    hit are added back.
     """
     spark = df.sparkSession
     terms = spark.createDataFrame([(n, t) for n, ts in lexicons.items() for t in ts], "lexicon string, term string").distinct()
     distinct = sorted({t for ts in lexicons.values() for t in ts})
-    lower = df.select(F.lower(text).alias("t"))
-    found = lower.select(F.explode(F.filter(F.array(*map(F.lit, distinct)), lambda w: F.contains(F.col("t"), w))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    out = terms.join(found, "term", "left").crossJoin(F.broadcast(total))
+    # a null among each row's terms counts the rows, in the same pass
+    hits = F.concat(F.coalesce(found_terms(F.lower(text), distinct), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    counts = df.select(F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    out = terms.join(counts.where("term is not null"), "term", "left").crossJoin(F.broadcast(total))
     n = F.coalesce("n", F.lit(0))
     return out.select("lexicon", "term", n.alias("n_docs"), F.when(F.col("total") > 0, F.round(100 * n / F.col("total"), 2)).alias("pct"))
 

@@ -35,7 +35,7 @@ def full_lexicon_counts(spark, sf_dir):
     """The four fixed lists themselves; generated text holds few of their terms."""
     t = F.col("paragraph_text")
     lists = {"hard": L.CRITICISM_HARD, "soft": L.CRITICISM_SOFT, "reform_hard": L.REFORM_HARD, "reform_soft": L.REFORM_SOFT}
-    return paragraphs(spark, sf_dir).select("doc_id", "paragraph_id", *(S.raw_count(t, v).alias(k) for k, v in lists.items()))
+    return paragraphs(spark, sf_dir).select("doc_id", "paragraph_id", S.raw_counts(t, lists).alias("n")).select("doc_id", "paragraph_id", "n.*")
 
 
 _P = lambda terms: f"CAST({count_sql('lower(paragraph_text)', terms)} AS DOUBLE) / word_count * 1000"
@@ -58,8 +58,8 @@ _FIXED = {**{f"five_{k}": v for k, v in L.TOPICS_FIVE.items()}, **{f"four_{k}":
 @query(f"WITH {PARAS} SELECT {', '.join(f'''count(*) FILTER ({any_sql('lower(paragraph_text)', v)}) AS {k}''' for k, v in _FIXED.items())} FROM paras")
 def fixed_topic_totals(spark, sf_dir):
     """Paragraphs of each topic of both fixed families."""
-    flags = S.topic_flags(F.col("paragraph_text"), _FIXED)
-    return paragraphs(spark, sf_dir).agg(*(F.count_if(c).alias(k.removeprefix("topic_")) for k, c in flags.items()))
+    flags = paragraphs(spark, sf_dir).select(S.topic_flags_at_once(F.col("paragraph_text"), _FIXED).alias("flags"))
+    return flags.agg(*(F.count_if(F.col(f"flags.topic_{k}")).alias(k) for k in _FIXED))
 
 
 @query(f"WITH {TAGGED} " + " UNION ALL ".join(f"SELECT country, year, '{t}' AS topic, count(*) AS n_paragraphs, {M} FROM tagged WHERE topic_{t} GROUP BY country, year" for t in L.PROXY_TOPICS))
