@@ -10,6 +10,7 @@ from tonemill import lexicons as L
 from tonemill.functions import scoring as S
 from tonemill.functions import text as X
 from tonemill.operators import aggregate as A
+from tonemill.operators import html as H
 from tonemill.operators import relate as R
 from tonemill.operators import segment as G
 from tonemill.operators import vectors as V
@@ -239,6 +240,23 @@ def page_links(spark, sf_dir):
     return R.anchors(table(spark, sf_dir, "pages"))
 
 
+_ANCHORS = r"""a AS (SELECT page_id, url, unnest(range(len(m))) AS i, unnest(m) AS m FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>') AS m FROM pages)),
+l AS (SELECT page_id, CAST(i AS INTEGER) AS position, href, regexp_extract(url, '^[^:]+://[^/?#]*') || href AS target, label
+  FROM (SELECT page_id, url, i, regexp_extract(m, '(?is)href\s*=\s*"([^"]*)"', 1) AS href, trim(regexp_replace(regexp_extract(m, '(?is)<a\b[^>]*>(.*)</a>', 1), '<[^>]*>', '', 'g')) AS label FROM a))"""
+
+
+@query(f"WITH {_ANCHORS} SELECT * FROM l")
+def html_links(spark, sf_dir):
+    """All links by the tokenizer, in any quoting, with entities decoded and targets joined to the page's url."""
+    return H.page_links(table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH {_ANCHORS} SELECT trim(regexp_replace(label, ' [^ ]+$', '')) AS name, arg_max(target, page_id * 10000 + position) AS target FROM l WHERE regexp_full_match(label, '[^ ]+( [^ ]+)?') AND NOT contains(label, '(') GROUP BY name")
+def targets_by_label(spark, sf_dir):
+    """Targets by label: links whose label is one or two words, by its first word; the last link of the last page wins."""
+    return H.targets_by_label(H.page_links(table(spark, sf_dir, "pages")), r"[^ ]+(?: [^ ]+)?", r" [^ ]+", [F.col("page_id"), F.col("position")], "(")
+
+
 _LINKS = r"""links AS (SELECT page_id, i, regexp_extract(m, '(?is)href\s*=\s*"([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(range(len(m))) AS i, unnest(m) AS m FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>') AS m FROM pages)))"""
 
 
