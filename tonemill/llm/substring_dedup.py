@@ -11,7 +11,8 @@ made up of such grams alone (the inside of a passage or text with very many copi
 and without the list of their places, which may be most of the corpus: a bucket gets each task's distinct strings,
 compares bytes like any other, and sends each task's smallest ids back to where the places were left.
 
-Texts meet their ranges in buckets by doc_id, packed and compressed as well.
+Texts that lose words meet their ranges in buckets by doc_id, packed and compressed as well; all others stay where they are. A
+row is known by its doc_id and a 32-bit hash of its text (mark), so that rows which repeat an id with other texts are told apart.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import WHITE, Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, mix, prepare, text_arrays
+from tonemill.llm.common import BROADCAST_ROWS, WHITE, Words, bucket_count, cut, gram_hashes, gram_starts, hash_words, mix, prepare, text_arrays
 from tonemill.llm.ngram_jaccard import common_shingles
 
 WINDOW, GRAM = 13, 3
-#: Buckets to a shuffle partition, so that a bucket's windows are sorted in little memory; super-k-mers that a task holds.
-SPLIT, HELD = 4, 250_000
+#: Buckets to a shuffle partition, so that a bucket's windows are sorted in little memory; super-k-mers, and their bytes, that a task
+#: holds; windows of a super-k-mer.
+SPLIT, HELD, BYTES, LONGEST = 4, 250_000, 64 << 20, 4096
 HOT = np.uint64(1 << 63)
 #: Words fewer than a window's in the grams whose minimiser parts windows of common grams.
 SHORTER = 4
@@ -37,7 +39,7 @@ MOST = 4_000_000
 #: Ranges, and bytes of texts, that a task holds before it packs them by bucket.
 RANGES_HELD, BYTES_HELD = 1_000_000, 32 << 20
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
-RANGES = "doc_id long, first long, last long"
+RANGES = "doc_id long, mark int, first long, last long"
 
 
 def squeezed(body: np.ndarray, rows: np.ndarray) -> Words:
@@ -76,9 +78,10 @@ class Pieces:
         self.least: list[int] = []
         self.at: list[int] = []
         self.doc: list[int] = []
+        self.mark: list[int] = []
         self.start: list[int] = []
 
-    def add(self, text: bytes, doc: int, start: int) -> None:
+    def add(self, text: bytes, doc: int, mark: int, start: int) -> None:
         i = self.index.get(text)
         if i is None:
             i = self.index[text] = len(self.least)
@@ -87,24 +90,25 @@ class Pieces:
             self.least[i] = doc
         self.at.append(i)
         self.doc.append(doc)
+        self.mark.append(mark)
         self.start.append(start)
 
     def packed(self) -> bytes:
         import zstandard
 
         head = np.array([len(self.least), len(self.at)], "<i8").tobytes()
-        arrays = [np.array(x, t).tobytes() for x, t in ((self.least, "<i8"), (self.at, "<i4"), (self.doc, "<i8"), (self.start, "<i4"))]
+        arrays = [np.array(x, t).tobytes() for x, t in ((self.least, "<i8"), (self.at, "<i4"), (self.doc, "<i8"), (self.mark, "<i4"), (self.start, "<i4"))]
         return zstandard.ZstdCompressor(level=6).compress(head + b"".join(arrays) + b"\n".join(self.index))
 
 
-def unpacked(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Packed strings, a line each; smallest ids; and of each place the string's number, the document and the first word."""
+def unpacked(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed strings, a line each; smallest ids; and of each place the string's number, the document, its mark and the first word."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     kinds, places = np.frombuffer(raw, "<i8", 2)
     at, out = 16, []
-    for n, t in ((kinds, "<i8"), (places, "<i4"), (places, "<i8"), (places, "<i4")):
+    for n, t in ((kinds, "<i8"), (places, "<i4"), (places, "<i8"), (places, "<i4"), (places, "<i4")):
         out.append(np.frombuffer(raw, t, n, at))
         at += int(n) * np.dtype(t).itemsize
     return (raw[at:], *out)
@@ -132,9 +136,9 @@ def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Pieces] = {}
-        total = 0
+        total = bytes_held = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             words = squeezed(*text_arrays(batch.column(1)))
             at, count = gram_starts(words.first, size)
             if not len(at):
@@ -151,6 +155,10 @@ def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot
                 least = sliding_least(gram_hashes(hashes, long), size - long)[at]
             row = np.repeat(np.arange(len(count)), count)
             edge = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (common[1:] != common[:-1])))
+            size_of = np.diff(np.append(edge, len(at)))
+            if len(edge) and size_of.max() > LONGEST:  # one word through a long text, say
+                parts = -(-size_of // LONGEST)
+                edge = np.repeat(edge, parts) + LONGEST * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
             wanted = common[edge] == hot
             last = np.append(edge[1:], len(at)) - 1
             edge, last = edge[wanted], last[wanted]
@@ -158,14 +166,14 @@ def super_kmers(docs: DataFrame, frequent: np.ndarray, size: int, gram: int, hot
             first_word = at[edge]
             text, low, high = words.body.tobytes(), words.start[first_word], words.end[at[last] + size - 1]
             inside = first_word - words.first[row[edge]]
-            for b, i, j, d, s in zip(bucket.tolist(), low.tolist(), high.tolist(), ids[row[edge]].tolist(), inside.tolist(), strict=True):
+            for b, i, j, d, m, s in zip(bucket.tolist(), low.tolist(), high.tolist(), ids[row[edge]].tolist(), marks[row[edge]].tolist(), inside.tolist(), strict=True):
                 if (own := held.get(b)) is None:
                     own = held[b] = Pieces()
-                own.add(text[i:j], d, s)
-            total += len(edge)
-            if total > HELD:
-                yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([p.packed() for p in held.values()], pa.binary())], ["bucket", "blob"])
-                held, total = {}, 0
+                own.add(text[i:j], d, m, s)
+                total, bytes_held = total + 1, bytes_held + j - i
+                if total > HELD or bytes_held > BYTES:
+                    yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([p.packed() for p in held.values()], pa.binary())], ["bucket", "blob"])
+                    held, total, bytes_held = {}, 0, 0
         if held:
             yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([p.packed() for p in held.values()], pa.binary())], ["bucket", "blob"])
 
@@ -194,15 +202,15 @@ def earliest(hashes: np.ndarray, doc: np.ndarray, text: bytes, low: np.ndarray,
     return out
 
 
-def to_remove(first_window: np.ndarray, windows: np.ndarray, least: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, size: int) -> pa.RecordBatch:
+def to_remove(first_window: np.ndarray, windows: np.ndarray, least: np.ndarray, at: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, size: int) -> pa.RecordBatch:
     """Ranges of words of each document that lie in windows with a smaller least id.
 
     first_window, windows: where a string's windows begin, and how many they are. least: each window's smallest id. at, doc,
-    start: a place's string, document and first word.
+    mark, start: a place's string, document, the document's mark and the first word.
     """
     lowest = np.minimum.reduceat(least, first_window) if len(first_window) else np.zeros(0, np.int64)
     some = lowest[at] < doc
-    at, doc, start = at[some], doc[some], start[some]
+    at, doc, mark, start = at[some], doc[some], mark[some], start[some]
     count = windows[at]
     shift = np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else np.zeros(0, np.int64), count)
     inside = np.arange(int(count.sum())) - shift
@@ -214,12 +222,12 @@ def to_remove(first_window: np.ndarray, windows: np.ndarray, least: np.ndarray,
     last = np.append(edge[1:], len(place))[: len(edge)] - 1
     begin = start[place[edge]] + inside[edge]
     end = start[place[edge]] + inside[last] + size
-    return pa.record_batch([pa.array(doc[place[edge]]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], ["doc_id", "first", "last"])
+    return pa.record_batch([pa.array(doc[place[edge]]), pa.array(mark[place[edge]]), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))], ["doc_id", "mark", "first", "last"])
 
 
 def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, first, last: ranges of words covered by windows that a document of a smaller id has; they may overlap."""
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    """doc_id, mark, first, last: ranges of words covered by windows that a document of a smaller id has; they may overlap."""
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.hash("text").alias("mark"))
     frequent = common_shingles(docs, gram, lower=False, most=MOST)
 
     cold = super_kmers(docs, frequent, size, gram, hot=False).groupBy("bucket").applyInArrow(_settler(size), RANGES)
@@ -250,8 +258,8 @@ def _settler(size: int):
         parts = [unpacked(b) for b in group.column("blob").to_pylist()]
         which, count, least = _least_ids([p[0] for p in parts], [p[1] for p in parts], size)
         shift = np.repeat(np.cumsum([0, *(len(p[1]) for p in parts[:-1])]), [len(p[2]) for p in parts])
-        at, doc, start = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-        return pa.Table.from_batches([to_remove(np.cumsum(count) - count, count, least, which[at + shift], doc, start, size)])
+        at, doc, mark, start = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4, 5))
+        return pa.Table.from_batches([to_remove(np.cumsum(count) - count, count, least, which[at + shift], doc, mark, start, size)])
 
     return settle
 
@@ -297,10 +305,10 @@ def _marker(size: int):
 
         for batch in batches:
             for blob, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text, owner, at, doc, start = unpacked(blob)
+                text, owner, at, doc, mark, start = unpacked(blob)
                 _, count = gram_starts(lines_of(text, len(owner)).first, size)
                 least = np.repeat(owner, count) if sent is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(sent), "<i8")
-                yield to_remove(np.cumsum(count) - count, count, least, at.astype(np.int64), doc, start, size)
+                yield to_remove(np.cumsum(count) - count, count, least, at.astype(np.int64), doc, mark, start, size)
 
     return mark
 
@@ -309,27 +317,33 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """doc_id, n_words, n_removed, kept_text (kept words, parted by one space): one row per row of docs.
 
     Words end at ASCII white space and are compared unchanged. Null and empty texts have no words; documents shorter than
-    a window lose none. A null doc_id neither loses words nor counts as earlier. Rows that repeat a doc_id count as one
-    document, and must repeat its text; none of them is earlier than the other. Extra columns are not read; an empty table
-    gives an empty result.
+    a window lose none. A null doc_id neither loses words nor counts as earlier. Of rows that repeat a doc_id, with the same text
+    or others, none is earlier than the other. Whole texts count, however long: what a task holds is bounded in bytes, but for
+    the text at hand. Equal words have no ties to break. Extra columns are not read; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets = SPLIT * bucket_count(docs.sparkSession)
-    spans = repeated_ranges(docs, size).mapInArrow(_pack_ranges(buckets), "bucket long, blob binary").groupBy("bucket")
-    texts = docs.where("doc_id is not null").mapInArrow(_pack_texts(buckets), "bucket long, blob binary").groupBy("bucket")
-    known = texts.cogroup(spans).applyInArrow(_remove, KEPT)
+    ranges = repeated_ranges(docs, size)
+    marked = docs.withColumn("mark", F.hash("text"))
+    touched = cut(ranges.select("doc_id", "mark").distinct())
+    few = touched.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # beyond the bound all texts are sent, which is less than to send them twice for a join and a bucket
+    sent = marked.join(F.broadcast(touched), ["doc_id", "mark"], "left_semi") if few else marked.where("doc_id is not null")
+    left = marked.join(F.broadcast(touched), ["doc_id", "mark"], "left_anti") if few else marked.where("doc_id is null")
+    spans = ranges.mapInArrow(_pack_ranges(buckets), "bucket long, blob binary").groupBy("bucket")
+    texts = sent.select("doc_id", "text", "mark").mapInArrow(_pack_texts(buckets), "bucket long, blob binary").groupBy("bucket")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _kept_rows([(i, *_kept((t or "").encode(), [], [])) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
 
-    return known.unionByName(docs.where("doc_id is null").mapInArrow(whole, KEPT))
+    return texts.cogroup(spans).applyInArrow(_remove, KEPT).unionByName(left.select("doc_id", "text").mapInArrow(whole, KEPT))
 
 
 def _kept(text: bytes, first, last) -> tuple[int, int, bytes]:
     """The number of words, of those in the ranges, and the others joined by one space."""
-    words = text.split()
+    words = text.split()  # at the six bytes of white space, as words() ends them
     n = len(words)
     if len(first):
         drop = np.zeros(n + 1, np.int64)
@@ -374,7 +388,7 @@ def _pack_ranges(buckets: int):
             return _blobs([(b, np.ascontiguousarray(rows[:, at]).tobytes()) for b, at in _parted(_bucket_of(rows[0], buckets))])
 
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]).astype("<i8"))
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]).astype("<i8"))
             total += batch.num_rows
             if total > RANGES_HELD:
                 yield flush()
@@ -386,27 +400,28 @@ def _pack_ranges(buckets: int):
 
 
 def _pack_texts(buckets: int):
-    """Documents by bucket, a blob for each of a task's shares: their number, ids, lengths in bytes, and texts."""
+    """Documents by bucket, a blob for each of a task's shares: their number, ids, marks, lengths in bytes, and texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, total = [], [], 0
+        ids, marks, texts, total = [], [], [], 0
 
         def flush():
             out = []
             for b, at in _parted(_bucket_of(np.array(ids, np.int64), buckets)):
                 own = [texts[i] for i in at.tolist()]
-                head = np.array([len(own), *(ids[i] for i in at.tolist()), *map(len, own)], "<i8").tobytes()
+                head = np.array([len(own), *(ids[i] for i in at.tolist()), *(marks[i] for i in at.tolist()), *map(len, own)], "<i8").tobytes()
                 out.append((b, head + b"".join(own)))
             return _blobs(out)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t, m in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 ids.append(i)
+                marks.append(m)
                 texts.append((t or "").encode())
                 total += len(texts[-1]) + 64
                 if total > BYTES_HELD:
                     yield flush()
-                    ids, texts, total = [], [], 0
+                    ids, marks, texts, total = [], [], [], 0
         if ids:
             yield flush()
 
@@ -418,15 +433,21 @@ def _remove(texts: pa.Table, spans: pa.Table) -> pa.Table:
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
-    doc, first, last = np.concatenate([np.zeros((3, 0), "<i8"), *(np.frombuffer(expand(b), "<i8").reshape(3, -1) for b in spans.column("blob").to_pylist())], axis=1)
-    order = np.argsort(doc, kind="stable")
-    doc, first, last = doc[order], first[order], last[order]
+    doc, mark, first, last = np.concatenate([np.zeros((4, 0), "<i8"), *(np.frombuffer(expand(b), "<i8").reshape(4, -1) for b in spans.column("blob").to_pylist())], axis=1)
+    order = np.lexsort((mark, doc))
+    doc, mark, first, last = doc[order], mark[order], first[order], last[order]
+    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))[: len(doc)]
+    ranges = {(i, m): (j, k) for i, m, j, k in zip(doc[edge].tolist(), mark[edge].tolist(), edge.tolist(), np.append(edge[1:], len(doc)).tolist(), strict=False)}
     out = [_kept_rows([])]
     for blob in texts.column("blob").to_pylist():
         raw = expand(blob)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        ids, ends = np.frombuffer(raw, "<i8", n, 8), np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n)) + 8 + 16 * n
-        low, high = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
-        begin = [8 + 16 * n, *ends[:-1].tolist()]
-        out.append(_kept_rows([(i, *_kept(raw[x:y], first[j:k], last[j:k])) for i, x, y, j, k in zip(ids.tolist(), begin, ends.tolist(), low.tolist(), high.tolist(), strict=True)]))
+        ids, marks, sizes = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
+        ends = np.cumsum(sizes) + 8 + 24 * n
+        begin = [8 + 24 * n, *ends[:-1].tolist()]
+        rows = []
+        for i, m, x, y in zip(ids.tolist(), marks.tolist(), begin, ends.tolist(), strict=True):
+            j, k = ranges.get((i, m), (0, 0))
+            rows.append((i, *_kept(raw[x:y], first[j:k], last[j:k])))
+        out.append(_kept_rows(rows))
     return pa.Table.from_batches(out)
