@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.functions.automaton import found_terms
+from tonemill.operators.quantiles import exact_quantiles
 
 METRICS = ("criticism_hard_p1k", "criticism_soft_p1k", "severity_ratio")
 
@@ -46,16 +47,24 @@ def by_topic(df: DataFrame, keys, topics, metrics=METRICS, places: int = 4) -> D
 
 
 def stats_by(df: DataFrame, keys, columns, stats=("min", "mean", "max"), places: int = 3) -> DataFrame:
-    """`<column>_<stat>` for each column and statistic; median and percentiles are exact."""
-    made = {"min": F.min, "mean": F.avg, "max": F.max, "median": F.median, "std": F.stddev_samp, "sum": F.sum, "count": F.count}
-    return _known(df, keys).groupBy(*keys).agg(*(F.round(made[s](c).cast("double"), places).alias(f"{c}_{s}") for c in columns for s in stats))
+    """`<column>_<stat>` for each column and statistic; medians are exact, by ranges (quantiles.py)."""
+    made = {"min": F.min, "mean": F.avg, "max": F.max, "std": F.stddev_samp, "sum": F.sum, "count": F.count}
+    df = _known(df, keys)
+    out = df.groupBy(*keys).agg(*(F.round(made[s](c).cast("double"), places).alias(f"{c}_{s}") for c in columns for s in stats if s != "median"), F.count(F.lit(1)).alias("rows of key"))
+    for c in columns if "median" in stats else ():
+        middle = exact_quantiles(df, c, [0.5], keys)
+        out = out.join(middle.select(*keys, F.round("value", places).alias(f"{c}_median")), list(keys), "left")
+    return out.select(*keys, *(f"{c}_{s}" for c in columns for s in stats))
 
 
 def describe(df: DataFrame, column: str, places: int = 1) -> DataFrame:
     """count, mean, std, min, quartiles, max of one column, exact."""
     c = F.col(column)
-    q = [F.round(F.percentile(c, F.lit(p)), places).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
-    return df.agg(F.count(c).alias("count"), F.round(F.avg(c), places).alias("mean"), F.round(F.stddev_samp(c), places).alias("std"), F.round(F.min(c).cast("double"), places).alias("min"), *q, F.round(F.max(c).cast("double"), places).alias("max"))
+    whole = df.agg(F.count(c).alias("count"), F.round(F.avg(c), places).alias("mean"), F.round(F.stddev_samp(c), places).alias("std"), F.round(F.min(c).cast("double"), places).alias("min"), F.round(F.max(c).cast("double"), places).alias("max"))
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    quartiles = exact_quantiles(df, column, list(shares.values()))
+    row = quartiles.agg(*(F.round(F.max(F.when(F.col("share") == s, F.col("value"))), places).alias(n) for n, s in shares.items()))
+    return whole.crossJoin(row).select("count", "mean", "std", "min", *shares, "max")  # a row by a row
 
 
 def ratio_of_sums(df: DataFrame, keys, reform: str = "reform_count", criticism: str = "crit_count", words: str = "word_count") -> DataFrame:

@@ -10,6 +10,7 @@ from tonemill import lexicons as L
 from tonemill.functions import scoring as S
 from tonemill.functions import text as X
 from tonemill.operators import aggregate as A
+from tonemill.operators import quantiles as Q
 from tonemill.operators import relate as R
 from tonemill.plans.adapter import PARAS, REPORTS, SCORED, TAGGED, any_sql, count_sql, paragraphs, reports, scored, tagged, words_sql
 from tonemill.plans.registry import query
@@ -96,6 +97,18 @@ def word_count_description(spark, sf_dir):
     return A.describe(paragraphs(spark, sf_dir), "word_count")
 
 
+@query("SELECT event_type, share, round(CASE share WHEN 0.1 THEN quantile_cont(value, 0.1) WHEN 0.25 THEN quantile_cont(value, 0.25) WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.75 THEN quantile_cont(value, 0.75) ELSE quantile_cont(value, 0.999) END, 6) AS value FROM events, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.999])::DOUBLE AS share) WHERE value IS NOT NULL GROUP BY event_type, share")
+def event_value_quantiles(spark, sf_dir):
+    """Quantiles of a column of many values, by type."""
+    out = Q.exact_quantiles(table(spark, sf_dir, "events"), "value", [0.1, 0.25, 0.5, 0.75, 0.999], ["event_type"])
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("SELECT count(o_totalprice) AS count, round(avg(o_totalprice), 1) AS mean, round(stddev_samp(o_totalprice), 1) AS std, round(CAST(min(o_totalprice) AS DOUBLE), 1) AS min, round(quantile_cont(o_totalprice, 0.25), 1) AS p25, round(quantile_cont(o_totalprice, 0.5), 1) AS p50, round(quantile_cont(o_totalprice, 0.75), 1) AS p75, round(CAST(max(o_totalprice) AS DOUBLE), 1) AS max FROM orders")
+def order_price_description(spark, sf_dir):
+    return A.describe(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
 _TOK = r"list_filter(string_split_regex(lower(regexp_replace(text, '[^\p{L}\p{N}\p{M}_\s]', '', 'g')), '\s+'), lambda w: w <> '')"
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
