@@ -140,3 +140,22 @@ def test_pooled_ngrams(spark):
     for n in (2, 3, 4):
         want = Counter(" ".join(whole[i : i + n]) for i in range(len(whole) - n + 1))
         assert {r["term"]: r["tf"] for r in V.pooled_ngrams(df, "g", "i", "t", n).collect()} == dict(want)
+
+
+def test_sweep_equals_each_cut(spark, sf):
+    """Paragraphs of several bounds, cut once, are those of each cut alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.replace("text", F.lit("\n"), F.lit("  \n")).alias("text"))
+    bounds = {"base": (50, 500), "short": (30, 500), "split": (20, 100), "tiny": (1, 100)}
+    swept = G.sweep_corpus(docs, bounds).select("doc_id", F.explode("bounds").alias("of"), "paragraph_text", "word_count")
+    for name, (low, high) in bounds.items():
+        want = G.build_corpus(docs, "text", low, high).select("doc_id", "paragraph_text", "word_count")
+        got = swept.where(F.col("of") == name).drop("of")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, name
+
+
+def test_line_scanner_is_narrow(spark):
+    df = spark.createDataFrame([(1, "a b c\nd e f\n\nCHAPTER ONE IS A LONG HEADER\ng h i\n12\nj k l"), (1, "x y z"), (None, None), (2, "")], "id long, text string")
+    out = G.labelled_paragraphs(df, "id", min_words=1)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.id, r.position, r.raw_text, r.is_header) for r in out.collect()]
+    assert got == [(1, 0, "a b c d e f", False), (1, 2, "CHAPTER ONE IS A LONG HEADER", True), (1, 3, "g h i j k l", False), (1, 0, "x y z", False)]

@@ -1,7 +1,6 @@
 """Operators that cut documents into pages, sections, paragraphs, sentences and n-grams.
 
-All are narrow: higher-order functions over one row's text, then one explode. Only the line scanner needs a window, over one
-document's lines.
+All are narrow: higher-order functions over one row's text, then one explode.
 """
 
 from __future__ import annotations
@@ -60,6 +59,23 @@ def build_corpus(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
     return out.select(*others, "paragraph_id", F.col("part.text").alias("paragraph_text"), F.col("part.n").alias("word_count"))
 
 
+def sweep_corpus(docs: DataFrame, bounds: dict[str, tuple[int, int]], text: str = "text", arrows: bool = True) -> DataFrame:
+    """docs' other columns with bounds (names), paragraph_text, word_count: the paragraphs of build_corpus() under several
+    (min_words, max_words), cut once; a paragraph has the names of all bounds under which it is one."""
+    counted = lambda p: F.struct(p.alias("text"), X.word_count(p).alias("n"))
+    least = min(low for low, _ in bounds.values())
+    kept = F.filter(F.transform(paragraph_list(F.col(text), arrows), counted), lambda s: s["n"] >= least)
+
+    def under(high: int) -> Column:
+        """Paragraphs under the bounds that end at `high`, with their names."""
+        names = lambda s: F.array_compact(F.array(*(F.when(s["n"] >= low, name) for name, (low, top) in bounds.items() if top == high)))
+        parts = F.flatten(F.transform(kept, lambda s: F.when(s["n"] > high, F.transform(split_long(s["text"], high), counted)).otherwise(F.array(s))))
+        return F.filter(F.transform(parts, lambda s: F.struct(names(s).alias("bounds"), s["text"].alias("paragraph_text"), s["n"].alias("word_count"))), lambda s: F.size(s["bounds"]) > 0)
+
+    others = [c for c in docs.columns if c != text]
+    return docs.select(*others, F.inline(F.concat(*(under(high) for high in sorted({high for _, high in bounds.values()})))))
+
+
 def parse_filename(name: Column) -> tuple[Column, Column]:
     """(country, year) of `<slug>_<year>_raw.txt`; nulls for other names."""
     slug, year = (F.regexp_extract(name, r"^(.+?)_(\d{4})_raw\.txt$", i) for i in (1, 2))
@@ -102,6 +118,7 @@ def page_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(PAGE_MARK)).cast("int")
 
 
+# Fixed value: what a header line looks like.
 HEADER = r"^(?:(?U:\d+\.?\d*\.?\s+)[A-Z](?U:[A-Z\s\-])+|[Cc]hapter(?U:\s+\d+[:\s]).*|[A-Z](?U:[A-Z\s/\-]){14,}|\*(?U:\s*)\*(?U:\s*)\*)(?U:\s*)$"
 
 
@@ -109,19 +126,25 @@ def labelled_paragraphs(docs: DataFrame, key: str, text: str = "text", min_words
     """key, position, raw_text, paragraph, is_header, n_words: lines gathered to paragraphs.
 
     A blank line ends a paragraph; a header line ends it and stands alone; a lone number of up to three digits is skipped
-    without ending it. Paragraphs under min_words go.
+    without ending it. Paragraphs under min_words go. A row's lines are folded in the row: an edge (a header, a blank line or the
+    line after a header) begins a new piece, whose place is the position; no line is shuffled, and rows of one key stay apart.
     """
     plain = F.replace(F.regexp_replace(F.col(text), r"(?md)^={3,}.*?={3,}$", "\n"), F.lit("→"), F.lit(" "))
-    lines = docs.select(key, F.posexplode(F.split(plain, r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]")).alias("line_no", "line"))
-    lines = lines.withColumn("line", X.strip(F.col("line"))).where(~F.col("line").rlike(r"^(?U:\d{1,3})$"))
-    head, blank = F.col("line").rlike(HEADER), F.col("line") == ""
-    order = Window.partitionBy(key).orderBy("line_no")
-    after = F.coalesce(F.lag(head).over(order), F.lit(False))
-    lines = lines.withColumn("is_header", head).withColumn("edge", (head | blank | after).cast("int"))
-    lines = lines.withColumn("position", F.sum("edge").over(order))
-    lines = lines.where(F.col("line") != "")
-    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ")
-    out = lines.groupBy(key, "position").agg(gathered.alias("raw_text"), F.max("is_header").alias("is_header"))
+    lines = F.transform(F.split(plain, r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), X.strip)
+    lines = F.filter(lines, lambda t: ~t.rlike(r"^(?U:\d{1,3})$"))
+    flagged = F.transform(lines, lambda t: F.struct(t.alias("t"), t.rlike(HEADER).alias("head")))
+    # lines hold none of \n, \r and \v, so these can mark the ends of lines, edges and headers
+
+    def marked(f: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(f, i - 1)["head"], F.lit(False))
+        edge = lambda s, i: F.when(s["head"], "\r\v").when((s["t"] == "") | after(i), "\r").otherwise("")
+        return F.array_join(F.transform(f, lambda s, i: F.concat(edge(s, i), s["t"])), "\n")
+
+    # flagged lines are worked out once, as the one element of an array
+    joined = F.get(F.transform(F.array(flagged), marked), F.lit(0))
+    out = docs.select(key, F.posexplode(F.split(joined, "\r")).alias("position", "piece"))
+    own = F.filter(F.split(F.replace("piece", F.lit("\v"), F.lit("")), "\n"), lambda t: t != "")
+    out = out.select(key, F.col("position").cast("long").alias("position"), F.array_join(own, " ").alias("raw_text"), F.startswith("piece", F.lit("\v")).alias("is_header")).where("raw_text <> ''")
     out = out.withColumn("paragraph", X.squeeze(F.lower("raw_text")))
     return out.withColumn("n_words", X.word_count(F.col("paragraph"))).where(F.col("n_words") >= min_words)
 
@@ -149,6 +172,7 @@ def explode_sections(docs: DataFrame, sections: Column, text: str = "text") -> D
     return docs.select(*others, F.inline(sections)).withColumn("word_count", X.word_count(F.col("section_text")))
 
 
+# How reports number and name their sections.
 CONTEXT = r"(?iu)1\.1\.?\s*\n?\s*CONTEXT"
 SUMMARY = r"(?iu)1\.2\.?\s{0,4}\n?\s{0,4}(SUMMARY|MAIN\s+FINDINGS?|)"
 AFTER = r"(?ium)(1\.3[\.\s]|CLUSTER\s+1|THE\s+FUNDAMENTALS\s+OF\s+THE\s+ACCESSION|^2\.\s)"

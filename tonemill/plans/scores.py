@@ -12,6 +12,7 @@ from tonemill.functions import text as X
 from tonemill.operators import aggregate as A
 from tonemill.operators import quantiles as Q
 from tonemill.operators import relate as R
+from tonemill.operators import segment as G
 from tonemill.plans.adapter import PARAS, REPORTS, SCORED, TAGGED, any_sql, count_sql, paragraphs, reports, scored, tagged, words_sql
 from tonemill.plans.registry import query
 from tonemill.session import table
@@ -203,16 +204,12 @@ def mean_of_year_means(spark, sf_dir):
 
 
 def _sensitivity(spark, sf_dir):
-    """Entity means under three bounds of paragraph length, with the change against the first as text."""
-    docs = reports(spark, sf_dir)
-    from tonemill.operators.segment import build_corpus
-
-    parts = {}
-    for name, (low, high) in {"base": (50, 500), "short": (30, 500), "long": (80, 500)}.items():
-        p = build_corpus(docs, "text", low, high)
-        p = p.withColumn("m", S.dict_score(F.col("paragraph_text"), L.PROXY_HARD))
-        parts[name] = A.mean_of_means(p, "country", "year", "m")
-    out = R.outer_bind(parts, "country", "m")
+    """Entity means under three bounds of paragraph length, with the change against the first as text; texts are cut and scored once."""
+    bounds = {"base": (50, 500), "short": (30, 500), "long": (80, 500)}
+    p = G.sweep_corpus(reports(spark, sf_dir), bounds)
+    p = p.select("country", "year", "bounds", S.dict_score(F.col("paragraph_text"), L.PROXY_HARD).alias("m"))
+    means = p.select("country", "year", F.explode("bounds").alias("of"), "m").groupBy("country", "year", "of").agg(F.avg("m").alias("m")).groupBy("country", "of").agg(F.round(F.avg("m"), 3).alias("m"))
+    out = means.groupBy("country").agg(*(F.max(F.when(F.col("of") == name, F.col("m"))).alias(name) for name in bounds))
     return out.select("country", "base", "short", "long", X.percent_change(F.col("short"), F.col("base")).alias("short_change"), X.percent_change(F.col("long"), F.col("base")).alias("long_change"))
 
 
