@@ -189,14 +189,13 @@ _BI = f"b AS (SELECT source, doc_id, unnest(list_transform(range(1, len(t)), lam
 _STOPS = ("the", "of", "and")
 
 
-def _bigrams(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", G.vector_tokens(F.col("text"), _STOPS).alias("t"))
-    return d.select("source", "doc_id", F.explode(G.ngrams(F.col("t"), 2, 2)).alias("term"))
+def _bigram_counts(spark, sf_dir, of):
+    d = table(spark, sf_dir, "documents").where("text is not null").select(of, G.vector_tokens(F.col("text"), _STOPS).alias("t"))
+    return V.term_counts(d, d.columns[0], "t", 2, 2).withColumnRenamed("tf", "n")
 
 
 def _top_bigrams(spark, sf_dir):
-    n = _bigrams(spark, sf_dir).groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
-    return R.top_per_group(n, ["source"], F.col("n"), ["term"], 50)
+    return R.top_per_group(_bigram_counts(spark, sf_dir, F.col("source")), ["source"], F.col("n"), ["term"], 50)
 
 
 _TOP = f"{_BI}, n AS (SELECT source, term, count(*) AS n FROM b GROUP BY source, term), top AS (SELECT source, term, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS INTEGER) AS rank FROM n QUALIFY rank <= 50)"
@@ -210,7 +209,7 @@ def top_bigrams(spark, sf_dir):
 @query(f"WITH {_BI.replace('SELECT source, doc_id, unnest', 'SELECT doc_id % 7 AS year, unnest').replace('AS term FROM (SELECT source,', 'AS term FROM (SELECT')}, n AS (SELECT year, term, count(*) AS n FROM b GROUP BY year, term), top AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY year ORDER BY n DESC, term) <= 50) SELECT term FROM top GROUP BY term HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM top)")
 def shared_bigrams(spark, sf_dir):
     """Top bigrams of every year (intersection)."""
-    n = _bigrams(spark, sf_dir).groupBy((F.col("doc_id") % 7).alias("year"), "term").agg(F.count(F.lit(1)).alias("n"))
+    n = _bigram_counts(spark, sf_dir, (F.col("doc_id") % 7).alias("year"))
     return R.in_all(R.top_per_group(n, ["year"], F.col("n"), ["term"], 50), "year", "term")
 
 
@@ -285,7 +284,7 @@ def year_urls(spark, sf_dir):
 def top_ngrams(spark, sf_dir):
     """The twenty most frequent words and bigrams."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", G.vector_tokens(F.col("text"), _STOPS).alias("t"))
-    return V.top_terms(V.term_counts(d, "doc_id", G.ngrams(F.col("t"), 1, 2)), 20)
+    return V.top_terms(V.term_frequencies(d, "t", 1, 2), 20)
 
 
 def _tfidf_sql(counts: str, max_df: float, features: int, tf: str) -> str:
@@ -311,7 +310,7 @@ def _pooled(spark, sf_dir, n=2):
 @query(f"WITH {_tfidf_sql(_UNI, 0.9, 3000, 'tf')} SELECT doc, term, tf, round(tfidf, 6) AS tfidf FROM w")
 def document_tfidf(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), G.vector_tokens(F.col("text"), _STOPS).alias("t"))
-    w = V.tfidf(V.term_counts(d, "doc", G.ngrams(F.col("t"), 1, 2)), "doc", 0.9, 1, 3000)
+    w = V.document_tfidf(d, "doc", "t", 1, 2, 3000, max_df=0.9)
     return w.select("doc", "term", "tf", F.round("tfidf", 6).alias("tfidf"))
 
 
