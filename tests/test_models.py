@@ -58,6 +58,26 @@ def test_least_squares_with_clusters(data):
     np.testing.assert_allclose(got.cov, sandwich(a, w - a @ beta, a.T @ a, g), atol=1e-7)
 
 
+def test_joint_fits_equal_single_ones(spark, data):
+    """Outcomes of one design, each with nulls of its own, against fits of each alone; rounds and convergence are told."""
+    df = data[0].withColumn("y", F.when(F.col("x") < 1.5, F.col("y"))).withColumn("w", F.when(F.col("z") > -1.5, F.col("w")))
+    for errors in ("default", "cluster"):
+        joint = M.fit_joint(M.design(df, ["y", "w"], ["x", "z"], "level", "a", "g"), ["logit", "ols"], errors)
+        for got, name, family in zip(joint, ("y", "w"), ("logit", "ols"), strict=True):
+            alone = M.fit(M.design(df, name, ["x", "z"], "level", "a", "g"), family, errors)
+            assert got.n == alone.n and got.converged and got.rounds == alone.rounds
+            np.testing.assert_allclose(got.beta, alone.beta, atol=1e-9)
+            np.testing.assert_allclose(got.cov, alone.cov, atol=1e-9)
+    apart = spark.createDataFrame([(float(i), int(i > 5)) for i in range(12)], "x double, y int")
+    assert not M.fit(M.design(apart, "y", ["x"]), rounds=8).converged
+
+
+def test_levels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_LEVELS", 3)
+    with pytest.raises(ValueError, match="levels"):
+        M.design(spark.range(9).selectExpr("id as y", "cast(id as string) as f"), "y", [], "f")
+
+
 def test_sum_coding_and_interactions(data):
     df = data[0]
     plain, deviation = M.fit(M.design(df, "y", ["x"], "level")), M.fit(M.design(df, "y", ["x"], "level", coding="sum"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonemill import lexicons as L
@@ -11,7 +14,7 @@ from tonemill.models import stem, topics
 from tonemill.operators import segment as G
 from tonemill.plans.adapter import SCORED, paragraphs, scored
 from tonemill.plans.registry import query
-from tonemill.session import table
+from tonemill.session import cut, table
 
 TOPIC_COLUMNS = [f"topic_{t}" for t in L.PROXY_TOPICS]
 
@@ -23,6 +26,7 @@ def sample(spark, sf_dir):
     df = df.withColumns(S.topic_flags(F.col("text"), L.PROXY_TOPICS))
     hard, soft = S.dict_score(F.col("text"), L.PROXY_HARD), S.dict_score(F.col("text"), L.PROXY_SOFT)
     df = df.select("doc_id", "lang", "source", "quality", "toxic", (2019 + F.col("doc_id") % 7).alias("year"), S.severity(hard, soft).alias("severity"), *(F.col(c).cast("int").alias(c) for c in TOPIC_COLUMNS))
+    df = cut(df)  # a few numbers a row, which medians, levels and every step of a fit read; texts are scored once
     return df.crossJoin(F.broadcast(df.agg(F.median("year").alias("mid")))).withColumn("year_c", F.col("year") - F.col("mid")).drop("mid")
 
 
@@ -37,10 +41,10 @@ def default_logit(spark, sf_dir):
 
 @query()
 def clustered_models(spark, sf_dir):
-    """Two logits and a least-squares fit with errors by cluster, odds ratios and intervals."""
-    df = sample(spark, sf_dir)
-    out = [M.fit(_design(df, y, base="en"), family, "cluster").frame(spark, y) for y, family in (("toxic", "logit"), ("quality", "logit"), ("severity", "ols"))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """Two logits and a least-squares fit with errors by cluster, odds ratios and intervals: one design, one pass a step for all."""
+    outcomes = {"toxic": "logit", "quality": "logit", "severity": "ols"}
+    fits = M.fit_joint(_design(sample(spark, sf_dir), list(outcomes), base="en"), list(outcomes.values()), "cluster")
+    return reduce(DataFrame.unionByName, (f.frame(spark, y) for y, f in zip(outcomes, fits, strict=True)))
 
 
 @query()
