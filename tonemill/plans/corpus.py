@@ -18,6 +18,20 @@ def paragraph_table(spark, sf_dir):
     return paragraphs(spark, sf_dir).select("doc_id", "country", "year", "paragraph_id", "paragraph_text", "word_count")
 
 
+@query(rf"""WITH t AS (SELECT doc_id, replace(text, chr(10), ' ' || chr(10) || CASE WHEN doc_id % 2 = 1 THEN '→' ELSE '' END) AS text FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, '  ' || chr(10), chr(10) || chr(10)), '([A-Za-z]{{4,}}[.!?]) \n([A-Z])', '\1' || chr(10) || chr(10) || '\2', 'g'), '([A-Za-z]{{4,}}[.!?]) \n([A-Z])', '\1' || chr(10) || chr(10) || '\2', 'g') AS text FROM t),
+p AS (SELECT doc_id, unnest(range(len(c))) AS i, unnest(c) AS p FROM (SELECT doc_id, list_transform(string_split_regex(text, '
+{{2,}}'), lambda x: trim(replace(x, chr(10), ' '))) AS c FROM m))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS paragraph_id, p AS paragraph_text, {words_sql('p')} AS word_count FROM p WHERE {words_sql('p')} >= 20""")
+def paragraph_table_without_arrows(spark, sf_dir):
+    """The variant in which an arrow does not begin a paragraph; lines of odd documents begin with one. (The SQL, without lookahead,
+    passes twice, for lines of a single word.)"""
+    arrow = F.when(F.col("doc_id") % 2 == 1, "→").otherwise("")
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = docs.select("doc_id", F.replace("text", F.lit("\n"), F.concat(F.lit(" \n"), arrow)).alias("text"))
+    return segment.build_corpus(docs, "text", 20, 10**9, arrows=False)
+
+
 _STEP = "struct_pack(done := CASE WHEN {full} THEN a.done || [{now}] ELSE a.done END, cur := CASE WHEN {full} THEN NULL ELSE {now} END, n := CASE WHEN {full} THEN 0 ELSE a.n + x.n END)"
 _STEP = _STEP.format(full="a.n + x.n >= 100", now="CASE WHEN a.cur IS NULL THEN x.cur ELSE a.cur || ' ' || x.cur END")
 

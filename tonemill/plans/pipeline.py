@@ -11,6 +11,7 @@ from tonemill import lexicons as L
 from tonemill.functions import scoring as S
 from tonemill.operators import aggregate as A
 from tonemill.operators import segment
+from tonemill.plans import tables
 from tonemill.sources import readers, sinks
 
 TOPICS = {"five": L.TOPICS_FIVE, "four": L.TOPICS_FOUR}
@@ -27,10 +28,11 @@ def tag_topics(paragraphs: DataFrame, topics=L.TOPICS_FIVE) -> DataFrame:
     return paragraphs.withColumns(S.topic_flags(F.col("paragraph_text"), topics))
 
 
-def run(spark: SparkSession, raw_dir: str, out_dir: str, min_words: int = segment.MIN_WORDS, max_words: int = segment.MAX_WORDS, topics: str = "five", form: str = "parquet") -> dict[str, DataFrame]:
+def run(spark: SparkSession, raw_dir: str, out_dir: str, min_words: int = segment.MIN_WORDS, max_words: int = segment.MAX_WORDS, topics: str = "five", form: str = "parquet", results: bool = False, base: str | None = None) -> dict[str, DataFrame]:
     """Writes paragraphs, scores, summary and topic_summary, and returns them as read back.
 
-    Text is cut and scored in one narrow pass that is written once; both summaries read that.
+    Text is cut and scored in one narrow pass that is written once; all other tables but the last two read that. With results:
+    regressions (against the entity `base`), odds ratios, fitted rates, sensitivity to paragraph bounds and topic weights too.
     """
     write = sinks.write_csv if form == "csv" else sinks.write_parquet
     scores = tag_topics(score_corpus(segment.build_corpus(readers.raw_reports(spark, raw_dir), "text", min_words, max_words)), TOPICS[topics])
@@ -41,6 +43,9 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, min_words: int = segmen
         "summary": A.mean_by(scores, ("country", "year")),
         "topic_summary": A.by_topic(scores, ("country", "year"), TOPICS[topics]),
     }
+    if results:
+        texts = readers.raw_reports(spark, raw_dir)
+        made |= tables.regression_tables(scores, base) | {"sensitivity_preprocessing": tables.sensitivity(texts), "lda_topic_weights": tables.topic_weights(texts)}
     for name, df in made.items():
         write(df, f"{out_dir}/{name}.{form}")
     return {"scores": scores, **made}
@@ -54,9 +59,11 @@ def main(argv=None) -> None:
     p.add_argument("--max-words", type=int, default=segment.MAX_WORDS)
     p.add_argument("--topics", choices=sorted(TOPICS), default="five")
     p.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    p.add_argument("--results", action="store_true", help="also write regressions, odds ratios, fitted rates, sensitivity and topic weights")
+    p.add_argument("--base", help="the entity that regressions compare with; by default the first")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tonemill").getOrCreate()
-    run(spark, a.raw_dir, a.out_dir, a.min_words, a.max_words, a.topics, a.format)
+    run(spark, a.raw_dir, a.out_dir, a.min_words, a.max_words, a.topics, a.format, a.results, a.base)
 
 
 if __name__ == "__main__":

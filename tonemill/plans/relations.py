@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from tonemill.operators import vectors as V
 from tonemill.operators.scan import scanned
 from tonemill.plans.adapter import PARAS, REPORTS, SCORED, count_sql, paragraphs, reports, scored, words_sql
 from tonemill.plans.registry import query
-from tonemill.session import table
+from tonemill.sources import manifest
+from tonemill.session import shared_folder, table
 
 _GROUPS = {k: v for k, v in L.PROXY_GROUPS.items()}
 _KW = f"kw AS (SELECT country, year, {', '.join(f'''sum({count_sql('lower(text)', v)})::BIGINT AS {k}''' for k, v in _GROUPS.items())} FROM reports GROUP BY country, year)"
@@ -41,6 +43,13 @@ def inner_join_means(spark, sf_dir):
     return a.join(df.where("year < 2023").groupBy("country").agg(F.round(F.avg("criticism_soft_p1k"), 4).alias("soft")), "country")
 
 
+@query(f"WITH {SCORED}, s AS (SELECT country, year, round(avg(criticism_hard_p1k), 4) AS hard FROM scored GROUP BY country, year), w AS (SELECT country, year, round(avg(criticism_soft_p1k), 4) AS soft FROM scored WHERE word_count < 100 GROUP BY country, year) SELECT country, year, hard, soft FROM s JOIN w USING (country, year)")
+def inner_join_on_two_keys(spark, sf_dir):
+    df = scored(spark, sf_dir)
+    a = df.groupBy("country", "year").agg(F.round(F.avg("criticism_hard_p1k"), 4).alias("hard"))
+    return a.join(df.where("word_count < 100").groupBy("country", "year").agg(F.round(F.avg("criticism_soft_p1k"), 4).alias("soft")), ["country", "year"])
+
+
 @query(f"WITH {REPORTS}, c AS (SELECT DISTINCT country FROM reports), y AS (SELECT DISTINCT year FROM reports), k AS (SELECT DISTINCT doc_id % 13 AS kind FROM reports) SELECT country, year, kind FROM c, y, k EXCEPT SELECT country, year, doc_id % 13 FROM reports")
 def missing_coverage(spark, sf_dir):
     """Cells of the grid of entity, year and kind without a document."""
@@ -130,6 +139,30 @@ def largest_drivers(spark, sf_dir):
     return R.largest_changes(_keywords(spark, sf_dir), "country", "year", list(_GROUPS), 2)
 
 
+_CHANGES = f"WITH {REPORTS}, {_KW}, d AS (SELECT country, year, {_DIFF} FROM kw), u AS (" + " UNION ALL ".join(f"SELECT country, year, '{k}' AS driver, CAST({k} AS DOUBLE) AS change FROM d WHERE {k} IS NOT NULL" for k in _GROUPS) + ")"
+
+
+@query(f"{_CHANGES} SELECT country, year, driver, change, CAST(row_number() OVER (PARTITION BY country, year ORDER BY abs(change) DESC, driver) AS INTEGER) AS rank FROM u QUALIFY rank <= 3")
+def three_largest_drivers(spark, sf_dir):
+    """The three drivers that changed most each year."""
+    return R.largest_changes(_keywords(spark, sf_dir), "country", "year", list(_GROUPS))
+
+
+_STATUS = "source string, doc_id long, attempt int, status string"
+
+
+@query("SELECT source, doc_id, CASE WHEN quality = 1 THEN 2 ELSE 1 END::INTEGER AS attempt, CASE WHEN quality = 1 THEN 'downloaded' ELSE 'failed' END AS status FROM documents JOIN labels USING (doc_id)")
+def manifest_statuses(spark, sf_dir):
+    """A manifest merged by three runs: all labelled documents failed, then the good ones came, then the first run was repeated."""
+    found = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/manifest"
+    first = found.select("source", "doc_id", F.lit(1).alias("attempt"), F.lit("failed").alias("status"))
+    second = found.where("quality = 1").select("source", "doc_id", F.lit(2).alias("attempt"), F.lit("downloaded").alias("status"))
+    for run in (first, second, first):
+        manifest.merge(run, path, _STATUS, ["source", "doc_id"], "source")
+    return manifest.read(spark, path, _STATUS)
+
+
 @query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'none') AS asked, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY conv_id, turn)")
 def carried_questions(spark, sf_dir):
     """The last user turn carried forward."""
