@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tonemill import lexicons as L
 from tonemill.functions import scoring as S
 from tonemill.models import regression as M
-from tonemill.models import stem, topics
+from tonemill.models import sentences, stem, topics
 from tonemill.operators import segment as G
 from tonemill.plans.adapter import SCORED, paragraphs, scored
 from tonemill.plans.registry import query
@@ -101,6 +101,33 @@ def lda_phrase_topics(spark, sf_dir):
     return topics.topic_terms(model, vocabulary).withColumn("perplexity", F.round(F.lit(topics.perplexity(model, vectors)), 1))
 
 
+@query()
+def trained_sentence_chunks(spark, sf_dir):
+    """Chunks of five sentences, whose boundaries are learned from all documents."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    cut_up = docs.select("doc_id", sentences.sentences(F.col("text"), sentences.learn(docs)).alias("s"))
+    return cut_up.select("doc_id", F.posexplode(G.fixed_chunks(F.col("s"), 5)).alias("chunk", "text"))
+
+
+def _tokens_sql(text: str) -> str:
+    bare = rf"""regexp_replace(regexp_replace(w, '^[("''“‘«\[{{]+', ''), '[)"''”’»\]}},;:!?]+$', '')"""
+    return rf"""w AS (SELECT {bare} AS w FROM (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM {text})),
+t AS (SELECT CASE WHEN regexp_full_match(kind, '-?[.,]?\d[\d,.-]*') THEN '##number##' ELSE kind END AS kind, period FROM (SELECT lower(regexp_replace(w, '\.+$', '')) AS kind, regexp_matches(w, '(^|[^.])\.$') AS period FROM w) WHERE regexp_matches(kind, '[\p{{L}}\d#]'))"""
+
+
+@query(f"""WITH {_tokens_sql('documents')},
+c AS (SELECT kind, count(*) FILTER (period) AS w, count(*) FILTER (NOT period) AS o FROM t WHERE kind <> '##number##' GROUP BY kind),
+a AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (period)::DOUBLE AS p FROM t),
+s AS (SELECT kind, w AS with_period, o AS without_period, length(replace(kind, '.', '')) AS letters, length(kind) - length(replace(kind, '.', '')) AS dots,
+  -2 * (w * ln(p / n) + CASE WHEN o = 0 THEN 0 ELSE o * ln(1 - p / n) END - w * ln(0.99::DOUBLE) - CASE WHEN o = 0 THEN 0 ELSE o * ln(1 - 0.99::DOUBLE) END) AS r FROM c, a WHERE w > 0)
+SELECT kind, with_period, without_period, round(r * exp(-letters::DOUBLE) * (dots + 1) * pow(letters::DOUBLE, -without_period::DOUBLE), 6) AS score FROM s WHERE r * exp(-letters::DOUBLE) * (dots + 1) * pow(letters::DOUBLE, -without_period::DOUBLE) >= 0.3""")
+def learned_abbreviations(spark, sf_dir):
+    """Abbreviations that are learned from all documents, with their counts and scores."""
+    listed = table(spark, sf_dir, "documents").select(sentences.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    counts = listed.select(F.inline("t")).groupBy("kind", "period").agg(F.count(F.lit(1)).alias("n"))
+    return sentences.abbreviation_scores(counts).where(F.col("score") >= sentences.ABBREVIATION).withColumn("score", F.round("score", 6))
+
+
 def stem_chunks(docs, size=5, least=6, stops=()):
     """doc_id, chunk, stems: of each `size` sentences the stems of wholly alphabetic tokens longer than three letters; chunks of fewer than `least` go."""
     chunks = docs.select("doc_id", F.posexplode(G.fixed_chunks(F.col("sentences"), size)).alias("chunk", "text"))
