@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonemill import lexicons as L
+from tonemill import sql
 from tonemill.functions import scoring as S
 from tonemill.functions import text as X
 from tonemill.operators import segment
 from tonemill.plans.adapter import LINES, PARAS, REPORTS, paragraphs, reports, words_sql
-from tonemill.plans.registry import query
+from tonemill.plans.registry import ORACLES, query
 from tonemill.session import table
 
 
@@ -110,6 +111,13 @@ def page_chunk_table(spark, sf_dir):
     return segment.page_chunks(_paged(spark, sf_dir))
 
 
+@query(ORACLES["page_chunk_table"])
+def sql_page_chunks(spark, sf_dir):
+    """Pages again, by the session's table function."""
+    sql.register(spark)
+    return spark.sql("SELECT d.doc_id, p.* FROM {docs} d, LATERAL load_chunks(d.text) p", docs=_paged(spark, sf_dir))
+
+
 @query(r"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS pages FROM documents WHERE text IS NOT NULL""")
 def page_counts(spark, sf_dir):
     return _paged(spark, sf_dir).select("doc_id", segment.page_count(F.col("text")).alias("pages"))

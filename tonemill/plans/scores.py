@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tonemill import lexicons as L
+from tonemill import sql
 from tonemill.functions import scoring as S
 from tonemill.functions import text as X
 from tonemill.operators import aggregate as A
@@ -27,6 +28,18 @@ def country_year_summary(spark, sf_dir):
     return A.mean_by(scored(spark, sf_dir), KEYS)
 
 
+_ARRAY = lambda terms: "array(" + ", ".join(f"'{t}'" for t in terms) + ")"
+
+
+@query(f"WITH {SCORED} SELECT country, year, {M} FROM scored GROUP BY country, year")
+def sql_country_year_summary(spark, sf_dir):
+    """The flagship again, by the session's SQL functions: paragraphs by a lateral table function, scores by scalar ones."""
+    sql.register(spark)
+    scores = f"dict_score(p.paragraph_text, {_ARRAY(L.PROXY_HARD)}) AS hard, dict_score(p.paragraph_text, {_ARRAY(L.PROXY_SOFT)}) AS soft"
+    means = "round(avg(hard), 4) AS criticism_hard_p1k, round(avg(soft), 4) AS criticism_soft_p1k, round(avg(severity(hard, soft)), 4) AS severity_ratio"
+    return spark.sql(f"SELECT country, year, {means} FROM (SELECT d.country, d.year, {scores} FROM {{docs}} d, LATERAL build_corpus(d.text, 50, 500) p) GROUP BY country, year", docs=reports(spark, sf_dir))
+
+
 @query(f"WITH {SCORED} SELECT doc_id, paragraph_id, hard_raw, soft_raw, round(criticism_hard_p1k, 8) AS criticism_hard_p1k, round(criticism_soft_p1k, 8) AS criticism_soft_p1k, round(severity_ratio, 8) AS severity_ratio FROM scored")
 def paragraph_scores(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", "paragraph_id", "hard_raw", "soft_raw", *(F.round(m, 8).alias(m) for m in A.METRICS))
