@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.session import cut, share_package, shared_folder, table  # noqa: F401
+from tonemill.session import BROADCAST_ROWS, cut, maybe_broadcast, share_package, shared_folder, table  # noqa: F401
 
 #: ASCII white space: the characters \x20 and \x09-\x0D, at which words end.
 WHITE = np.zeros(256, dtype=bool)
@@ -160,15 +160,6 @@ def gram_starts(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(total) + shift, count
 
 
-#: Rows of one or two numbers up to which a side is broadcast (about 16 MB); larger sides are shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df, a few numbers a row and already cut, for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def row_key(text: str = "text") -> Column:
     """The hash that, with the id, tells rows of one id (or of none) and other texts apart."""
     return F.xxhash64(F.col(text))
