@@ -99,6 +99,8 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, page_id
     judged = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("u")).withColumns({"host": host, "path": path})
     judged = judged.withColumns({"rule": rule, "own": verdict})
     edges = cut((links(pages, url, html) if edges is None else edges).select("source", "target"))
+    if edges.isEmpty():  # the rules alone decide
+        return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.when(F.col("own").isNotNull(), "rule").otherwise("none").alias("via"))
     ends = edges.select(F.explode(F.array("source", "target")).alias("u")).distinct()
     blocked = ends.withColumns({"host": host, "path": path}).select(F.xxhash64("u").alias("id"), rule_of(host, path, rules)[1].alias("own")).where("own = 'block'")
     groups = components(edges.select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b")))
