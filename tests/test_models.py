@@ -72,6 +72,25 @@ def test_joint_fits_equal_single_ones(spark, data):
     assert not M.fit(M.design(apart, "y", ["x"]), rounds=8).converged
 
 
+@pytest.mark.parametrize(("formula", "how"), [
+    ("y ~ C(level, Treatment('a')) + x + z", {"y": "y", "numeric": ["x", "z"], "factor": "level", "base": "a"}),
+    ("y~x+C(level,Sum)", {"y": "y", "numeric": ["x"], "factor": "level", "coding": "sum"}),
+    ("y + w ~ C(level) + x*z", {"y": ["y", "w"], "numeric": ["x", "z"], "factor": "level", "interactions": [("x", "z")]}),
+    ("w ~ C(level)*x + z + z", {"y": "w", "numeric": ["x", "z"], "factor": "level", "interactions": [("x", "b"), ("x", "c")]}),
+    ("w ~ x + z + x:z", {"y": "w", "numeric": ["x", "z"], "interactions": [("x", "z")]}),
+])
+def test_formulas(data, formula, how):
+    got, want = M.from_formula(data[0], formula, "g"), M.design(data[0], cluster="g", **how)
+    assert (got.names, got.outcomes) == (want.names, want.outcomes)
+    assert sorted(map(tuple, got.rows.collect())) == sorted(map(tuple, want.rows.collect()))
+
+
+@pytest.mark.parametrize("formula", ["y", "y ~", "~ x", "y ~ C(a) + C(b)", "y ~ log(x)", "y ~ a:b:c"])
+def test_what_is_no_formula(data, formula):
+    with pytest.raises(ValueError, match="is no|more than"):
+        M.from_formula(data[0], formula)
+
+
 def test_levels_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(M, "MOST_LEVELS", 3)
     with pytest.raises(ValueError, match="levels"):

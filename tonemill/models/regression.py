@@ -8,6 +8,7 @@ aggregation, by cluster.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -41,7 +42,8 @@ def design(df: DataFrame, y: str | list[str], numeric, factor: str | None = None
     may lack some, and takes part in the fits of the others.
 
     coding: `treatment` against the base level (by default the first), or `sum`: levels against their mean, the last one -1 in
-    all of them. interactions: (a, b) pairs of numeric columns, or of a numeric column and a level's name.
+    all of them. interactions: (a, b) pairs of numeric columns, or of a numeric column and a level's name, or the factor for all of its
+    levels that are columns.
     """
     several = [y] if isinstance(y, str) else list(y)
     used = [*(several if len(several) == 1 else []), *numeric, *([factor] if factor else []), *([cluster] if cluster else [])]
@@ -59,13 +61,53 @@ def design(df: DataFrame, y: str | list[str], numeric, factor: str | None = None
     terms += list(flags.items())
     terms += [(c, F.col(c).cast("double")) for c in numeric]
     known = dict(terms) | {v: (F.col(factor) == v).cast("double") for v in levels if v not in flags}
-    terms += [(f"{a}:{b}", known[a] * known[b]) for a, b in interactions]
+    pairs = [pair for a, b in interactions for pair in ([(a, v) for v in flags] if b == factor and b not in known else [(a, b)])]
+    terms += [(f"{a}:{b}", known[a] * known[b]) for a, b in pairs]
     group = F.col(cluster).cast("string") if cluster else F.lit(None).cast("string")
     outcomes = ("y",) if len(several) == 1 else tuple(f"y{i}" for i in range(len(several)))
     rows = df.select(*(F.col(c).cast("double").alias(name) for c, name in zip(several, outcomes, strict=True)), group.alias("cluster"), *(c.alias(f"x{i}") for i, (_, c) in enumerate(terms)))
     return Design(rows, [n for n, _ in terms], outcomes)
 
 
+def from_formula(df: DataFrame, formula: str, cluster: str | None = None) -> Design:
+    """The design of a formula: `y ~ a + b`, or `y + z ~ ...` for several outcomes.
+
+    Terms: a numeric column; C(f), C(f, Treatment('base')) or C(f, Sum) for a factor (one at most); a:b for a product, also with the
+    factor, C(f):a; a*b for a + b + a:b. An intercept is always there. A term that stands twice counts once.
+    """
+    left, _, right = formula.partition("~")
+    outcomes = [y.strip() for y in left.split("+") if y.strip()]
+    if not outcomes or not right.strip():
+        raise ValueError(f"{formula!r} is not `outcome ~ terms`")
+    factors: dict[str, tuple[str, str | None]] = {}
+    numeric: list[str] = []
+    products: list[tuple[str, str]] = []
+
+    def column(term: str) -> str:
+        """The column of a single term, which is noted as a factor or a number."""
+        found = re.fullmatch(r"""C\(\s*(\w+)\s*(?:,\s*(?:Treatment(?:\(\s*['"](.*?)['"]\s*\))?|(Sum)(?:\(\))?)\s*)?\)""", term)
+        if found:
+            factors.setdefault(found[1], ("sum" if found[3] else "treatment", found[2]))
+            return found[1]
+        if not re.fullmatch(r"\w+", term):
+            raise ValueError(f"{term!r} is no term")
+        return term
+
+    for term in (t.strip() for t in right.split("+")):
+        parts = [p.strip() for p in re.split(r"[:*]", term)]
+        names = [column(p) for p in parts]
+        if len(parts) > 2:
+            raise ValueError(f"{term!r} has more than two parts")
+        if len(parts) == 1 or "*" in term:
+            numeric += [n for n in names if n not in factors]
+        if len(parts) == 2:
+            products.append(tuple(sorted(names, key=lambda n: n in factors)))
+    if len(factors) > 1:
+        raise ValueError(f"{formula!r} has more than one factor")
+    factor, (coding, base) = next(iter(factors.items()), (None, ("treatment", None)))
+    return design(df, outcomes[0] if len(outcomes) == 1 else outcomes, list(dict.fromkeys(n for n in numeric if n not in factors)), factor, base, cluster, coding, list(dict.fromkeys(products)))
+
+
 def _linear(xs, beta) -> Column:
     out = F.lit(0.0)
     for x, b in zip(xs, beta, strict=True):

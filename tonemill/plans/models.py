@@ -61,6 +61,13 @@ def interaction_model(spark, sf_dir):
     return M.fit(d, errors="cluster").frame(spark, "toxic x fr")
 
 
+@query()
+def formula_models(spark, sf_dir):
+    """Two outcomes of one formula, with the year's slope by language, errors by source."""
+    d = M.from_formula(sample(spark, sf_dir), f"toxic + quality ~ C(lang, Treatment('en')) * year_c + {' + '.join(TOPIC_COLUMNS)}", "source")
+    return reduce(DataFrame.unionByName, (f.frame(spark, y) for y, f in zip(("toxic", "quality"), M.fit_joint(d, ["logit", "logit"], "cluster"), strict=True)))
+
+
 @query()
 def deviation_coding(spark, sf_dir):
     return M.fit(_design(sample(spark, sf_dir), "toxic", coding="sum"), errors="cluster").frame(spark, "toxic, sum coding")

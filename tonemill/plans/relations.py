@@ -228,7 +228,8 @@ def _bigram_counts(spark, sf_dir, of):
 
 
 def _top_bigrams(spark, sf_dir):
-    return R.top_per_group(_bigram_counts(spark, sf_dir, F.col("source")), ["source"], F.col("n"), ["term"], 50)
+    d = table(spark, sf_dir, "documents").where("text is not null").select("source", G.vector_tokens(F.col("text"), _STOPS).alias("t"))
+    return V.heavy_terms(d, "source", "t", 50, 2, 2).withColumnRenamed("tf", "n")
 
 
 _TOP = f"{_BI}, n AS (SELECT source, term, count(*) AS n FROM b GROUP BY source, term), top AS (SELECT source, term, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS INTEGER) AS rank FROM n QUALIFY rank <= 50)"
