@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill import lexicons as L
+from tonemill import session
 from tonemill.functions import scoring as S
 from tonemill.operators import segment
-from tonemill.session import table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table. Texts that come in fewer splits than there are cores are dealt out first, since cutting and scoring are narrow; a
+    large input has more splits and stays where it is."""
+    df, cores = session.table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

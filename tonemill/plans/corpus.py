@@ -9,9 +9,8 @@ from tonemill import sql
 from tonemill.functions import scoring as S
 from tonemill.functions import text as X
 from tonemill.operators import segment
-from tonemill.plans.adapter import LINES, PARAS, REPORTS, paragraphs, reports, words_sql
+from tonemill.plans.adapter import LINES, PARAS, REPORTS, paragraphs, reports, table, words_sql
 from tonemill.plans.registry import ORACLES, query
-from tonemill.session import table
 
 
 @query(f"WITH {PARAS} SELECT * FROM paras")

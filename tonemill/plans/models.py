@@ -12,9 +12,9 @@ from tonemill.functions import scoring as S
 from tonemill.models import regression as M
 from tonemill.models import sentences, stem, topics
 from tonemill.operators import segment as G
-from tonemill.plans.adapter import SCORED, paragraphs, scored
+from tonemill.plans.adapter import SCORED, paragraphs, scored, table
 from tonemill.plans.registry import query
-from tonemill.session import cut, table
+from tonemill.session import cut
 
 TOPIC_COLUMNS = [f"topic_{t}" for t in L.PROXY_TOPICS]
 

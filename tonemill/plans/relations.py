@@ -16,10 +16,10 @@ from tonemill.operators import relate as R
 from tonemill.operators import segment as G
 from tonemill.operators import vectors as V
 from tonemill.operators.scan import scanned
-from tonemill.plans.adapter import PARAS, REPORTS, SCORED, count_sql, paragraphs, reports, scored, words_sql
+from tonemill.plans.adapter import PARAS, REPORTS, SCORED, count_sql, paragraphs, reports, scored, table, words_sql
 from tonemill.plans.registry import query
 from tonemill.sources import manifest
-from tonemill.session import shared_folder, table
+from tonemill.session import shared_folder
 
 _GROUPS = {k: v for k, v in L.PROXY_GROUPS.items()}
 _KW = f"kw AS (SELECT country, year, {', '.join(f'''sum({count_sql('lower(text)', v)})::BIGINT AS {k}''' for k, v in _GROUPS.items())} FROM reports GROUP BY country, year)"

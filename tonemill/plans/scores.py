@@ -14,9 +14,8 @@ from tonemill.operators import aggregate as A
 from tonemill.operators import quantiles as Q
 from tonemill.operators import relate as R
 from tonemill.operators import segment as G
-from tonemill.plans.adapter import PARAS, REPORTS, SCORED, TAGGED, any_sql, count_sql, paragraphs, reports, scored, tagged, words_sql
+from tonemill.plans.adapter import PARAS, REPORTS, SCORED, TAGGED, any_sql, count_sql, paragraphs, reports, scored, table, tagged, words_sql
 from tonemill.plans.registry import query
-from tonemill.session import table
 
 M = "round(avg(criticism_hard_p1k), 4) AS criticism_hard_p1k, round(avg(criticism_soft_p1k), 4) AS criticism_soft_p1k, round(avg(severity_ratio), 4) AS severity_ratio"
 KEYS = ("country", "year")
