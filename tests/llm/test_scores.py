@@ -258,7 +258,7 @@ def test_url_links_of_every_form(spark):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = catalog.queries()[name](spark, sf)
     got = con.execute(catalog.oracle_sql()[name])
