@@ -335,10 +335,10 @@ _POOL = f"pool AS (SELECT source AS doc, string_agg(text, ' ' ORDER BY doc_id) A
 _POOL_TRI = _POOL.replace("range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]", "range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]")
 
 
-def _pooled(spark, sf_dir, n=2):
-    """N-grams of each entity's texts end to end, without joining them: those inside texts, and those across texts' borders."""
+def _pooled(spark, sf_dir, features, max_df=1.0, n=2, sublinear=False):
+    """Weights of n-grams of each entity's texts end to end, without joining them: those inside texts, and those across texts' borders."""
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("doc"), "doc_id", G.vector_tokens(F.col("text"), _STOPS).alias("t"))
-    return V.pooled_ngrams(d, "doc", "doc_id", "t", n)
+    return V.pooled_tfidf(d, "doc", "doc_id", "t", n, features, max_df, 1, sublinear)
 
 
 @query(f"WITH {_tfidf_sql(_UNI, 0.9, 3000, 'tf')} SELECT doc, term, tf, round(tfidf, 6) AS tfidf FROM w")
@@ -351,23 +351,23 @@ def document_tfidf(spark, sf_dir):
 @query(f"WITH {_tfidf_sql(_POOL, 1.0, 2000, 'tf')}, r AS (SELECT doc, term, round(tfidf, 6) AS tfidf FROM w) SELECT doc, term, tfidf, CAST(row_number() OVER (PARTITION BY doc ORDER BY tfidf DESC, term) AS INTEGER) AS rank FROM r QUALIFY rank <= 15")
 def pooled_tfidf_top(spark, sf_dir):
     """Top terms of each entity's joined text."""
-    w = V.tfidf(_pooled(spark, sf_dir), "doc", 1.0, 1, 2000).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))
+    w = _pooled(spark, sf_dir, 2000).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))
     return R.top_per_group(w, ["doc"], F.col("tfidf"), ["term"], 15)
 
 
 @query(f"WITH {_tfidf_sql(_POOL, 0.95, 5000, '1 + ln(tf)')} SELECT doc, term, tf, round(tfidf, 6) AS tfidf FROM w")
 def sublinear_tfidf(spark, sf_dir):
-    w = V.tfidf(_pooled(spark, sf_dir), "doc", 0.95, 1, 5000, sublinear=True)
+    w = _pooled(spark, sf_dir, 5000, 0.95, sublinear=True)
     return w.select("doc", "term", "tf", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query(f"WITH {_tfidf_sql(_POOL_TRI, 0.95, 5000, '1 + ln(tf)')} SELECT doc, term, tf, round(tfidf, 6) AS tfidf FROM w")
 def sublinear_trigrams(spark, sf_dir):
-    w = V.tfidf(_pooled(spark, sf_dir, 3), "doc", 0.95, 1, 5000, sublinear=True)
+    w = _pooled(spark, sf_dir, 5000, 0.95, 3, sublinear=True)
     return w.select("doc", "term", "tf", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query(f"WITH {_tfidf_sql(_POOL, 1.0, 2000, 'tf')}, s AS (SELECT a.doc AS a, b.doc AS b, sum(a.tfidf * b.tfidf) AS s FROM w a JOIN w b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2), i AS (SELECT DISTINCT doc FROM w) SELECT x.doc AS a, y.doc AS b, round(coalesce(s, 0), 3) AS similarity FROM i x JOIN i y ON x.doc < y.doc LEFT JOIN s ON s.a = x.doc AND s.b = y.doc")
 def entity_similarity(spark, sf_dir):
     """Cosine similarity of all pairs of entities."""
-    return V.cosine_pairs(V.tfidf(_pooled(spark, sf_dir), "doc", 1.0, 1, 2000), "doc")
+    return V.cosine_pairs(_pooled(spark, sf_dir, 2000), "doc")
