@@ -222,11 +222,6 @@ _BI = f"b AS (SELECT source, doc_id, unnest(list_transform(range(1, len(t)), lam
 _STOPS = ("the", "of", "and")
 
 
-def _bigram_counts(spark, sf_dir, of):
-    d = table(spark, sf_dir, "documents").where("text is not null").select(of, G.vector_tokens(F.col("text"), _STOPS).alias("t"))
-    return V.term_counts(d, d.columns[0], "t", 2, 2).withColumnRenamed("tf", "n")
-
-
 def _top_bigrams(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select("source", G.vector_tokens(F.col("text"), _STOPS).alias("t"))
     return V.heavy_terms(d, "source", "t", 50, 2, 2).withColumnRenamed("tf", "n")
@@ -243,8 +238,8 @@ def top_bigrams(spark, sf_dir):
 @query(f"WITH {_BI.replace('SELECT source, doc_id, unnest', 'SELECT doc_id % 7 AS year, unnest').replace('AS term FROM (SELECT source,', 'AS term FROM (SELECT')}, n AS (SELECT year, term, count(*) AS n FROM b GROUP BY year, term), top AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY year ORDER BY n DESC, term) <= 50) SELECT term FROM top GROUP BY term HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM top)")
 def shared_bigrams(spark, sf_dir):
     """Top bigrams of every year (intersection)."""
-    n = _bigram_counts(spark, sf_dir, (F.col("doc_id") % 7).alias("year"))
-    return R.in_all(R.top_per_group(n, ["year"], F.col("n"), ["term"], 50), "year", "term")
+    d = table(spark, sf_dir, "documents").where("text is not null").select((F.col("doc_id") % 7).alias("year"), G.vector_tokens(F.col("text"), _STOPS).alias("t"))
+    return R.in_all(V.heavy_terms(d, "year", "t", 50, 2, 2), "year", "term")
 
 
 @query(f"WITH {_TOP} SELECT min(source) AS source, term FROM top GROUP BY term HAVING count(DISTINCT source) = 1")
