@@ -139,3 +139,24 @@ def test_topics_pass_over_all_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(i, ["court", "judge", "law"] if i % 2 else ["market", "growth", "trade"]) for i in range(20)], "id long, tokens array<string>")
     topics.fit_lda(docs, "tokens", 2, min_df=1, max_df=1.0)
     assert seen == [(1.0, 20)]
+
+
+@pytest.mark.parametrize(("most", "low", "high"), [(100, 2, 0.6), (100, 1, 1.0), (100, 0.3, 0.9), (3, 1, 1.0)])
+def test_known_terms_are_those_of_the_count_vectorizer(spark, most, low, high):
+    from pyspark.ml.feature import CountVectorizer
+
+    lists = [["a"] * 9 + ["b"] * 5, ["a", "b", "c", "c", "c"], ["a", "d", "d"], [], ["e", "a"]]
+    docs = spark.createDataFrame([(t,) for t in lists], "tokens array<string>").repartition(2)
+    want = CountVectorizer(inputCol="tokens", outputCol="n", vocabSize=most, minDF=low, maxDF=high if high < 1 else 2.0**53).fit(docs).vocabulary
+    assert topics.known_terms(docs, "tokens", most, low, high) == want
+
+
+def test_fit_lda_keeps_no_token_lists(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ["a", "b", f"w{i % 3}"]) for i in range(12)], "id int, tokens array<string>")
+    fit, held = topics.LDA.fit, []
+    own = spark.sparkContext._jsc
+    before = set(own.getPersistentRDDs())
+    monkeypatch.setattr("pyspark.ml.feature.CountVectorizer.fit", None)
+    monkeypatch.setattr(topics.LDA, "fit", lambda self, df: held.append(set(own.getPersistentRDDs()) - before) or fit(self, df))
+    topics.fit_lda(docs, "tokens", 2, 2, min_df=1, max_df=0.9)
+    assert all(len(h) <= 1 for h in held)
