@@ -160,3 +160,10 @@ def test_fit_lda_keeps_no_token_lists(spark, monkeypatch):
     monkeypatch.setattr(topics.LDA, "fit", lambda self, df: held.append(set(own.getPersistentRDDs()) - before) or fit(self, df))
     topics.fit_lda(docs, "tokens", 2, 2, min_df=1, max_df=0.9)
     assert all(len(h) <= 1 for h in held)
+
+
+def test_stem_scores_count_in_the_row(spark):
+    rows = [(1, "Failing failed fail, failure of state capture"), (2, ""), (3, None), (4, "none here")]
+    out = stem.stem_scores(spark.createDataFrame(rows, "id int, text string"), "id", "text", {"hard": ("failing",), "soft": ("of state",)})
+    assert {r["id"]: (r["n_tokens"], r["hard_raw"], r["soft_raw"]) for r in out.collect()} == {1: (7, 3, 1), 2: (0, 0, 0), 3: (None, 0, None), 4: (2, 0, 0)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
