@@ -105,3 +105,10 @@ def test_chunks_of_trained_sentences(spark, sf):
     for r in sorted(chunks, key=lambda r: (r.doc_id, r.chunk)):
         whole.setdefault(r.doc_id, []).append(r.text)
     assert all("".join(" ".join(v).split()) == "".join(texts[i].split()) for i, v in whole.items()) and len(whole) > 150
+
+
+def test_counts_of_distinct_words_are_those_of_all_tokens(spark):
+    rows = [("He met Dr. Fox (of p. 12), etc. Then \"Mr. Fox\" left... - 3.5 e.g. x",), ("",), (None,), ("Dr. Fox. dr. FOX.",)]
+    docs = spark.createDataFrame(rows, "text string")
+    each = docs.select(F.inline(S.tokens(F.col("text")))).groupBy("kind", "period").count().collect()
+    assert {tuple(r) for r in S.token_counts(docs).collect()} == {tuple(r) for r in each} != set()

@@ -27,7 +27,12 @@ MOST = 50_000
 def tokens(text: Column) -> Column:
     """A list of (kind, period): words in lower case without quotes and brackets around them and without a last period, numbers as one
     kind; whether the word ends in a single period. Words of punctuation alone are left out."""
-    bare = F.transform(X.words(text), lambda w: F.regexp_replace(F.regexp_replace(w, r"""^[("'“‘«\[{]+""", ""), r"""[)"'”’»\]},;:!?]+$""", ""))
+    return _kinds(X.words(text))
+
+
+def _kinds(words: Column) -> Column:
+    """tokens() of a list of words."""
+    bare = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, r"""^[("'“‘«\[{]+""", ""), r"""[)"'”’»\]},;:!?]+$""", ""))
 
     def one(w: Column) -> Column:
         period = w.rlike(r"(?<!\.)\.$")
@@ -37,6 +42,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(bare, one), lambda t: t["kind"].rlike(r"[\p{L}\d#]"))
 
 
+def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, period, n of all texts' tokens: words are counted as they stand, and distinct ones alone are taken for tokens."""
+    words = docs.select(F.explode(X.words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(F.inline(_kinds(F.array("w"))), "n").groupBy("kind", "period").agg(F.sum("n").alias("n"))
+
+
 def _ratio(hits: Column, others: Column, p: Column, q: Column) -> Column:
     """The logarithm of the likelihood of so many hits and others under p, less that under q; a count of 0 counts nothing."""
     term = lambda n, a: F.when(n == 0, 0.0).otherwise(n * F.log(a))
@@ -82,7 +93,7 @@ def _short(df: DataFrame, what: str) -> list[str]:
 def learn(docs: DataFrame, text: str = "text") -> Boundaries:
     """Learns from all texts. Nulls and empty texts hold no tokens; without tokens nothing is learned."""
     listed = docs.select(tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    counts = cut(listed.select(F.inline("t")).groupBy("kind", "period").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut(token_counts(docs, text))
     abbreviations = _short(abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION).select("kind"), "abbreviations")
     known = F.array(*map(F.lit, abbreviations)).cast("array<string>")
     pair = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda t, i: F.struct(F.get(F.col("t"), i).alias("a"), t.alias("b")))

@@ -130,9 +130,7 @@ s AS (SELECT kind, w AS with_period, o AS without_period, length(replace(kind, '
 SELECT kind, with_period, without_period, round(r * exp(-letters::DOUBLE) * (dots + 1) * pow(letters::DOUBLE, -without_period::DOUBLE), 6) AS score FROM s WHERE r * exp(-letters::DOUBLE) * (dots + 1) * pow(letters::DOUBLE, -without_period::DOUBLE) >= 0.3""")
 def learned_abbreviations(spark, sf_dir):
     """Abbreviations that are learned from all documents, with their counts and scores."""
-    listed = table(spark, sf_dir, "documents").select(sentences.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    counts = listed.select(F.inline("t")).groupBy("kind", "period").agg(F.count(F.lit(1)).alias("n"))
-    return sentences.abbreviation_scores(counts).where(F.col("score") >= sentences.ABBREVIATION).withColumn("score", F.round("score", 6))
+    return sentences.abbreviation_scores(sentences.token_counts(table(spark, sf_dir, "documents"))).where(F.col("score") >= sentences.ABBREVIATION).withColumn("score", F.round("score", 6))
 
 
 def stem_chunks(docs, size=5, least=6, stops=()):
