@@ -159,3 +159,12 @@ def test_line_scanner_is_narrow(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     got = [(r.id, r.position, r.raw_text, r.is_header) for r in out.collect()]
     assert got == [(1, 0, "a b c d e f", False), (1, 2, "CHAPTER ONE IS A LONG HEADER", True), (1, 3, "g h i j k l", False), (1, 0, "x y z", False)]
+
+
+def test_header_sections_part_at_headers_alone(spark):
+    texts = {1: "from 71.206.91.2 on\n1.2. Summary", 2: "only 71.206.91.2 here", 3: "one 1.2 two", 4: "see 1.1.2. below", 5: "end.1.2. Main"}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string").select("id", F.inline(G.header_sections(F.col("text"))))
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["id"], []).append(r["section_text"])
+    assert got == {1: ["from 71.206.91.2 on", "1.2. Summary"], 2: [texts[2]], 3: ["one", "1.2 two"], 4: [texts[4]], 5: ["end.", "1.2. Main"]}

@@ -158,10 +158,11 @@ def star_sections(text: Column) -> Column:
 
 
 def header_sections(text: Column) -> Column:
-    """As star_sections(), but without stars the header `1.2` parts the sections; a single part is 1.1_Context."""
+    """As star_sections(), but without stars the header `1.2` parts the sections; a single part is 1.1_Context. The end of a longer
+    number, as of an address, is no header."""
     plain = F.replace(text, F.lit("∗"), F.lit("*"))
     stars = F.split(plain, STARS)
-    parts = F.when(F.size(stars) >= 2, stars).otherwise(F.split(plain, r"(?i)(?=1\.2\.?(?U:\s))"))
+    parts = F.when(F.size(stars) >= 2, stars).otherwise(F.split(plain, r"(?<![0-9])(?<![0-9]\.)(?=1\.2\.?(?U:\s))"))
     section = lambda name, t: F.struct(F.lit(name).alias("section"), X.strip(t).alias("section_text"))
     two = F.array(section("1.1_Context", F.get(parts, F.lit(0))), section("1.2_Summary", F.get(parts, F.lit(1))))
     return F.when(F.size(parts) >= 2, two).otherwise(F.array(section("1.1_Context", plain)))
