@@ -122,9 +122,9 @@ def fix_encoding(text: Column) -> Column:
 
 
 def strip_boilerplate(text: Column) -> Column:
-    """Without page footers and running headers."""
+    """Without page footers and running headers. A header's first word is tried from its start alone, or from the end of the header before."""
     out = F.regexp_replace(text, r"(?iu)page(?U:\s*\d+)((?U:\s+)of(?U:\s+\d+))?", "")
-    return strip(F.regexp_replace(out, r"(?iu)[a-z-]+(?U:\s+\d{4}\s+)report", ""))
+    return strip(F.regexp_replace(out, r"(?iu)(?:(?<![a-z-])|\G)[a-z-]++(?U:\s+\d{4}\s+)report", ""))
 
 
 def drop_punctuation(text: Column) -> Column:

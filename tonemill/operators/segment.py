@@ -182,17 +182,27 @@ AFTER = r"(?ium)(1\.3[\.\s]|CLUSTER\s+1|THE\s+FUNDAMENTALS\s+OF\s+THE\s+ACCESSIO
 def enlargement_sections(text: Column) -> Column:
     """The text from 1.1 to 1.2 and from 1.2 to its end, boilerplate off, parted by stars; 1.1 alone without 1.2; null without 1.1."""
     plain = F.replace(F.replace(text, F.lit("∗"), F.lit("*")), F.lit("* * *"), F.lit("***"))
-    at = F.regexp_instr(plain, F.lit(CONTEXT))
-    head = F.length(F.regexp_extract(plain, CONTEXT, 0))
-    rest = F.substr(plain, at + head)  # after the first header
-    at2 = F.regexp_instr(rest, F.lit(SUMMARY))
-    head2 = F.length(F.regexp_extract(rest, SUMMARY, 0))
-    tail = F.substr(rest, at2 + head2 + 50)
-    end1, end2 = F.regexp_instr(rest, F.lit(AFTER)), F.regexp_instr(tail, F.lit(AFTER))
-    first = F.concat(F.substr(plain, at, head), F.when(at2 > 0, F.substr(rest, F.lit(1), at2 - 1)).when(end1 > 0, F.substr(rest, F.lit(1), end1 - 1)).otherwise(rest))
-    second = F.when(end2 > 0, F.substr(rest, at2, head2 + 49 + end2)).otherwise(F.substr(rest, at2))
-    both = X.strip(F.concat(X.strip_boilerplate(first), F.lit("\n\n* * *\n\n"), X.strip_boilerplate(second)))
-    return F.when(at > 0, F.when(at2 > 0, both).otherwise(X.strip_boilerplate(first)))
+
+    def once(x: Column, f) -> Column:
+        """f(x), where x is worked out once, as the one element of an array."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def ended(t: Column, start: Column) -> Column:
+        """t without what follows the first end at or after the place start."""
+        return once(F.regexp_instr(F.substr(t, start), F.lit(AFTER)), lambda end: F.when(end > 0, F.substr(t, F.lit(1), start + end - 2)).otherwise(t))
+
+    def parted(head: Column, rest: Column, next_head: Column, at2: Column) -> Column:
+        first = F.concat(head, F.when(at2 > 0, F.substr(rest, F.lit(1), at2 - 1)).otherwise(ended(rest, F.lit(1))))
+        second = ended(F.substr(rest, at2), F.length(next_head) + 51)
+        both = X.strip(F.concat(X.strip_boilerplate(first), F.lit("\n\n* * *\n\n"), X.strip_boilerplate(second)))
+        return F.when(at2 > 0, both).otherwise(X.strip_boilerplate(first))
+
+    def after(head: Column, rest: Column) -> Column:
+        """rest: what follows the first header."""
+        return once(F.regexp_extract(rest, SUMMARY, 0), lambda n: once(F.when(n != "", F.instr(rest, n)).otherwise(0), lambda at2: parted(head, rest, n, at2)))
+
+    found = lambda t, head: F.when(head != "", once(F.substr(t, F.instr(t, head) + F.length(head)), lambda rest: after(head, rest)))
+    return once(plain, lambda t: once(F.regexp_extract(t, CONTEXT, 0), lambda head: found(t, head)))
 
 
 def between(text: Column, start: str, end: str) -> Column:
