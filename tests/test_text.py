@@ -189,3 +189,15 @@ def test_enlargement_sections_search_each_header_once(spark):
 def test_boilerplate_is_linear_in_long_words(spark):
     out = spark.range(1).select(X.strip_boilerplate(F.concat(F.repeat(F.lit("a"), 1_000_000), F.lit(" 2020 reportb 2021 report z"))).alias("t")).first()["t"]
     assert out == "z"
+
+
+def test_stem_chunks_stem_once(spark):
+    from tonemill.plans.models import stem_chunks
+
+    docs = spark.createDataFrame([(1, ["Reports reported reporting.", "Courts judged."]), (2, ["short one."]), (3, None), (4, [])], "doc_id int, sentences array<string>")
+    out = stem_chunks(docs, 2, 2)
+    assert {(r["doc_id"], r["chunk"], *r["stems"]) for r in out.collect()} == {(1, 0, "report", "report", "report", "court", "judg")}
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    lists = spark.createDataFrame([(1, ["running", "runs"]), (2, None), (3, []), (4, ["runs"])], "id int, t array<string>").coalesce(1)
+    got = {r["id"]: r["s"] for r in lists.select("id", stem.stem_lists(F.col("t"), stem.porter).alias("s")).collect()}
+    assert got == {1: ["run", "run"], 2: None, 3: [], 4: ["run"]}
