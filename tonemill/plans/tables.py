@@ -12,7 +12,7 @@ from tonemill.models import regression as M
 from tonemill.models import stem, topics
 from tonemill.operators import relate as R
 from tonemill.operators import segment as G
-from tonemill.session import cut
+from tonemill.session import cut, share_package
 
 OUTCOMES = {"hard_flag": "logit", "soft_flag": "logit", "severity_ratio": "ols"}
 SWEEP = {"baseline": (50, 500), "min_30": (30, 500), "max_300": (50, 300)}
@@ -64,6 +64,7 @@ def sensitivity(reports: DataFrame, hard=L.CRITICISM_HARD, bounds=None) -> DataF
 
 def topic_weights(reports: DataFrame, k: int = 3, rounds: int = 20, size: int = 5, least: int = 6) -> DataFrame:
     """country, year, chunk and the weights topic_1, ..., topic_k of each chunk of five sentences, by a topic model of their stems."""
+    share_package(reports.sparkSession)
     chunks = reports.select("country", "year", F.posexplode(G.fixed_chunks(G.sentences(F.col("text"), 1), size)).alias("chunk", "text"))
     stems = stem.stem_lists(G.alphabetic_tokens(F.col("text"), 4), stem.porter)
     chunks = cut(chunks.select("country", "year", "chunk", stems.alias("stems")).where(F.size("stems") >= least))
