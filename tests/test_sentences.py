@@ -112,3 +112,20 @@ def test_counts_of_distinct_words_are_those_of_all_tokens(spark):
     docs = spark.createDataFrame(rows, "text string")
     each = docs.select(F.inline(S.tokens(F.col("text")))).groupBy("kind", "period").count().collect()
     assert {tuple(r) for r in S.token_counts(docs).collect()} == {tuple(r) for r in each} != set()
+
+
+def test_few_words_are_taken_for_tokens(spark, monkeypatch):
+    """Learning takes no whole text's words for tokens, and a part's first and last word are taken for tokens once."""
+    df = spark.createDataFrame([(t,) for t in TEXT], "text string")
+    learned = S.learn(df)
+    assert str(S.sentences(F.col("text"), learned)).count("regexp_extract(") == 2
+    monkeypatch.setattr(S, "tokens", None)
+    assert S.learn(df) == learned and learned.collocations
+
+
+def test_pairs_at_ends(spark):
+    texts = ["A ... b. (C. 3.5 U.S. ?! \"Dr.\" x", "one.", "", None, "e.g. Next", "no stop at all", "«1.» —. z"]
+    got = {r.text: [tuple(t["kind"] for t in p) for p in r.p or []] for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", S._ends(F.col("text"), ["e.g"]).alias("p")).collect()}
+    for text in texts:
+        t = plain_tokens(text)
+        assert got[text] == [(a[0], b[0]) for a, b in zip(t, t[1:], strict=False) if a[1] and a[0] != "e.g"]

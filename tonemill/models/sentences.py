@@ -90,14 +90,24 @@ def _short(df: DataFrame, what: str) -> list[str]:
     return found
 
 
+def _ends(text: Column, abbreviations: list[str]) -> Column:
+    """Each token with a period that is no abbreviation, and the token after it. Only words with a stop, and those after them, are taken for
+    tokens; a word without letter, digit and # is none."""
+    words = F.filter(X.words(text), lambda w: w.rlike(r"[\p{L}\d#]"))
+
+    def pairs(t: Column) -> Column:
+        at = F.when(F.size(t) > 1, F.sequence(F.lit(0), F.size(t) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(at, lambda i: F.contains(F.get(t, i), F.lit("."))), lambda i: _kinds(F.slice(t, i + 1, 2)))
+
+    # words are worked out once, as the one element of an array
+    return F.filter(F.flatten(F.transform(F.array(words), pairs)), lambda k: F.get(k, F.lit(0))["period"] & ~F.get(k, F.lit(0))["kind"].isin(abbreviations))
+
+
 def learn(docs: DataFrame, text: str = "text") -> Boundaries:
     """Learns from all texts. Nulls and empty texts hold no tokens; without tokens nothing is learned."""
-    listed = docs.select(tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
     counts = cut(token_counts(docs, text))
     abbreviations = _short(abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION).select("kind"), "abbreviations")
-    known = F.array(*map(F.lit, abbreviations)).cast("array<string>")
-    pair = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda t, i: F.struct(F.get(F.col("t"), i).alias("a"), t.alias("b")))
-    pairs = listed.select(F.explode(pair).alias("p")).where(F.col("p.a.period") & ~F.array_contains(known, F.col("p.a.kind")))
+    pairs = docs.select(F.explode(_ends(F.col(text), abbreviations)).alias("p")).select(F.struct(F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b")).alias("p"))
     loose = F.col("p.a.kind").rlike(r"^\p{L}$") | (F.col("p.a.kind") == NUMBER)
     ends = cut(pairs.groupBy(F.col("p.a.kind").alias("a"), F.col("p.b.kind").alias("b"), loose.alias("loose")).agg(F.count(F.lit(1)).alias("ab")))
     kinds = counts.groupBy("kind").agg(F.sum("n").alias("n"))
@@ -118,19 +128,20 @@ def sentences(text: Column, learned: Boundaries) -> Column:
     """Sentences: texts parted after a stop and white space, and put together again after an abbreviation (unless a starter in upper case
     follows) and inside a collocation."""
     parts = F.filter(F.split(X.strip(text), r"""(?<=[.!?]|[.!?][)"'”’»])(?U)\s+"""), lambda s: s != "")
-    contains = lambda names, x: F.array_contains(F.array(*map(F.lit, names)).cast("array<string>"), x)
 
     def goes_on(a: Column, b: Column) -> Column:
         """Whether there is no boundary between the part that ends in token a and that which begins with token b."""
-        abbreviated = contains(learned.abbreviations, a["kind"]) & ~(b["upper"] & contains(learned.starters, b["kind"]))
-        return a["period"] & (abbreviated | contains(learned.collocations, F.concat_ws(" ", a["kind"], b["kind"])))
+        abbreviated = a["kind"].isin(learned.abbreviations) & ~(b["upper"] & b["kind"].isin(learned.starters))
+        return a["period"] & (abbreviated | F.concat_ws(" ", a["kind"], b["kind"]).isin(learned.collocations))
+
+    def ends(s: Column) -> Column:
+        """A part, its first and its last token; each is worked out once."""
+        return F.struct(s.alias("s"), F.get(tokens(F.regexp_extract(s, r"^(\S+)", 1)), F.lit(0)).alias("first"), F.try_element_at(tokens(F.regexp_extract(s, r"(?<!\S)(\S+)$", 1)), F.lit(-1)).alias("last"))
 
     def glued(p: Column) -> Column:
-        end = lambda s: F.element_at(F.concat(F.array(F.lit(None).cast("struct<kind:string,period:boolean,upper:boolean>")), tokens(F.regexp_extract(s, r"(\S+)$", 1))), -1)
-        begin = lambda s: F.get(tokens(F.regexp_extract(s, r"^(\S+)", 1)), F.lit(0))
-        edges = F.transform(p, lambda s, i: F.struct(s.alias("s"), F.when(i == 0, False).otherwise(F.coalesce(goes_on(end(F.get(p, i - 1)), begin(s)), F.lit(False))).alias("on")))
+        edges = F.transform(p, lambda e, i: F.struct(e["s"].alias("s"), F.when(i == 0, False).otherwise(F.coalesce(goes_on(F.get(p, i - 1)["last"], e["first"]), F.lit(False))).alias("on")))
         # a sentence never holds \u0000 here: parts that go on are joined by a blank, others parted by it
         whole = F.array_join(F.transform(edges, lambda e, i: F.concat(F.when(i == 0, "").when(e["on"], " ").otherwise("\0"), F.replace(e["s"], F.lit("\0"), F.lit("")))), "")
         return F.filter(F.split(whole, "\0"), lambda s: s != "")
 
-    return F.get(F.transform(F.array(parts), glued), F.lit(0))
+    return F.get(F.transform(F.array(F.transform(parts, ends)), glued), F.lit(0))
