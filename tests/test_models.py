@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tonemill.models import regression as M
 from tonemill.models import stem, topics
+from tonemill.operators import segment
+from tonemill.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +169,16 @@ def test_stem_scores_count_in_the_row(spark):
     out = stem.stem_scores(spark.createDataFrame(rows, "id int, text string"), "id", "text", {"hard": ("failing",), "soft": ("of state",)})
     assert {r["id"]: (r["n_tokens"], r["hard_raw"], r["soft_raw"]) for r in out.collect()} == {1: (7, 3, 1), 2: (0, 0, 0), 3: (None, 0, None), 4: (2, 0, 0)}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_ngrams_are_those_of_listed_ngrams(spark):
+    docs = spark.createDataFrame([(["a", "b", "a", "b"],), (["b", "a"],), (["c"],), ([],), (None,), (["a", "b", "c"],)], "tokens array<string>")
+    listed = docs.select(segment.ngrams(F.col("tokens"), 1, 2).alias("tokens"))
+    assert topics.known_terms(docs, "tokens", 5, 2, 0.9, 1, 2) == topics.known_terms(listed, "tokens", 5, 2, 0.9) and "a b" in topics.known_terms(docs, "tokens", 5, 2, 0.9, 1, 2)
+
+
+def test_phrase_topics_judge_held_vectors(spark, sf, monkeypatch):
+    held, perplexity = [], topics.perplexity
+    monkeypatch.setattr(topics, "perplexity", lambda model, vectors: held.append(vectors.storageLevel.useMemory) or perplexity(model, vectors))
+    assert catalog.queries()["lda_phrase_topics"](spark, sf).count() == 84
+    assert held == [True]
